@@ -6,7 +6,7 @@ import importlib
 
 from tomeline.queries.registry import ORACLES, QUERIES, Query
 
-MODULES = ["text_queries"]
+MODULES = ["text_queries", "search_queries", "catalogue_queries"]
 
 
 def _load() -> None:
