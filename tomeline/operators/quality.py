@@ -207,7 +207,7 @@ def broken_links(pages: DataFrame, known: DataFrame) -> DataFrame:
         "page_path", "href", F.explode(F.array_distinct(F.array(_as_file(beside), _as_file(bare)))).alias("path")
     )
     good = tried.join(known.select("path").distinct(), "path", "left_semi").select("page_path", "href").distinct()
-    return local.select("page_path", "href").join(good, ["page_path", "href"], "left_anti")
+    return local.select("page_path", "href").join(good, ["page_path", "href"], "left_anti").distinct()
 
 
 def _as_file(path: Column) -> Column:

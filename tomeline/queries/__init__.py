@@ -6,7 +6,10 @@ import importlib
 
 from tomeline.queries.registry import ORACLES, QUERIES, Query
 
-MODULES = ["text_queries", "search_queries", "catalogue_queries"]
+MODULES = [
+    "text_queries", "search_queries", "catalogue_queries", "feed_queries", "ingest_queries", "line_queries",
+    "mention_queries", "quality_queries", "related_queries",
+]
 
 
 def _load() -> None:

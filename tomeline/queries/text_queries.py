@@ -105,7 +105,8 @@ def html_to_text(spark, sf):
 @register("html_to_markdown", f"SELECT page_id, {sql.markdown(inp.replaced_sql('html', [('h1>', 'h2>')]))} AS out FROM pages")
 def html_to_markdown(spark, sf):
     raised = F.replace("html", F.lit("h1>"), F.lit("h2>"))
-    return table(spark, sf, "pages").select("page_id", mk.html_to_markdown(raised).alias("out"))
+    pages = table(spark, sf, "pages").select("page_id", raised.alias("html"))
+    return mk.html_to_markdown(pages, "html", "out").select("page_id", "out")
 
 
 @register("decode_entities", f"SELECT page_id, {sql.entities('html')} AS out FROM pages")

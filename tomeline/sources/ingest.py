@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tomeline.functions import links as lk
 from tomeline.functions import markup as mk
 from tomeline.functions import text as tx
+from tomeline.functions.arrays import let
 from tomeline.operators.lines import promote_headings
 from tomeline.sources.schemas import PAYLOAD
 
@@ -90,9 +91,10 @@ def rejected(payloads: DataFrame) -> DataFrame:
 RICH, ACCORDION = "articleRichText", "articleRichTextAccordion"
 
 
-def _bodies_as_markdown(pages: DataFrame, page_id: str, url: str | None) -> DataFrame:
-    """Every body of a page with its place: ``page_id, blade, part, type, heading, label, body``."""
-    blades = pages.select(page_id, *([url] if url else []), F.posexplode("page.blades").alias("blade", "b"))
+def _bodies_as_markdown(pages: DataFrame, page_id: str, keep: list[str], url: str | None) -> DataFrame:
+    """Every body of a page with its place; a page without bodies keeps one empty row."""
+    kept = F.struct(*keep).alias("kept")
+    blades = pages.select(page_id, kept, F.posexplode_outer("page.blades").alias("blade", "b"))
     header = F.coalesce(
         tx.blank_to_null(F.col("b.header.subtitle")),
         tx.blank_to_null(F.col("b.header.title")),
@@ -103,53 +105,59 @@ def _bodies_as_markdown(pages: DataFrame, page_id: str, url: str | None) -> Data
     parts = F.when(F.col("b.type") == ACCORDION, F.col("b.groups")).when(F.col("b.type") == RICH, F.array(group))
     rows = blades.select(
         page_id,
-        *([url] if url else []),
+        "kept",
         "blade",
         F.col("b.type").alias("type"),
         header.alias("heading"),
-        F.posexplode(parts).alias("part", "g"),
+        F.posexplode_outer(parts).alias("part", "g"),
     )
-    body = mk.html_to_markdown(F.col("g.content.body"), F.col(url) if url else None)
-    label = tx.strip(tx.text_or_empty(F.col("g.label")))
-    return rows.select(page_id, "blade", "part", "type", "heading", label.alias("label"), body.alias("body"))
+    texts = rows.select(
+        page_id, "kept", "blade", "part", "type", "heading",
+        tx.strip(tx.text_or_empty(F.col("g.label"))).alias("label"),
+        F.col("g.content.body").alias("html"),
+        *([F.col(f"kept.{url}").alias("page_url")] if url else []),
+    )
+    return mk.html_to_markdown(texts, "html", "body", "page_url" if url else None)
 
 
-def assemble_blocks(pages: DataFrame, page_id: str, rule: str, url: str | None = None) -> DataFrame:
-    """Markdown of each page's content blocks: ``page_id, content``.
+def assemble_blocks(pages: DataFrame, page_id: str, rule: str, url: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Markdown of each page's content blocks: ``page_id, content`` and the columns to keep.
 
     ``faq`` takes the accordion blocks when they hold anything, else the rich text;
     ``errata`` takes the first rich text only; ``page`` takes all rich text. Bodies are turned
-    into Markdown one by one, so that the HTML work spreads over blades, then put together in
-    their order.
+    into Markdown one by one, so that the HTML work spreads over blades, then one shuffle
+    puts each page together again.
     """
-    bodies = _bodies_as_markdown(pages, page_id, url if rule == "faq" else None)
-    rich = bodies.filter(F.col("type") == RICH)
+    columns = list(dict.fromkeys([*keep, *([url] if url else [page_id])]))
+    bodies = _bodies_as_markdown(pages, page_id, columns, url if rule == "faq" else None)
+    entry = F.struct("blade", "part", "type", "heading", "label", "body")
+    whole = bodies.groupBy(page_id).agg(
+        F.any_value("kept").alias("kept"), F.array_sort(F.collect_list(entry)).alias("parts")
+    )
+    rich = F.filter("parts", lambda p: p["type"] == RICH)
+    all_rich = F.array_join(F.transform(F.filter(rich, lambda p: p["body"] != ""), lambda p: p["body"]), "\n\n")
     if rule == "errata":
-        first = rich.groupBy(page_id).agg(F.min_by("body", "blade").alias("content"))
-        return pages.select(page_id).join(first, page_id, "left").withColumn(
-            "content", F.coalesce("content", F.lit(""))
-        )
-
-    def ordered(df: DataFrame, value: str, *order: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda r: r[value])
-
-    rich_text = rich.filter("body <> ''").groupBy(page_id).agg(F.array_join(ordered(rich, "body", "blade"), "\n\n").alias("rich"))
-    out = pages.select(page_id).join(rich_text, page_id, "left")
-    content = F.coalesce("rich", F.lit(""))
-    if rule == "faq":
-        question = F.when(F.col("label") != "", F.concat(F.lit("### "), F.col("label")))
-        answer = F.when(F.col("body") != "", F.col("body"))
-        entries = bodies.filter(F.col("type") == ACCORDION).withColumn("entry", F.concat_ws("\n\n", question, answer))
-        blocks = (
-            entries.filter("entry <> ''")
-            .groupBy(page_id, "blade")
-            .agg(F.first("heading").alias("heading"), F.array_join(ordered(entries, "entry", "part"), "\n\n").alias("text"))
-            .withColumn("block", F.concat(F.lit("## "), F.col("heading"), F.lit("\n\n"), F.col("text")))
-        )
-        accordion = blocks.groupBy(page_id).agg(F.array_join(ordered(blocks, "block", "blade"), "\n\n").alias("accordion"))
-        out = out.join(accordion, page_id, "left")
-        content = F.coalesce(tx.blank_to_null(F.col("accordion")), F.col("rich"), F.lit(""))
-    return out.select(page_id, tx.strip(content).alias("content"))
+        content = F.coalesce(F.get(rich, F.lit(0))["body"], F.lit(""))
+    elif rule == "page":
+        content = all_rich
+    else:
+        asked = F.filter("parts", lambda p: (p["type"] == ACCORDION) & ((p["label"] != "") | (p["body"] != "")))
+
+        def text(ps: Column) -> Column:
+            def entry_text(p: Column, i: Column) -> Column:
+                opens = ~F.get(ps, i - 1)["blade"].eqNullSafe(p["blade"])
+                return F.concat_ws(
+                    "\n\n",
+                    F.when(opens, F.concat(F.lit("## "), p["heading"])),
+                    F.when(p["label"] != "", F.concat(F.lit("### "), p["label"])),
+                    tx.blank_to_null(p["body"]),
+                )
+
+            return F.array_join(F.transform(ps, entry_text), "\n\n")
+
+        content = F.coalesce(tx.blank_to_null(let(asked, text)), all_rich)
+    extra = [F.col(f"kept.{c}") for c in keep if c != page_id]
+    return whole.select(page_id, *extra, tx.strip(content).alias("content"))
 
 
 def _labels(c: Column) -> Column:
