@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WS_WEB = r"[\s\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+# The members of WS, for trims that need no pattern.
+WS_MEMBERS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Typographic characters folded to ASCII, then two that are dropped.
 TYPOGRAPHIC_FROM = "‘’“”–—ˮ○▲"
 TYPOGRAPHIC_TO = "''\"\"--\""
@@ -77,7 +83,7 @@ def replace_each(c: Column, pattern: str, rewrite: Callable[..., Column], groups
 
 def strip(c: Column) -> Column:
     """Drop Unicode white space at both ends."""
-    return sub(c, rf"\A{WS}+|{WS}+\z")
+    return F.btrim(c, F.lit(WS_MEMBERS))
 
 
 def collapse_ws(c: Column) -> Column:

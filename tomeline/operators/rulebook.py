@@ -45,27 +45,31 @@ def rule_rows(page_text: Column) -> Column:
         )
 
     def typed(line: Column, previous: Column) -> Column:
-        number = F.regexp_extract(line, NUMBERED, 1)
-        text = F.trim(F.regexp_extract(line, NUMBERED, 2))
+        number, text = line["number"], line["text"]
         level = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
-        heading = (
-            F.when((level == 0) & number.endswith("00"), "rule-chapter").otherwise("rule-heading")
-        )
+        heading = F.when((level == 0) & number.endswith("00"), "rule-chapter").otherwise("rule-heading")
         numbered_type = F.when(is_short_heading(text), heading).otherwise("rule-plain")
-        after_number = F.coalesce(previous.rlike(NUMBERED), F.lit(False))
-        bullet = F.concat(F.lit("* "), F.regexp_extract(line, BULLET, 1))
+        bullet = F.regexp_extract(line["line"], BULLET, 1)
         none = F.lit("")
         return (
             F.when(number != "", row(F.concat(number, F.lit(".")), text, numbered_type, level))
-            .when(line.rlike(BULLET), row(none, bullet, F.lit("rule-bullet"), F.lit(1)))
-            .when(after_number, row(none, line, F.lit("rule-cont"), F.lit(1)))
-            .otherwise(row(none, line, F.lit("rule-plain"), F.lit(0)))
+            .when(bullet != "", row(none, F.concat(F.lit("* "), bullet), F.lit("rule-bullet"), F.lit(1)))
+            .when(previous["number"] != "", row(none, line["line"], F.lit("rule-cont"), F.lit(1)))
+            .otherwise(row(none, line["line"], F.lit("rule-plain"), F.lit(0)))
         )
 
     lines = F.filter(
         F.transform(F.split(tx.text_or_empty(page_text), LINE_END), clean_line), lambda line: line != ""
     )
-    return let(lines, lambda ls: F.transform(ls, lambda line, i: typed(line, F.get(ls, i - 1))))
+    parsed = F.transform(
+        lines,
+        lambda line: F.struct(
+            line.alias("line"),
+            F.regexp_extract(line, NUMBERED, 1).alias("number"),
+            F.trim(F.regexp_extract(line, NUMBERED, 2)).alias("text"),
+        ),
+    )
+    return let(parsed, lambda ls: F.transform(ls, lambda line, i: typed(line, F.get(ls, i - 1))))
 
 
 def _can_follow(row: Column, headers: tuple[str, ...]) -> Column:
@@ -84,64 +88,92 @@ def _is_closed(text: Column) -> Column:
     return text.rlike(r"[.!?;:]\z")
 
 
-def merge_page_breaks(
-    pages: DataFrame, page_headers: tuple[str, ...] = ("Last Updated:",)
-) -> DataFrame:
-    """Join the rows that continue the last row of the page before.
+def _with_ends(pages: DataFrame, page_headers: tuple[str, ...]) -> DataFrame:
+    """Pages with ``lead``, how many first rows may continue, and ``open``, whether the last row may be continued."""
+    follows = F.transform(
+        "rows",
+        lambda r, i: _can_follow(r, page_headers)
+        & ((i == 0) | ~_is_closed(F.coalesce(F.get(F.col("rows"), i - 1)["text"], F.lit("")))),
+    )
+    stop = let(follows, lambda f: F.array_position(f, F.lit(False)).cast("int"))
+    last = F.get(F.col("rows"), F.size("rows") - 1)
+    is_open = last["row_type"].isin("rule-plain", "rule-cont") & (last["text"] != "") & ~_is_closed(last["text"])
+    found = pages.withColumn("stop", stop).withColumn("open", F.coalesce(is_open, F.lit(False)))
+    return found.withColumn("lead", F.when(F.col("stop") > 0, F.col("stop") - 1).otherwise(F.size("rows"))).drop("stop")
 
-    ``pages`` has one row per page: ``doc_id``, ``page_no`` (counting up by one) and ``rows``
-    from :func:`rule_rows`. Pages meet their neighbours through an equi-join on document and
-    page number, so that one huge document spreads over all tasks. Only pages that consist of
-    continuations alone need their document's order: of a run of such pages every other one
-    is emptied, because an emptied page leaves no last row for the next one.
+
+def _to_neighbours(ends: DataFrame, own: list[str], ahead: list[str], behind: list[str]) -> DataFrame:
+    """Own columns of each page with columns of the page before (``ahead``) and after (``behind``).
+
+    A page sends one row to itself and one to each neighbour; rows meet by document and page
+    number, so that one huge document spreads over all tasks and every page is read once.
     """
-    lead = pages.withColumn(
-        "open_rows",
-        F.transform(
-            "rows",
-            lambda r, i: _can_follow(r, page_headers)
-            & ((i == 0) | ~_is_closed(F.coalesce(F.get(F.col("rows"), i - 1)["text"], F.lit("")))),
-        ),
-    ).withColumn(
-        "lead",
-        F.when(F.array_position("open_rows", F.lit(False)) > 0, F.array_position("open_rows", F.lit(False)) - 1)
-        .otherwise(F.size("rows"))
-        .cast("int"),
+    def message(step: int, columns: list[str]) -> Column:
+        everything = list(dict.fromkeys([*own, *ahead, *behind]))
+        kept = [F.when(F.lit(c in columns), F.col(c)).alias(c) for c in everything]
+        return F.struct((F.col("page_no") + step).alias("page_no"), F.lit(step).alias("step"), *kept)
+
+    sent = [message(0, own)]
+    sent += [message(1, ahead)] if ahead else []
+    sent += [message(-1, behind)] if behind else []
+    rows = ends.select("doc_id", F.explode(F.array(*sent)).alias("m")).select("doc_id", "m.*")
+
+    def pick(c: str, step: int) -> Column:
+        return F.first(F.when(F.col("step") == step, F.col(c)), ignorenulls=True)
+
+    met = rows.groupBy("doc_id", "page_no").agg(
+        F.count_if(F.col("step") == 0).alias("is_page"),
+        *[pick(c, 0).alias(c) for c in own],
+        *[pick(c, 1).alias(f"before_{c}") for c in ahead],
+        *[pick(c, -1).alias(f"after_{c}") for c in behind],
     )
-    last = F.get(F.col("rows"), F.size("rows") - 1)
-    tail_open = last["row_type"].isin("rule-plain", "rule-cont") & (last["text"] != "") & ~_is_closed(last["text"])
-    tails = lead.select(
-        "doc_id", (F.col("page_no") + 1).alias("page_no"), F.coalesce(tail_open, F.lit(False)).alias("linked")
+    return met.filter("is_page > 0").drop("is_page")
+
+
+def _emptied_pages(ends: DataFrame) -> DataFrame:
+    """Pages that lose all their rows to the page before.
+
+    Only pages made of continuations alone come here. Of a run of such pages every other one
+    is emptied, because an emptied page leaves no last row for the next one.
+    """
+    flags = ends.select(
+        "doc_id", "page_no", "open", ((F.col("lead") == F.size("rows")) & (F.size("rows") > 0)).alias("whole")
     )
-    pages_linked = lead.drop("open_rows").join(tails.filter("linked"), ["doc_id", "page_no"], "left")
-    whole = pages_linked.filter(F.col("linked") & (F.col("lead") == F.size("rows")) & (F.size("rows") > 0))
+    whole = _to_neighbours(flags, ["whole"], ["open"], []).filter("whole and before_open")
     run = Window.partitionBy("doc_id").orderBy("page_no")
     runs = whole.select("doc_id", "page_no").withColumn("run", F.col("page_no") - F.row_number().over(run))
     in_run = Window.partitionBy("doc_id", "run").orderBy("page_no")
-    emptied = (
-        runs.withColumn("nth", F.row_number().over(in_run))
-        .filter(F.col("nth") % 2 == 1)
-        .select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("after_emptied"))
-    )
-    counted = pages_linked.join(emptied, ["doc_id", "page_no"], "left").withColumn(
-        "merged",
-        F.when(F.col("linked") & F.col("after_emptied").isNull(), F.col("lead")).otherwise(0),
-    )
-    moved = counted.filter("merged > 0").select(
-        "doc_id",
-        (F.col("page_no") - 1).alias("page_no"),
-        F.transform(F.slice("rows", F.lit(1), F.col("merged")), lambda r: r["text"]).alias("tail_texts"),
+    return runs.withColumn("nth", F.row_number().over(in_run)).filter(F.col("nth") % 2 == 1).select("doc_id", "page_no")
+
+
+def merge_page_breaks(
+    pages: DataFrame, page_headers: tuple[str, ...] = ("Last Updated:",)
+) -> DataFrame:
+    """Join the rows that continue the last row of the page before.
+
+    ``pages`` has one row per page: ``doc_id``, ``page_no`` (counting up by one) and ``rows``
+    from :func:`rule_rows`.
+    """
+    ends = _with_ends(pages, page_headers)
+    emptied = _emptied_pages(ends)
+    texts = ends.withColumn("lead_texts", F.transform(F.slice("rows", F.lit(1), F.col("lead")), lambda r: r["text"]))
+    met = _to_neighbours(texts, ["rows", "lead", "open"], ["open"], ["lead_texts"])
+    gone = emptied.withColumn("is_emptied", F.lit(True))
+    after = emptied.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("after_emptied"))
+    marked = met.join(gone, ["doc_id", "page_no"], "left").join(after, ["doc_id", "page_no"], "left")
+    merged = F.when(F.col("before_open") & F.col("after_emptied").isNull(), F.col("lead")).otherwise(0)
+    gains = F.col("open") & F.col("is_emptied").isNull() & (F.size("after_lead_texts") > 0)
+    kept = marked.withColumn("kept", F.slice(F.col("rows"), merged + 1, F.size("rows"))).withColumn(
+        "gain", F.when(gains, F.array_join("after_lead_texts", " "))
     )
-    kept = F.slice(F.col("rows"), F.col("merged") + 1, F.size("rows"))
-    joined = counted.select("doc_id", "page_no", kept.alias("rows")).join(moved, ["doc_id", "page_no"], "left")
     extended = F.transform(
-        "rows",
+        "kept",
         lambda r, i: F.when(
-            (i == F.size("rows") - 1) & F.col("tail_texts").isNotNull(),
-            r.withField("text", F.concat_ws(" ", r["text"], F.array_join("tail_texts", " "))),
+            (i == F.size("kept") - 1) & F.col("gain").isNotNull(),
+            r.withField("text", F.concat_ws(" ", r["text"], F.col("gain"))),
         ).otherwise(r),
     )
-    return joined.select("doc_id", "page_no", extended.alias("rows"))
+    return kept.select("doc_id", "page_no", extended.alias("rows"))
 
 
 def rule_table(pages: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ _LIMITS = {"energy": (0, 40), "power": (0, 8), "might": (0, 6)}
  '&q=' || replace(p_name, ' ', '+') AS q,
  CASE WHEN p_type IN ('PROMO', 'SMALL') THEN '&rarities=' || p_type ELSE '' END AS r,
  CASE WHEN least(40, p_size) = 0 AND least(40, p_retailprice // 100) = 40 THEN '' ELSE
-  '&energyMin=' || least(least(40, p_size), least(40, CAST(p_retailprice // 100 AS INT))) || '&energyMax=' || greatest(least(40, p_size), least(40, CAST(p_retailprice // 100 AS INT))) END AS e,
+  '&energyMin=' || least(least(40, p_size), least(40, CAST(floor(p_retailprice / 100) AS INT))) || '&energyMax=' || greatest(least(40, p_size), least(40, CAST(floor(p_retailprice / 100) AS INT))) END AS e,
  CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN '&sets=Brand%23' || p_brand[7:] ELSE '' END AS s FROM part) t0""",
 )
 def canonical_query(spark, sf):
