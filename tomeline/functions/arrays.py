@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,13 @@ def running_sum(items: Column) -> Column:
         ),
         lambda acc: acc["out"],
     )
+
+
+def explode_column(df: DataFrame, items: str, pos: str, item: str) -> DataFrame:
+    """One row per element of a computed array column, which is dropped.
+
+    The outer form is used and empty arrays are filtered afterwards: for the inner form Spark
+    adds a size test that it pushes below the projection, so that the array is computed twice.
+    """
+    kept = [c for c in df.columns if c != items]
+    return df.select(*kept, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())

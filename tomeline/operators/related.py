@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import links as lk
 from tomeline.functions import text as tx
-from tomeline.functions.arrays import let, positions_where
+from tomeline.functions.arrays import explode_column, let, positions_where
 from tomeline.operators import lines as ln
 from tomeline.operators.mentions import mention_join, mention_join_shadowed
+from tomeline.sources.sinks import materialize
 
 HITS_PER_DOCUMENT = 12
 DOCUMENTS_PER_ITEM = 4
@@ -148,7 +149,7 @@ def line_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(ln.split_lines(F.col("content"))).alias("pos", "line")).filter(
         ln.is_body_line(F.col("line"))
     )
-    units = rows.select("doc_id", "pos", tx.match_key(tx.md_plain_index(F.col("line"))).alias("text")).filter("text <> ''")
+    units = rows.select("doc_id", "pos", tx.match_key(tx.md_plain_index(F.col("line"))).alias("text"))
     hits = mention_join(units, names, ["doc_id", "pos"])
     return hits.groupBy("doc_id", "needle").agg(F.min("pos").alias("pos"))
 
@@ -168,7 +169,8 @@ def context_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
 def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     """One hit per document and distinct name, for the prebuilt index.
 
-    The snippet is that of the section titled with the name, else of the place that mentions
+    The pairs of documents and names are written once, because every later step starts from
+    them: only documents with a mention are cut into lines or blocks. The snippet is that of the section titled with the name, else of the place that mentions
     it, else a stretch of the plain text.
     """
     names = item_names(items)
@@ -179,7 +181,7 @@ def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         _document_text().alias("plain"),
     ).filter("doc_id <> ''")
     texts = rows.select("doc_id", tx.match_key(F.col("plain")).alias("text"))
-    pairs = mention_join(texts, names, ["doc_id"]).join(names, "needle")
+    pairs = materialize(mention_join(texts, names, ["doc_id"]).join(names, "needle"))
     hit_docs = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     found = pairs
     if kind in ("faq", "errata"):
@@ -190,7 +192,7 @@ def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         found = found.withColumn("body", F.lit(None).cast("string")).withColumn("own_heading", F.lit(None).cast("string"))
     local = block_matches(hit_docs, names) if kind == "faq" else context_matches(hit_docs, names)
     local = local.select("doc_id", "needle", F.col("snippet").alias("near"), F.col("heading").alias("near_heading"))
-    joined = found.join(local, ["doc_id", "needle"], "left").join(rows, "doc_id")
+    joined = found.join(local, ["doc_id", "needle"], "left").join(hit_docs.select("doc_id", "title", "plain"), "doc_id")
     own = F.concat_ws("\n\n", F.col("name"), F.col("body"))
     far = tx.snippet_at(F.col("plain"), F.col("needle"))
     snippet = F.when(F.col("body").isNotNull(), own).otherwise(F.coalesce(tx.blank_to_null(F.col("near")), far))
@@ -329,7 +331,7 @@ def related_content(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
 
     zero = F.lit(0)
     head_units = secs.select("doc_id", *unit("head", F.col("sec"), zero, F.col("heading")))
-    part_units = secs.select("doc_id", "sec", F.posexplode("parts").alias("n", "p")).select(
+    part_units = explode_column(secs.select("doc_id", "sec", "parts"), "parts", "n", "p").select(
         "doc_id", *unit("part", F.col("sec"), F.col("n"), F.col("p"))
     )
     title_units = rows.select("doc_id", *unit("title", zero, zero, tx.md_plain_index(F.col("title"))))
@@ -339,7 +341,7 @@ def related_content(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         rule_rows = _rule_rows(rows)
         rule_units = rule_rows.select("doc_id", *unit("rule", zero, F.col("n"), F.col("row_text")))
         units = units.unionByName(rule_units)
-    found = mention_join_shadowed(units.filter("text <> ''"), names, ["doc_id", "role", "sec", "n"])
+    found = materialize(mention_join_shadowed(units, names, ["doc_id", "role", "sec", "n"]))
     if kind == "faq":
         hits = _faq_hits(secs, found)
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
-from tomeline.functions.arrays import let
+from tomeline.functions.arrays import explode_column, let
 
 NUMBERED = r"(?i)\A([0-9]{3}(?:\.[0-9a-z]+)*)\.\s*(.*)\z"
 BULLET = r"\A[*-]\s+(.+)\z"
@@ -178,7 +178,7 @@ def merge_page_breaks(
 
 def rule_table(pages: DataFrame) -> DataFrame:
     """One row per rule row: ``doc_id, page_no, ord, rule_id, text, row_type, level``."""
-    return pages.select("doc_id", "page_no", F.posexplode("rows").alias("ord", "r")).select(
+    return explode_column(pages.select("doc_id", "page_no", "rows"), "rows", "ord", "r").select(
         "doc_id", "page_no", "ord", "r.rule_id", "r.text", "r.row_type", "r.level"
     )
 

@@ -19,6 +19,9 @@ from tomeline.functions import text as tx
 from tomeline.functions.arrays import running_sum
 
 HITS_PER_DOCUMENT = 200
+# Range parts per shuffle partition of sorted documents: the best ones hold most of the hits,
+# and finer parts let idle tasks take them over.
+SORT_FACTOR = 4
 
 
 def query_tokens(query: str) -> list[str]:
@@ -98,15 +101,21 @@ def tie_break(df: DataFrame) -> list[str]:
 
 
 def search_hits(docs: DataFrame, query: str, kind: str | None = None) -> DataFrame:
-    """One row per hit: documents in search order, their hits in text order."""
+    """One row per hit: documents in search order, their hits in text order.
+
+    Documents are sorted, not hits: cutting a sorted document into its hits keeps the order, and
+    a document moves once however many hits it has.
+    """
     tokens = query_tokens(query)
     if not tokens:
         empty = matched_documents(docs, query, kind).drop("text")
         return empty.withColumn("position", F.lit(0)).withColumn("snippet", F.lit(""))
     plain = matched_documents(docs, query, kind).withColumn("text", tx.strip(F.col("text")))
-    hits = plain.withColumn("position", F.explode(hit_positions(F.col("text"), tokens)))
-    hits = hits.withColumn("snippet", hit_snippet(F.col("text"), F.col("position"), tokens)).drop("text")
-    return hits.orderBy(F.desc("score"), "title", *tie_break(hits), "position")
+    order = [F.desc("score"), F.col("title"), *[F.col(c) for c in tie_break(plain)]]
+    tasks = SORT_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = plain.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    hits = ordered.withColumn("position", F.explode(hit_positions(F.col("text"), tokens)))
+    return hits.withColumn("snippet", hit_snippet(F.col("text"), F.col("position"), tokens)).drop("text")
 
 
 def top_hits(docs: DataFrame, query: str, kind: str = "Rule", size: int = 20) -> DataFrame:

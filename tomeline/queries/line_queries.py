@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+from tomeline.functions.arrays import explode_column, segments
 from tomeline.operators import lines as ln
 from tomeline.operators import rulebook as rb
 from tomeline.queries import inputs as inp
@@ -94,14 +95,10 @@ _PAGE_LINES = 5
 
 
 def rule_pages(spark, sf):
-    lines = F.split(inp.replaced(F.col("text"), _RULED), "\n")
+    docs = inp.documents(spark, sf).select("doc_id", F.split(inp.replaced(F.col("text"), _RULED), "\n").alias("lines"))
     starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(_PAGE_LINES))
-    cut = inp.documents(spark, sf).select("doc_id", lines.alias("lines")).select("doc_id", "lines", F.posexplode(starts).alias("p", "s"))
-    return cut.select(
-        "doc_id",
-        (F.col("p") + 1).alias("page_no"),
-        F.array_join(F.slice("lines", F.col("s") + 1, F.lit(_PAGE_LINES)), "\n").alias("text"),
-    )
+    cut = docs.select("doc_id", F.posexplode(segments(F.col("lines"), starts)).alias("p", "page"))
+    return cut.select("doc_id", (F.col("p") + 1).alias("page_no"), F.array_join("page", "\n").alias("text"))
 
 
 _NUM = r"'(?i)^([0-9]{3}(?:\.[0-9a-z]+)*)\.\s*(.*)$'"
@@ -218,7 +215,7 @@ _INDENT = "length(string_split(line, ' ')[1])"
 def ancestor_row(spark, sf):
     indents = F.transform(F.split("text", "\n"), lambda line: F.length(F.substring_index(line, " ", 1)))
     rows = inp.documents(spark, sf).select("doc_id", ln.ancestor_positions(indents).alias("parents"))
-    return rows.select("doc_id", F.posexplode("parents").alias("pos", "parent"))
+    return explode_column(rows, "parents", "pos", "parent")
 
 
 _RULE_LIST = [("\nT", "\n- 1.2.a T"), ("\nA", "\n  - 12. A"), ("\nE", "\n    * 7 E")]

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several steps share to the cluster's checkpoint folder, and read it from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def upsert_ordered(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Old rows, replaced in place by new rows of the same id, then the unseen ids.
 
