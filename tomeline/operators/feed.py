@@ -156,11 +156,8 @@ def get_or_latest(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``wanted`` is ``req_id, id``. The newest document is one row, found by a maximum.
     """
-    body = F.struct(*[c for c in docs.columns])
-    newest = docs.agg(
-        F.max_by(body, F.struct(tx.text_or_empty(F.col("updated_at")), -F.col("ord"))).alias("newest")
-    )
-    found = wanted.join(docs.select("id", body.alias("doc")), "id", "left").crossJoin(F.broadcast(newest))
-    return found.select("req_id", F.coalesce("doc", "newest").alias("d"), F.col("doc").isNull().alias("is_fallback")).select(
-        "req_id", "d.*", "is_fallback"
-    )
+    body = F.struct(*docs.columns)
+    newest = docs.agg(F.max_by(body, F.struct(tx.text_or_empty(F.col("updated_at")), -F.col("ord"))))
+    found = wanted.join(docs.select("id", body.alias("doc")), "id", "left")
+    picked = F.coalesce(F.col("doc"), newest.scalar()).alias("d")
+    return found.select("req_id", picked, F.col("doc").isNull().alias("is_fallback")).select("req_id", "d.*", "is_fallback")

@@ -154,8 +154,9 @@ def missing_media(items: DataFrame, url: str, name: str, order: str, examples: i
     absent = tx.text_or_empty(F.col(url)) == ""
     total = items.agg(F.count("*").alias("total"), F.count_if(absent).alias("missing"))
     shown = items.filter(absent).select(F.col(order).alias("o"), F.col(name).alias("n")).orderBy("o").limit(examples)
-    sample = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "n"))), lambda s: s["n"]), ", ").alias("examples"))
-    return total.crossJoin(F.broadcast(sample))
+    in_order = F.array_sort(F.collect_list(F.struct("o", "n")))
+    sample = shown.agg(F.array_join(F.transform(in_order, lambda s: s["n"]), ", "))
+    return total.withColumn("examples", sample.scalar())
 
 
 def declared_count(declared: DataFrame, datasets: dict[str, DataFrame]) -> DataFrame:

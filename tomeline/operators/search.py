@@ -130,15 +130,3 @@ def top_hits(docs: DataFrame, query: str, kind: str = "Rule", size: int = 20) ->
     if not tokens:
         return search_hits(best.drop("score"), query, kind).limit(size)
     return search_hits(best.drop("score"), query, kind).limit(size)
-
-
-def page_slice(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page of an ordered result; a page past the end gives the last one.
-
-    The first page needs no count. Spark keeps ``page * size`` rows per task, so this is for
-    the pages people look at, not for walking through a whole table.
-    """
-    if page > 1:
-        pages = max(1, -(-df.count() // size))
-        page = min(page, pages)
-    return df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
 from tomeline.operators import catalogue as cat
-from tomeline.operators.search import all_tokens, page_slice, query_tokens
+from tomeline.operators.paging import page_slice
+from tomeline.operators.search import all_tokens, query_tokens
 
 PAGE_SIZE = 25
 FACETS = {"sets": "set", "types": "card_types", "supertypes": "super_types", "rarities": "rarity", "domains": "domains"}

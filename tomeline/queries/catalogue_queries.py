@@ -8,7 +8,7 @@ from tomeline.functions import text as tx
 from tomeline.operators import catalogue as cat
 from tomeline.operators import feed as fd
 from tomeline.operators import quality as dq
-from tomeline.operators.search import page_slice
+from tomeline.operators.paging import numbered
 from tomeline.plans.catalogue_query import catalogue_query as run_query
 from tomeline.queries import inputs as inp
 from tomeline.queries import sql
@@ -130,15 +130,13 @@ def _sorted(name: str, made, order_sql: str):
     return query
 
 
-def _places(df, order, key: str = "id"):
-    """Rows of one page of 25 with their place on it."""
-    page = page_slice(df.select(*df.columns), order, 2, 25)
-    rows = page.select(key).withColumn("place", F.monotonically_increasing_id())
-    return rows.select(F.col(key).alias("id"), (F.col("place") + 1).cast("bigint").alias("place"))
+def _places(df, order):
+    """All rows with their place in the order."""
+    return numbered(df, order).select("id", "place")
 
 
 def _place_sql(cte: str, source: str, order: str) -> str:
-    return f"""WITH {cte} SELECT id, row_number() OVER () AS place FROM (SELECT id FROM {source} ORDER BY {order} LIMIT 25 OFFSET 25)"""
+    return f"WITH {cte} SELECT id, row_number() OVER (ORDER BY {order}) AS place FROM {source}"
 
 
 def _sorted_items(name, order, order_sql):
