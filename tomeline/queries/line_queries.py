@@ -58,7 +58,8 @@ _LOOSE = [
 ]
 _KNOWN = ("Of.", "Erinst resh.")
 _LOOSE_SQL = sql.whitespace(inp.replaced_sql("text", _LOOSE))
-_PROMOTED = rf"""WITH raw AS (SELECT doc_id, generate_subscripts(ps, 1) AS pos, unnest(ps) AS raw FROM (SELECT doc_id, string_split({_LOOSE_SQL}, chr(10)) AS ps FROM documents)),
+def _promoted(text: str, is_page: str) -> str:
+    return rf"""WITH raw AS (SELECT doc_id, generate_subscripts(ps, 1) AS pos, unnest(ps) AS raw FROM (SELECT doc_id, string_split({text}, chr(10)) AS ps FROM documents)),
 near AS (SELECT *, {sql.strip('raw')} AS line, coalesce({sql.strip('lag(raw) OVER w')}, '') AS before, coalesce({sql.strip('lead(raw) OVER w')}, '') AS after
   FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 made AS (SELECT doc_id, pos, CASE WHEN line = '' THEN '' WHEN is_page AND regexp_matches(line, '^#\s+\d{{3}}\.') THEN regexp_replace(raw, '^#\s+', '## ')
@@ -66,11 +67,11 @@ made AS (SELECT doc_id, pos, CASE WHEN line = '' THEN '' WHEN is_page AND regexp
   WHEN regexp_matches(line, '(?i)^q[:：]\s+') THEN '### ' || line WHEN upper(line) IN ('[NEW TEXT]', '[OLD TEXT]') THEN '#### ' || line
   WHEN ends_with(lower(line), '(revised text)') THEN '### ' || line
   WHEN before = '' AND after <> '' AND length(line) <= 72 AND NOT regexp_matches(line, '[.!?:]$') AND regexp_matches(line, '^[A-Z0-9]') THEN '### ' || line
-  ELSE raw END AS out FROM near, (SELECT false AS is_page))
+  ELSE raw END AS out FROM near, (SELECT {is_page} AS is_page))
 SELECT doc_id, {sql.strip(sql.sub("string_agg(out, chr(10) ORDER BY pos)", r"\n{3,}", "chr(10) || chr(10)"))} AS out FROM made GROUP BY doc_id"""
 
 
-@register("promote_headings", _PROMOTED)
+@register("promote_headings", _promoted(_LOOSE_SQL, "false"))
 def promote_headings(spark, sf):
     loose = inp.replaced(F.col("text"), _LOOSE)
     return inp.documents(spark, sf).select("doc_id", ln.promote_headings(loose, "faq", _KNOWN).alias("out"))
@@ -80,7 +81,15 @@ def promote_headings(spark, sf):
 _LISTED = [("\n", "\n- \n  "), (".\n- \n  A", "\n- \n  A"), (".\n- \n  T", "\n-\n\n T")]
 
 
-@register("promote_page_headings")
+_LISTED_SQL = sql.whitespace(inp.replaced_sql("text", [*_LISTED, *_LOOSE[1:4]]))
+_LABEL = r"\n-\s*\n[ \t]+([^\n]+)"
+_LABELLED = rf"""array_to_string(list_transform(list_zip(regexp_split_to_array(t, '{_LABEL}'), regexp_extract_all(t, '{_LABEL}', 1)), lambda z: z[1] ||
+ CASE WHEN z[2] IS NULL THEN '' WHEN length(trim(z[2])) <= 80 AND len(regexp_extract_all(z[2], '\S+')) <= 10 AND NOT regexp_matches(trim(z[2]), '[.!?:]$')
+  THEN chr(10) || chr(10) || '## ' || trim(z[2]) ELSE chr(10) || '- ' || trim(z[2]) END), '')"""
+_PAGE_SQL = sql.sub(sql.sub(_LABELLED, r"(?m)^-\s*$"), r"\n{3,}", "chr(10) || chr(10)")
+
+
+@register("promote_page_headings", _promoted(_PAGE_SQL, "true").replace("FROM documents", f"FROM (SELECT doc_id, {_LISTED_SQL} AS t FROM documents)"))
 def promote_page_headings(spark, sf):
     listed = inp.replaced(F.col("text"), [*_LISTED, *_LOOSE[1:4]])
     return inp.documents(spark, sf).select("doc_id", ln.promote_headings(listed, "page", _KNOWN).alias("out"))

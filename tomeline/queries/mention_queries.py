@@ -123,8 +123,12 @@ def longest_contained_name(spark, sf):
     return mn.longest_contained_name(inp.documents(spark, sf).select("doc_id", "text"), inp.names(spark, sf), ["doc_id"])
 
 
-@register("longest_contained_name_shuffled")
-def longest_contained_name_shuffled(spark, sf):
+@register(
+    "contained_names_shuffled",
+    f"WITH {inp.NAMES_CTE} SELECT doc_id, name FROM documents, (SELECT DISTINCT lower(trim(name)) AS name FROM names) n WHERE contains(lower(text), name)",
+)
+def contained_names_shuffled(spark, sf):
+    """All contained names, as for a name list too long to broadcast."""
     lowered = inp.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
     names = inp.names(spark, sf).select(F.lower(F.trim("name")).alias("name"))
     return mn.contained_names(lowered, names, ["doc_id"], small_list=0)

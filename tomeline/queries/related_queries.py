@@ -190,7 +190,12 @@ def locate_passage(spark, sf):
     return ps.locate_passages(passage_requests(spark, sf), passage_blocks(spark, sf))
 
 
-@register("content_check")
+@register(
+    "content_check",
+    f"""WITH {inp.LINKS_CTE} SELECT 'links' AS dataset, ord AS row_ord, 'error' AS severity, 'conditional' AS rule,
+ CASE WHEN kind = 'Page' THEN 'kind=page requires page_id' ELSE 'kind=' || kind || ' requires url' END AS message FROM links
+ WHERE CASE WHEN kind = 'Page' THEN page_id ELSE url END = ''""",
+)
 def content_check(spark, sf):
     datasets = {
         "faqs": inp.typed_documents(spark, sf, "faq"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
+from tomeline.operators import paging as pg
 from tomeline.operators import search as se
-from tomeline.operators.paging import page_slice
 from tomeline.plans import search_index as si
 from tomeline.queries import inputs as inp
 from tomeline.queries import sql
@@ -137,7 +137,7 @@ def build_search_index(spark, sf):
 def page_slice(spark, sf):
     found = se.matched_documents(docs(spark, sf), QUERY)
     order = [F.desc("score"), F.col("title"), F.col("doc_id")]
-    return page_slice(found.select("doc_id", "title", "score"), order, 3, 12).select("doc_id", "score")
+    return pg.page_slice(found.select("doc_id", "title", "score"), order, 3, 12).select("doc_id", "score")
 
 
 # Longer queries than the two words above: the words of a catalogue name, over the index.
