@@ -116,3 +116,54 @@ def test_written_tables_are_sorted(spark, tmp_path):
     df = spark.range(100).select((100 - F.col("id")).alias("k"))
     sinks.write_canonical(df, str(tmp_path / "t"), ["k"])
     assert sorted(r["k"] for r in spark.read.schema("k long").parquet(str(tmp_path / "t")).collect()) == list(range(1, 101))
+
+
+def test_import_pages(spark):
+    from tomeline.plans.import_pages import import_errata, import_faqs, import_rule_pages, update_manifest
+
+    blades = [
+        {"type": "hero"},
+        {"type": "articleRichText", "richText": {"body": "<h2>Part</h2><p>Text &amp; more.</p>"}},
+        {"type": "articleRichTextAccordion", "header": {"title": "Head"}, "groups": [
+            {"label": " Why? ", "content": {"body": "<p>So.</p>"}}, {"label": "", "content": {"body": ""}}]},
+        {"type": "articleRichText", "richText": {"body": "<p>Tail.</p>"}},
+    ]
+    page = {"title": "My “Page”", "description": "", "displayedPublishDate": "2025-02-03T00:00:00Z", "blades": blades}
+    html = '<script id="__NEXT_DATA__" type="x">' + json.dumps({"props": {"pageProps": {"page": page}}}) + "</script>"
+    pages = spark.createDataFrame(
+        [(1, "https://ex.org/news/my-page/", html), (2, "https://ex.org/x", "<p>none</p>"), (3, "https://ex.org/", html.replace("My", ""))],
+        "page_id int, url string, html string",
+    )
+    faq = import_faqs(pages, "2026-01-01", "src").filter("id = 'my-page'").first()
+    assert faq["content"] == "## Head\n\n### Why?\n\nSo." and faq["summary"] == "Head Why? So."
+    errata = import_errata(pages, "2026-01-01", "src").filter("id = 'my-page'").first()
+    assert errata["content"] == "## Part\nText & more."
+    made = import_rule_pages(pages, "2026-01-01")
+    rule = made.filter("id = 'my-page'").first()
+    assert rule["content"] == (
+        '# My "Page"\n\nSource: https://ex.org/news/my-page/\n\nPublished: 2025-02-03\n\n## Part\nText & more.\n\nTail.'
+    )
+    assert (rule["title"], rule["file"], rule["updated_at"]) == ('My "Page"', "content/pages/my-page.md", "2025-02-03")
+    assert {r["id"] for r in made.collect()} == {"my-page", "official-page"}
+    old = made.filter("id = 'my-page'").withColumn("title", F.lit("old")).withColumn("ord", F.lit(0))
+    new = made.withColumn("ord", F.when(F.col("id") == "my-page", 0).otherwise(1))
+    assert [r["title"] for r in update_manifest(old, new).orderBy("part", "ord").collect()] == ['My "Page"', '"Page"']
+
+
+def test_passages(spark):
+    from tomeline.operators.passages import locate_passages
+
+    blocks = spark.createDataFrame(
+        [(1, i, t, x) for i, (t, x) in enumerate([
+            ("h2", "First"), ("p", "the cost is paid twice"), ("h2", "Second (revised text)"), ("p", "the cost is paid"),
+            ("p", "the cost is paid again"), ("p", "103.1. A rule"), ("p", "alone")])],
+        "doc_id int, pos int, tag string, text string",
+    )
+    ask = [
+        (1, "cost is paid", "Second", "", 1), (2, "cost is paid", "Second", "", 9), (3, "ALONE", "", "", 1), (4, "x", "", "103.1", 1),
+        (5, "twice cost other words", "", "", 1), (6, "", "Second", "", 1), (7, "zzz qqq", "", "", 1),
+    ]
+    rows = spark.createDataFrame([(i, 1, q, h, r, n) for i, q, h, r, n in ask],
+                                 "req_id int, doc_id int, query string, heading string, rule_id string, ordinal int")
+    got = {r["req_id"]: (r["pos"], r["way"]) for r in locate_passages(rows, blocks).collect()}
+    assert got == {1: (3, 3), 2: (4, 3), 3: (6, 2), 4: (5, 1), 5: (1, 4), 6: (2, 4)}
