@@ -103,3 +103,13 @@ def test_deep_link(spark):
     made = lk.deep_link("faq", F.col("i"), F.col("q"), F.col("q"), F.col("h"), F.col("r"), F.col("n"))
     assert df.select(made).first()[0] == "/faq/a%20b%2Fc/?q=x+y&rq=x+y&ri=1"
     assert df.select(lk.page_path("pages", F.col("i"))).first()[0] == "pages/a%20b/c/"
+
+
+def test_stable_characters_need_no_composition():
+    import re
+    import unicodedata
+
+    stable = [chr(i) for i in range(0x3000) if not re.match(mk.NOT_COMPOSED, chr(i))]
+    assert all(unicodedata.normalize("NFKC", c) == c for c in stable)
+    assert unicodedata.normalize("NFKC", "".join(stable)) == "".join(stable)
+    assert all(unicodedata.combining(c) == 0 for c in stable)

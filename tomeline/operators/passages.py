@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import links as lk
 from tomeline.functions import text as tx
-from tomeline.functions.arrays import let
 
 LONG_QUERY, CORE_SCORE, FULL_SCORE = 12, 2200, 1000
 SCORED_TOKENS, LAST_TOKENS = 20, 8
@@ -35,7 +34,8 @@ def locate_passages(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
     The ways to find it, in order: rule number, equal text, text inside the named section,
     enough query words in the section (or the document), any query word there, the heading
     itself, and at last the block with the most words of the query. Of several blocks found
-    the same way the one at ``ordinal`` is taken, or the last one.
+    the same way the one at ``ordinal`` is taken, or the last one. A request meets the blocks of
+    its one document only, which came from one row, so its windows stay small.
     """
     keyed = search_blocks(blocks)
     query, heading = tx.search_key(F.col("query")), tx.search_key(F.col("heading"))
@@ -89,12 +89,10 @@ def locate_passages(wanted: DataFrame, blocks: DataFrame) -> DataFrame:
         .when(has_query & (F.col("last_score") > 1), 7)
     )
     ways = scored.withColumn("way", way).filter("way is not null")
-    first = ways.groupBy("req_id").agg(F.min("way").alias("way"))
-    found = ways.join(first, ["req_id", "way"])
+    of_request = Window.partitionBy("req_id")
+    found = ways.withColumn("first_way", F.min("way").over(of_request)).filter("way = first_way")
     by_place = F.when(F.col("way") == 7, -F.col("last_score")).otherwise(0)
-    place = Window.partitionBy("req_id").orderBy(by_place, "pos")
-    counted = found.withColumn("nth", F.row_number().over(place)).filter(
-        (F.col("nth") <= F.col("ordinal")) & ((F.col("way") != 7) | (F.col("nth") == 1))
-    )
+    placed = found.withColumn("nth", F.row_number().over(of_request.orderBy(by_place, "pos")))
+    counted = placed.filter((F.col("nth") <= F.col("ordinal")) & ((F.col("way") != 7) | (F.col("nth") == 1)))
     best = counted.groupBy("req_id").agg(F.max_by(F.struct("doc_id", "pos", "way"), "nth").alias("b"))
     return best.select("req_id", "b.*")

@@ -140,24 +140,24 @@ def _place_sql(cte: str, source: str, order: str) -> str:
 
 
 def _sorted_items(name, order, order_sql):
-    _sorted(name, lambda s, sf: _places(inp.items(s, sf), order), _place_sql(inp.ITEMS_CTE, "items", order_sql))
+    _sorted(name, lambda s, sf: _places(inp.items(s, sf), order()), _place_sql(inp.ITEMS_CTE, "items", order_sql))
 
 
 _RARITY_SQL = "CASE rarity WHEN 'Common' THEN 1 WHEN 'Uncommon' THEN 2 WHEN 'Rare' THEN 3 WHEN 'Epic' THEN 4 WHEN 'Legendary' THEN 5 ELSE 99 END"
-_sorted_items("sort_rarity", cat.item_order("rarity"), f"{_RARITY_SQL}, name, id")
-_sorted_items("sort_might", cat.item_order("might", "desc"), f"coalesce({_MIGHT}, 0) DESC, name DESC, id DESC")
-_sorted_items("sort_catalogue", cat.catalogue_order(), '"set", collector_number, public_code, id')
+_sorted_items("sort_rarity", lambda: cat.item_order("rarity"), f"{_RARITY_SQL}, name, id")
+_sorted_items("sort_might", lambda: cat.item_order("might", "desc"), f"coalesce({_MIGHT}, 0) DESC, name DESC, id DESC")
+_sorted_items("sort_catalogue", lambda: cat.catalogue_order(), '"set", collector_number, public_code, id')
 
 
 def _sorted_docs(name, order, order_sql):
     _sorted(
-        name, lambda s, sf: _places(inp.typed_documents(s, sf, "faq"), order), _place_sql(inp.typed_cte("faq"), "faq", order_sql)
+        name, lambda s, sf: _places(inp.typed_documents(s, sf, "faq"), order()), _place_sql(inp.typed_cte("faq"), "faq", order_sql)
     )
 
 
-_sorted_docs("sort_updated", cat.updated_order(), "updated_at DESC, id")
-_sorted_docs("sort_published", cat.published_order(id_descends=True), "published_at DESC, updated_at DESC, id DESC")
-_sorted_docs("sort_time", cat.time_order("asc"), "published_at, updated_at, title, id")
+_sorted_docs("sort_updated", lambda: cat.updated_order(), "updated_at DESC, id")
+_sorted_docs("sort_published", lambda: cat.published_order(id_descends=True), "published_at DESC, updated_at DESC, id DESC")
+_sorted_docs("sort_time", lambda: cat.time_order("asc"), "published_at, updated_at, title, id")
 
 
 @register(
