@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tomeline.functions import text as tx
 from tomeline.operators import passages as ps
 from tomeline.operators import related as rl
+from tomeline.operators.mentions import mention_join
 from tomeline.plans.content_check import content_check as run_check
 from tomeline.plans.related_content import build_related_index
 from tomeline.queries import inputs as inp
@@ -205,3 +207,36 @@ def content_check(spark, sf):
         "items": inp.items(spark, sf),
     }
     return run_check(datasets)["findings"]
+
+
+_TITLED = f"""regexp_replace({inp.replaced_sql('text', mq._BLOCKED)}, '(?m)^((?:[^ \\n]+ ){{4}}[^ \\n]+) ', '## \\1' || chr(10) || chr(10), 'g')"""
+_KNOWN = "(SELECT needle FROM names)"
+
+
+@register(
+    "section_snippet",
+    rf"""WITH {inp.NAMES_CTE}, targets AS (SELECT DISTINCT name, {sql.title_key('name')} AS target FROM names),
+ tl AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS line FROM (SELECT doc_id, string_split({_TITLED}, chr(10)) AS ps FROM documents)),
+ near AS (SELECT *, {sql.strip('line')} AS t, coalesce(first_value(nullif({sql.strip('line')}, '') IGNORE NULLS) OVER
+   (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS nxt FROM tl),
+ marks AS (SELECT *, CASE WHEN regexp_matches(line, '^##\s+') THEN {sql.strip(sql.sub('line', r'^##\s+'))}
+   WHEN regexp_matches(line, '^###\s+') AND NOT regexp_matches(line, '(?i)^###\s+q[:：]') THEN {sql.strip(sql.sub('line', r'^###\s+'))}
+   WHEN t <> '' AND t[1:1] <> '#' AND {sql.title_key('t')} IN {_KNOWN} AND (nxt = '' OR regexp_matches(nxt, '(?i)^#{{1,4}}\s+q[:：]') OR nxt[1:1] <> '#') THEN t ELSE '' END AS heading FROM near),
+ grouped AS (SELECT *, sum(CASE WHEN heading <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM marks),
+ secs AS (SELECT doc_id, sec, heading, {sql.title_key('heading')} AS key FROM grouped WHERE heading <> ''),
+ firsts AS (SELECT doc_id, sec, heading, key FROM secs WHERE key IN (SELECT target FROM targets) QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY sec) = 1),
+ paras AS (SELECT f.doc_id, f.key, pos, {sql.plain_index('line')} AS p FROM firsts f JOIN grouped g ON g.doc_id = f.doc_id AND g.sec = f.sec AND g.heading = ''),
+ keyed AS (SELECT *, {sql.title_key('p')} AS pk FROM paras WHERE p <> ''),
+ cut AS (SELECT *, coalesce(min(pos) FILTER (pk <> key AND pk IN {_KNOWN}) OVER (PARTITION BY doc_id, key), 1000000000) AS stop FROM keyed),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS k FROM cut WHERE pos < stop AND pk <> key),
+ blocks AS (SELECT *, sum(CASE WHEN k = 1 OR regexp_matches(p, '^[qQ][:：]') OR ends_with(p, '?') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, key ORDER BY pos) AS blk FROM kept),
+ chosen AS (SELECT doc_id, key, coalesce(min(blk) FILTER (regexp_matches(p, '^[qQ][:：]')), 1) AS blk FROM blocks GROUP BY doc_id, key),
+ bodies AS (SELECT doc_id, key, array_to_string(list(p ORDER BY pos)[1:4], chr(10) || chr(10)) AS body FROM blocks JOIN chosen USING (doc_id, key, blk) GROUP BY doc_id, key)
+ SELECT 'f' || f.doc_id AS doc_id, t.name, coalesce(b.body, '') AS body, f.heading FROM firsts f JOIN targets t ON t.target = f.key LEFT JOIN bodies b ON b.doc_id = f.doc_id AND b.key = f.key""",
+)
+def section_snippet(spark, sf):
+    docs = titled_documents(spark, sf).select(F.col("id").alias("doc_id"), "content")
+    names = rl.item_names(inp.names(spark, sf))
+    texts = docs.select("doc_id", tx.match_key(tx.md_plain_index(F.col("content"))).alias("text"))
+    pairs = mention_join(texts, names, ["doc_id"]).join(names, "needle")
+    return rl.section_snippets(docs, pairs, names, "faq").select("doc_id", "name", "body", "heading")
