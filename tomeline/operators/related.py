@@ -417,9 +417,7 @@ def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str,
 def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     """Question blocks of sections whose heading mentions the name, and blocks that mention it."""
     is_title = lambda t: F.array_contains(F.col("known"), tx.drop_revised_suffix(tx.match_key(t)))
-    blocks = F.transform(
-        ln.qa_blocks(F.transform("parts", lambda p, i: p), is_title), lambda b: b
-    )
+    blocks = ln.qa_blocks(F.col("parts"), is_title)
     cut = secs.filter(F.size("parts") > 0).select(
         "doc_id", "sec", "heading", "known", "parts", F.posexplode(blocks).alias("blk", "block")
     )

@@ -124,9 +124,6 @@ def top_hits(docs: DataFrame, query: str, kind: str = "Rule", size: int = 20) ->
     Each task keeps its own best ``size`` documents, enough because each has a hit, and only
     these are cut into hits.
     """
-    tokens = query_tokens(query)
     found = matched_documents(docs, query, kind)
     best = found.orderBy(F.desc("score"), "title", *tie_break(found)).limit(size)
-    if not tokens:
-        return search_hits(best.drop("score"), query, kind).limit(size)
     return search_hits(best.drop("score"), query, kind).limit(size)

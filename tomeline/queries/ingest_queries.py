@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tomeline.operators import quality as dq
 from tomeline.plans.import_pages import import_errata, import_faqs, import_rule_pages
-from tomeline.queries import inputs as inp
 from tomeline.queries import sql
 from tomeline.queries.registry import register, table
 from tomeline.sources import ingest as ig
@@ -166,9 +165,6 @@ def build_documents(spark, sf):
     return made.select("kind", "id", "title", "source", "published_at", "origin_url", "updated_at")
 
 
-_ARTICLE_PLAIN = sql.plain(_ART)
-
-
 @register(
     "import_pages",
     f"""WITH {_SOURCE} SELECT 'rule_page' AS kind, {_SLUG} AS id, {sql.inline(sql.strip('title'))} AS title, '2025-02-03' AS updated_at,
@@ -179,15 +175,13 @@ def import_pages(spark, sf):
     return made.select("kind", "id", "title", "updated_at", "file")
 
 
-@register(
-    "import_page_texts",
-)
+@register("import_page_texts")
 def import_page_texts(spark, sf):
     return import_rule_pages(payload_pages(spark, sf), "2026-01-01").select("id", "summary", "content")
 
 
 _SITE_PATH = r"^([^?#]*)"
-_HREFS = r"""hrefs AS (SELECT DISTINCT page_path, href FROM (SELECT path || CASE WHEN ends_with(path, '/') THEN '' ELSE '' END AS page_path,
+_HREFS = r"""hrefs AS (SELECT DISTINCT page_path, href FROM (SELECT path AS page_path,
  unnest(regexp_extract_all(h, 'href="([^"]+)"', 1)) AS href FROM linked) WHERE NOT regexp_matches(href, '^(https?://|mailto:|#)')
  AND string_split(href, '?')[1] <> '')"""
 _LINKED = f"""linked AS (SELECT replace(regexp_extract(url, '{_SITE_PATH}', 1), '://', '/') AS path, html || '<a href="x.html?q=1">x</a><a href="https://a.b">b</a><a href="?p">c</a>' AS h FROM pages)"""

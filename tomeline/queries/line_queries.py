@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from tomeline.functions.arrays import explode_column, segments
 from tomeline.operators import lines as ln
 from tomeline.operators import rulebook as rb

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
-from tomeline.operators import lines as ln
 from tomeline.operators import mentions as mn
 from tomeline.operators import related as rl
 from tomeline.queries import inputs as inp

@@ -12,8 +12,6 @@ from tomeline.queries import inputs as inp
 from tomeline.queries import sql
 from tomeline.queries.registry import register, table
 
-TEXT = F.col
-
 
 def _documents_query(name: str, made, made_sql: str):
     """Register a text function over all documents; ``made`` maps the text to the result."""
@@ -207,8 +205,6 @@ def search_text(spark, sf):
     return inp.items(spark, sf).select("ord", tx.search_text(*fields).alias("out"))
 
 
-_VARIANT_TEXT = "lower(variant || ' ' || array_to_string(tags, ' '))"
-_VARIANT_SQL = "CASE WHEN p_brand = 'Brand#3' THEN 'signed standard' WHEN p_brand = 'Brand#4' THEN 'altart' ELSE '' END"
 
 
 def _variant_rows(spark, sf):
