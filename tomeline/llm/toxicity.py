@@ -29,9 +29,9 @@ from tomeline.llm.common import pin
 
 SAMPLE, FEATURES, GRADES, LEAST_ROWS = 8000, 1500, 4, 5
 STEMS = range(3, 8)
-RIDGE, STEPS = 1e-3, 400
+RIDGE, STEPS = 3e-4, 400
 #: Severity from which a text counts as toxic.
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 KEPT_WORDS = 400_000
 
