@@ -114,7 +114,9 @@ def shard_of(trigger: np.ndarray, shards: int) -> np.ndarray:
 
 def by_shard(shard: np.ndarray) -> list[tuple[int, slice]]:
     """Stretches of equal, sorted shard numbers."""
-    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+    if not len(shard):
+        return []
+    edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     return [(int(shard[a]), slice(a, b)) for a, b in zip(edge.tolist(), [*edge.tolist()[1:], len(shard)], strict=True)]
 
 
