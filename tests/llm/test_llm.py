@@ -88,6 +88,7 @@ def test_sentencepiece_on_odd_rows(odd, none):
     rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(odd))
     assert pairs(rows, "doc_id", "decoded") == pairs(odd, "doc_id", "text")
     assert pairs(rows.select("doc_id", F.to_json("ids").alias("i")), "doc_id", "i") == pairs(sentencepiece_bpe.encode(odd).select("doc_id", F.to_json("ids").alias("i")), "doc_id", "i")
+    assert pairs(sentencepiece_bpe.encode(odd, decoded=True), "doc_id", "decoded") == pairs(odd, "doc_id", "text")
     assert sentencepiece_bpe.encode(none).count() == 0
 
 

@@ -48,6 +48,22 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
+#: Rows of one Arrow batch between Spark and Python, where rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Have the session send at most ``BATCH_ROWS`` rows at a time to Python, or fewer where it already does.
+
+    The default of 10,000 whole texts would fill tens of megabytes four times over in every running task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import as_bytes, in_slices
+from tomeline.llm.common import as_bytes, bound_batches, in_slices
 
 WIDTH, TILE = 64, 16
 _HEADER = re.compile(rb"(?:\s|#[^\n]*\n)*(\S+)")
@@ -128,7 +128,7 @@ def store_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         media = pa.array([to_netpbm(padded(t)) for t in texts], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(in_slices(500, make), f"doc_id {kind}, n_bytes long, media binary")
+    return bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(in_slices(500, make), f"doc_id {kind}, n_bytes long, media binary")
 
 
 FEATURES = "height int, width int, channels int, tile binary, feature string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
@@ -158,4 +158,4 @@ def describe(rows: DataFrame, media: str = "media") -> DataFrame:
         return got
 
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in names]
-    return rows.select(*kept, ask(F.col(media)).alias("told")).select(*kept, "told.*")
+    return bound_batches(rows).select(*kept, ask(F.col(media)).alias("told")).select(*kept, "told.*")

@@ -12,7 +12,7 @@ from tomeline.llm.common import table
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and what they decode to."""
     docs = table(spark, sf_dir, "documents")
-    got = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs))
+    got = sentencepiece_bpe.encode(docs, decoded=True)
     return got.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.length("decoded").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

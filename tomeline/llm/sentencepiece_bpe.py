@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeline.llm.common import bound_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 17
 MARK = "▁"
 #: Blank marks with what follows them up to the next mark.
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Parts longer than this are merged with a heap; parts (and characters) kept per task; rows at a time.
-LONG, KEPT, KEPT_CHARS, SLICE = 48, 300_000, 1 << 24, 500
+LONG, KEPT, KEPT_CHARS, SLICE = 48, 150_000, 1 << 23, 250
 M64 = (1 << 64) - 1
 
 
@@ -312,14 +314,17 @@ class Decoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED) -> DataFrame:
-    """``doc_id, ids`` for every row. The model is read on the driver and sent along."""
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` for every row. The model is read on the driver and sent along.
+
+    With ``decoded`` the ids are also decoded again in the same pass, as by ``decode``.
+    """
     vocabulary = Vocabulary.read(docs.sparkSession, model)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value, dropout, variants, seed)
+        encoder, decoder = Encoder(held.value, dropout, variants, seed), Decoder(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 now = batch.slice(at, SLICE)
@@ -328,9 +333,14 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
                 ids, counts = encoder.encode_all([t or "" for t in texts], names)
                 ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32(), mask=np.r_[[t is None for t in texts], False])
                 got = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([now.column(0), got], names=["doc_id", "ids"])
+                if not decoded:
+                    yield pa.RecordBatch.from_arrays([now.column(0), got], names=["doc_id", "ids"])
+                    continue
+                back = [None if x is None else decoder.decode(x) for x in got.to_pylist()]
+                yield pa.RecordBatch.from_arrays([now.column(0), got, pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(body, f"doc_id {kind}, ids array<int>")
+    rows = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(body, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -347,4 +357,4 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
                 texts = [None if x is None else decoder.decode(x) for x in now.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([now.column(0), now.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return rows.select("doc_id", "ids").mapInArrow(body, f"doc_id {kind}, ids array<int>, decoded string")
+    return bound_batches(rows).select("doc_id", "ids").mapInArrow(body, f"doc_id {kind}, ids array<int>, decoded string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import as_bytes, in_slices, pin, small_side
+from tomeline.llm.common import as_bytes, bound_batches, in_slices, pin, small_side
 from tomeline.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 4, 42, 4, 12
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
         made = np.array([fingerprint(x, shingle) for x in as_bytes(batch.column(2))], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    rows = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     return rows.mapInArrow(in_slices(500, make), f"doc_id {kind}, text_hash long, fp long")
 
 

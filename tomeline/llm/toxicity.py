@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import pin
+from tomeline.llm.common import bound_batches, pin
 
 SAMPLE, FEATURES, GRADES, LEAST_ROWS = 8000, 1500, 4, 5
 STEMS = range(3, 8)
@@ -189,4 +189,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", doc_id: str
                 severity, grade = scorer.grades(now.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([now.column(0), pa.array(severity), pa.array(grade), pa.array(severity >= threshold)], names=["doc_id", "severity", "grade", "toxic"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(body, f"doc_id {kind}, severity double, grade int, toxic boolean")
+    return bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(body, f"doc_id {kind}, severity double, grade int, toxic boolean")
