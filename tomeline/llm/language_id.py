@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeline.llm.common import bound_batches, in_slices
+from tomeline.llm.common import bound_batches, in_slices, pin, small_side
 
 MAX_N, GRAM_BITS = 4, 17
 PER_LANG, LANDMARKS_PER_LANG, RIDGE = 250, 24, 1e-3
@@ -114,9 +114,9 @@ def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_lang: int = P
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).isNull().alias("none"))
     ids = ids.filter(F.col("lang").isNotNull() & ~F.col("none") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).drop("none")
     # The sample has at most per_lang rows of each language, all of them ids.
-    picked = ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select(F.col("doc_id").alias("pick"), F.col("lang").alias("pick_lang"))
+    picked = pin(ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select(F.col("doc_id").alias("pick"), F.col("lang").alias("pick_lang")))
     texts = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    met = texts.join(picked, (F.col("doc_id") == F.col("pick")) & (F.col("lang") == F.col("pick_lang")), "left_semi").filter(F.col("text").isNotNull())
+    met = texts.join(small_side(picked), (F.col("doc_id") == F.col("pick")) & (F.col("lang") == F.col("pick_lang")), "left_semi").filter(F.col("text").isNotNull())
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [gram_set(t).tobytes() if LETTER.search(t) else b"" for t in batch.column(1).to_pylist()]
