@@ -23,7 +23,9 @@ def iso_date(c: Column, default: Column) -> Column:
 
 def display_date(c: Column) -> Column:
     raw = tx.strip(tx.text_or_empty(c))
-    as_date = F.date_format(F.try_to_timestamp(raw), "yyyy-MM-dd")
+    forms = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy", "yyyy/M/d"]
+    read = F.coalesce(F.try_to_timestamp(raw), *[F.try_to_timestamp(raw, F.lit(f)) for f in forms])
+    as_date = F.date_format(read, "yyyy-MM-dd")
     return (
         F.when(raw == "", F.lit("-"))
         .when(raw.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), raw)

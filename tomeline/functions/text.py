@@ -147,7 +147,12 @@ def md_plain_client(c: Column) -> Column:
     """Markdown to one plain line, as pages in the browser do it: entities, tags, links."""
     from tomeline.functions.markup import decode_entities
 
-    out = _unmark(_unlink(_untag(decode_entities(text_or_empty(c)))))
+    return plain_decoded(decode_entities(text_or_empty(c)))
+
+
+def plain_decoded(c: Column) -> Column:
+    """``md_plain_client`` of a text whose entities are decoded already; JVM-side, also inside lambdas."""
+    out = _unmark(_unlink(_untag(text_or_empty(c))))
     return collapse_ws_web(sub(out, DOWNLOAD_PREFIX))
 
 
@@ -167,8 +172,12 @@ def match_key_web(c: Column) -> Column:
     """Match key of the browser: compatibility forms composed first, acute folded too."""
     from tomeline.functions.markup import nfkc
 
-    folded = F.translate(nfkc(text_or_empty(c)), WEB_QUOTES_FROM, WEB_QUOTES_TO)
-    return F.lower(_repair_mojibake(folded))
+    return fold_web(nfkc(text_or_empty(c)))
+
+
+def fold_web(c: Column) -> Column:
+    """``match_key_web`` of a text whose compatibility forms are composed already; JVM-side, also inside lambdas."""
+    return F.lower(_repair_mojibake(F.translate(text_or_empty(c), WEB_QUOTES_FROM, WEB_QUOTES_TO)))
 
 
 def search_key(c: Column) -> Column:

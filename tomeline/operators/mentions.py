@@ -18,7 +18,6 @@ from tomeline.functions.arrays import let
 
 RUN = r"[a-z0-9]+"
 LONGEST_GRAM = 3
-SMALL_NAME_LIST = 50_000
 GRAM_SIZES = (1, 2, 3, 6, 12)
 
 
@@ -51,15 +50,22 @@ def _sign_grams(text: Column) -> Column:
 def _name_keys(names: DataFrame, needle: str) -> DataFrame:
     """Distinct needles with their blocking key and the number of runs in it."""
     runs = F.regexp_extract_all(F.col("needle"), F.lit(RUN), F.lit(0))
-    lead = F.array_join(F.slice(runs, 1, LONGEST_GRAM), " ")
     signs = F.substring("needle", 1, 2)
-    return (
+    grams = F.least(F.size("runs"), F.lit(LONGEST_GRAM))
+    starts = F.sequence(F.lit(1), F.size("runs") - F.col("grams") + 1)
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("runs", i, F.col("grams")), " "))
+    each = (
         names.select(F.col(needle).alias("needle"))
         .filter(F.col("needle") != "")
         .distinct()
-        .withColumn("grams", F.least(F.size(runs), F.lit(LONGEST_GRAM)))
-        .withColumn("key", F.xxhash64(F.when(F.col("grams") == 0, signs).otherwise(lead)))
+        .withColumn("runs", runs)
+        .withColumn("grams", grams)
+        .select("needle", "grams", F.explode(F.when(F.col("grams") == 0, F.array(signs)).otherwise(windows)).alias("window"))
+        .withColumn("key", F.xxhash64("window"))
     )
+    # Names that begin alike share their first words; the window that fewest names have parts them.
+    shared = each.groupBy("key").agg(F.count("*").alias("n"))
+    return each.join(shared, "key").groupBy("needle", "grams").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
 
 
 def mention_join(
@@ -68,22 +74,17 @@ def mention_join(
     text_id: list[str],
     text: str = "text",
     needle: str = "needle",
-    small_list: int = SMALL_NAME_LIST,
 ) -> DataFrame:
     """All ``(text_id, needle)`` pairs where the needle stands bounded in the text.
 
     ``text`` and ``needle`` are match keys already. A bounded match makes every run of letters
     and digits of the needle a complete run of the text, in the same order, so the hash of the
-    needle's first (up to three) runs is among the hashes of the text's adjacent runs. Texts
-    emit hashes only; the check with the text follows on the few pairs that met.
-
-    The name list is counted first. A list of up to ``small_list`` names is broadcast and the
-    texts do not move at all; a longer one is shuffled with the hashes, and the surviving pairs
-    are joined back to their texts.
+    needle's rarest window of (up to three) runs is among the hashes of the text's adjacent runs.
+    Texts emit hashes only; the pairs that met are joined back to their texts and checked. Spark
+    broadcasts the keys or the pairs where their bytes, as it meets them, allow it.
     """
     keys = _name_keys(names, needle)
-    stats = keys.agg(F.count("*").alias("n"), F.collect_set("grams").alias("sizes")).first()
-    sizes = set(stats["sizes"])
+    sizes = {0, 1, 2, 3}
     runs = F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))
     hashes = _run_grams(runs, sizes)
     if 0 in sizes:
@@ -91,9 +92,6 @@ def mention_join(
     emitted = F.explode(F.array_distinct(hashes)).alias("key")
     verified = tx.bounded_match(F.col(text), F.col("needle"))
     needles = keys.select("key", "needle")
-    if stats["n"] <= small_list:
-        pairs = texts.select(*text_id, text, emitted).join(F.broadcast(needles), "key")
-        return pairs.filter(verified).select(*text_id, "needle")
     pairs = texts.select(*text_id, emitted).join(needles, "key").select(*text_id, "needle")
     return pairs.join(texts.select(*text_id, text), text_id).filter(verified).select(*text_id, "needle")
 
@@ -187,8 +185,7 @@ def _lead_gram(names: pd.Series, sizes: pd.Series) -> pd.Series:
 
 
 def contained_names(
-    texts: DataFrame, names: DataFrame, text_id: list[str], text: str = "text", name: str = "name",
-    small_list: int = SMALL_NAME_LIST,
+    texts: DataFrame, names: DataFrame, text_id: list[str], text: str = "text", name: str = "name"
 ) -> DataFrame:
     """All ``(text_id, name)`` pairs where the name stands anywhere in the text.
 
@@ -201,13 +198,10 @@ def contained_names(
     needles = (
         names.select(F.col(name).alias("name")).filter("name <> ''").distinct().withColumn("size", size)
     )
-    stats = needles.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+    sizes = [r["size"] for r in needles.select("size").distinct().collect()]  # five at most
     keys = needles.select("name", _lead_gram("name", "size").alias("key"))
-    emitted = F.explode(_gram_udf(tuple(sorted(stats["sizes"] or [1])))(F.col(text))).alias("key")
+    emitted = F.explode(_gram_udf(tuple(sorted(sizes or [1])))(F.col(text))).alias("key")
     inside = F.contains(F.col(text), F.col("name"))
-    if stats["n"] <= small_list:
-        found = texts.select(*text_id, text, emitted).join(F.broadcast(keys), "key")
-        return found.filter(inside).select(*text_id, "name").distinct()
     pairs = texts.select(*text_id, emitted).join(keys, "key").select(*text_id, "name").distinct()
     return pairs.join(texts.select(*text_id, text), text_id).filter(inside).select(*text_id, "name")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tomeline.sources.sinks import materialize
 
 PART_BITS = 33
-TOP_ROWS = 10_000
 
 
 def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
@@ -30,13 +29,11 @@ def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFr
 def page_slice(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """One page of an ordered result; a page past the end gives the last one.
 
-    The first page needs no count. Near pages are a top-k, for which every task keeps its own
-    first rows; far pages are cut from the numbered rows, so that no task holds all rows ahead.
+    Pages are cut from the numbered rows, near and far ones alike, so that no task ever holds
+    the rows ahead of a page.
     """
     if page > 1:
         page = min(page, max(1, -(-df.count() // size)))
     start = (max(1, page) - 1) * size
-    if start + size <= TOP_ROWS:
-        return df.orderBy(*order).offset(start).limit(size)
     rows = numbered(df, order, "__place").filter((F.col("__place") > start) & (F.col("__place") <= start + size))
     return rows.orderBy("__place").drop("__place")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeline.functions import links as lk
+from tomeline.functions import markup as mk
 from tomeline.functions import text as tx
 from tomeline.functions.arrays import explode_column, let, positions_where
 from tomeline.operators import lines as ln
@@ -213,7 +214,7 @@ def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def merge_hits(hits: DataFrame, group: list[str], order: str, cap: int = HITS_PER_DOCUMENT) -> DataFrame:
+def merge_hits(hits: DataFrame, group: list[str], order: str, cap: int | None = HITS_PER_DOCUMENT) -> DataFrame:
     """Hits of each group with equal snippets merged, in first-seen order, at most ``cap``.
 
     Equal snippets are folded by an aggregate before any row number is given, and each task
@@ -224,7 +225,7 @@ def merge_hits(hits: DataFrame, group: list[str], order: str, cap: int = HITS_PE
     once = keyed.groupBy(*group, "snippet_key").agg(F.min_by(F.struct(*fields), order).alias("h"))
     flat = once.select(*group, "h.*")
     nth = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return flat.withColumn("nth", nth).filter(F.col("nth") <= cap)
+    return flat.withColumn("nth", nth).filter(F.lit(True) if cap is None else F.col("nth") <= cap)
 
 
 def pack_hits(merged: DataFrame, group: list[str]) -> DataFrame:
@@ -234,27 +235,27 @@ def pack_hits(merged: DataFrame, group: list[str]) -> DataFrame:
     return merged.groupBy(*group).agg(matches.alias("matches"))
 
 
-def top_docs_per_item(rows: DataFrame, item: list[str], order: list[Column], n: int = DOCUMENTS_PER_ITEM) -> DataFrame:
+def top_docs_per_item(rows: DataFrame, item: list[str], order: list[Column], n: int | None = DOCUMENTS_PER_ITEM) -> DataFrame:
     """First documents of each item; each task keeps its own first ones before rows move."""
     rank = F.row_number().over(Window.partitionBy(*item).orderBy(*order))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return rows.withColumn("rank", rank).filter(F.lit(True) if n is None else F.col("rank") <= n)
 
 
-def related_by_name(hits: DataFrame) -> DataFrame:
+def related_by_name(hits: DataFrame, cap: int | None = HITS_PER_DOCUMENT, documents: int | None = DOCUMENTS_PER_ITEM) -> DataFrame:
     """Index rows per match key: ``needle, kind, rank, doc_id, title, matches``."""
     group = ["needle", "kind", "doc_id", "title"]
-    packed = pack_hits(merge_hits(hits, group, "name_ord"), group)
-    return top_docs_per_item(packed, ["needle", "kind"], [F.col("title"), F.col("doc_id")])
+    packed = pack_hits(merge_hits(hits, group, "name_ord", cap), group)
+    return top_docs_per_item(packed, ["needle", "kind"], [F.col("title"), F.col("doc_id")], documents)
 
 
-def related_by_id(hits: DataFrame, items: DataFrame) -> DataFrame:
+def related_by_id(hits: DataFrame, items: DataFrame, cap: int | None = HITS_PER_DOCUMENT, documents: int | None = DOCUMENTS_PER_ITEM) -> DataFrame:
     """Index rows per item: ``item_id, kind, rank, doc_id, title, matches``.
 
     The few documents of each name are found first; items with that name then take them.
     """
     group = ["name", "kind", "doc_id", "title"]
-    packed = pack_hits(merge_hits(hits, group, "name_ord"), group)
-    best = top_docs_per_item(packed, ["name", "kind"], [F.col("title"), F.col("doc_id")])
+    packed = pack_hits(merge_hits(hits, group, "name_ord", cap), group)
+    best = top_docs_per_item(packed, ["name", "kind"], [F.col("title"), F.col("doc_id")], documents)
     named = items.select(tx.strip(F.col("id")).alias("item_id"), tx.strip(F.col("name")).alias("name"))
     distinct = named.filter("item_id <> ''").distinct()
     return distinct.join(best, "name").select("item_id", "kind", "rank", "doc_id", "title", "matches")
@@ -289,7 +290,7 @@ def relation_lookup(wanted: DataFrame, live: DataFrame, by_id: DataFrame, by_nam
 
 def _parts_text(parts: Column) -> Column:
     """Paragraphs of a snippet, repeats dropped, escaped and joined by blank lines."""
-    keyed = F.transform(parts, lambda p: F.struct(tx.match_key(tx.md_plain_index(p)).alias("key"), tx.strip(p).alias("text")))
+    keyed = F.transform(parts, lambda p: F.struct(tx.fold_web(tx.plain_decoded(p)).alias("key"), tx.strip(p).alias("text")))
 
     def once(rows: Column) -> Column:
         keys = F.transform(rows, lambda r: r["key"])
@@ -301,21 +302,25 @@ def _parts_text(parts: Column) -> Column:
     return F.transform(let(keyed, once), lambda r: r["text"])
 
 
-def related_content(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
-    """All hits of each document and name, up to 12 per document and 4 documents per name.
+def related_content(
+    docs: DataFrame, items: DataFrame, kind: str, hits_per_document: int | None = HITS_PER_DOCUMENT, documents: int | None = DOCUMENTS_PER_ITEM
+) -> DataFrame:
+    """All hits of each document and name, up to 12 per document and 4 documents per name; None lifts a limit.
 
     Headings, paragraphs, titles and numbered rows of all documents are the units of one
     shadow-aware mention join; the hits are then put together per document and name.
     """
+    composed = lambda c: mk.nfkc(mk.decode_entities(tx.text_or_empty(c)))
     names = items.select(tx.match_key_web(tx.strip(F.col("name"))).alias("needle")).filter("needle <> ''").distinct()
     rows = docs.select(
         F.col("id").alias("doc_id"),
-        F.coalesce(tx.blank_to_null(tx.strip(F.col("title"))), F.lit("Untitled")).alias("title"),
-        F.concat_ws("\n", tx.blank_to_null(F.col("content")), tx.blank_to_null(F.col("summary"))).alias("body"),
+        F.coalesce(tx.blank_to_null(tx.strip(composed(F.col("title")))), F.lit("Untitled")).alias("title"),
+        composed(F.concat_ws("\n", tx.blank_to_null(F.col("content")), tx.blank_to_null(F.col("summary")))).alias("body"),
         tx.text_or_empty(F.col("published_at")).alias("published_at"),
         tx.text_or_empty(F.col("updated_at")).alias("updated_at"),
     )
-    title_of = lambda t: tx.drop_revised_suffix(tx.match_key(t))
+    # Entities and compatibility forms are read once per text, so that all later steps stay in the JVM.
+    title_of = lambda t: tx.drop_revised_suffix(tx.fold_web(t))
     lines = ln.split_lines(F.col("body"))
     titled = _with_known(rows, F.transform(lines, lambda t: title_of(tx.strip(t))), names)
     rule = {"faq": ln.faq_rule(_is_known(title_of)), "errata": ln.errata_client_rule}.get(kind, ln.h2_rule)
@@ -327,14 +332,14 @@ def related_content(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     secs = _with_known(per_section, heads, names).select("doc_id.*", "heading", "parts", "known")
 
     def unit(role: str, sec: Column, n: Column, text: Column) -> list[Column]:
-        return [F.lit(role).alias("role"), sec.alias("sec"), n.alias("n"), tx.match_key(text).alias("text")]
+        return [F.lit(role).alias("role"), sec.alias("sec"), n.alias("n"), tx.fold_web(tx.plain_decoded(text)).alias("text")]
 
     zero = F.lit(0)
     head_units = secs.select("doc_id", *unit("head", F.col("sec"), zero, F.col("heading")))
     part_units = explode_column(secs.select("doc_id", "sec", "parts"), "parts", "n", "p").select(
         "doc_id", *unit("part", F.col("sec"), F.col("n"), F.col("p"))
     )
-    title_units = rows.select("doc_id", *unit("title", zero, zero, tx.md_plain_index(F.col("title"))))
+    title_units = rows.select("doc_id", *unit("title", zero, zero, tx.plain_decoded(F.col("title"))))
     units = head_units.unionByName(part_units).unionByName(title_units)
     rule_rows = None
     if kind == "rule":
@@ -348,7 +353,7 @@ def related_content(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         hits = _section_hits(secs, rows, found, kind, title_of)
         if rule_rows is not None:
             hits = hits.unionByName(_rule_hits(rule_rows, found))
-    return _number_hits(hits, rows, kind)
+    return _number_hits(hits, rows, kind, hits_per_document, documents)
 
 
 def _rule_rows(rows: DataFrame) -> DataFrame:
@@ -366,9 +371,10 @@ def _rule_rows(rows: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.posexplode(with_parent).alias("n", "r")).select("doc_id", "n", "r.*")
 
 
-def _hit(phase: int, n: Column, parts: Column, anchor: Column, heading: Column, rule_id: Column) -> list[Column]:
+def _hit(phase: int, n: Column | tuple[Column, Column], parts: Column, anchor: Column, heading: Column, rule_id: Column) -> list[Column]:
+    n, m = n if isinstance(n, tuple) else (n, F.lit(0))
     return [
-        F.struct(F.lit(phase).alias("phase"), n.cast("long").alias("n")).alias("at"),
+        F.struct(F.lit(phase).alias("phase"), n.cast("long").alias("n"), m.cast("long").alias("m")).alias("at"),
         _parts_text(parts).alias("parts"),
         tx.strip(anchor).alias("anchor_text"),
         tx.strip(tx.text_or_empty(heading)).alias("anchor_heading"),
@@ -388,8 +394,8 @@ def _rule_hits(rule_rows: DataFrame, found: DataFrame) -> DataFrame:
 def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str, title_of) -> DataFrame:
     """Hits of headings, of the document's title, and of the first two paragraphs that mention."""
     heads = found.filter("role = 'head'").select("doc_id", "sec", "needle").join(secs, ["doc_id", "sec"])
-    own = F.filter("parts", lambda p: tx.match_key(p) != tx.match_key(F.col("heading")))
-    shown = F.slice(own, 1, 2 if kind == "rule" else 99)
+    own = F.filter("parts", lambda p: tx.fold_web(p) != tx.fold_web(F.col("heading")))
+    shown = F.slice(own, 1, 2) if kind == "rule" else own
     heading = F.col("heading")
     by_head = heads.withColumn("shown", shown).select(
         "doc_id",
@@ -400,13 +406,13 @@ def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str,
         ),
     )
     titles = found.filter("role = 'title'").select("doc_id", "needle").join(rows.select("doc_id", "title", "body"), "doc_id")
-    plain = F.coalesce(tx.blank_to_null(tx.md_plain_index(F.col("body"))), F.col("title"))
+    plain = F.coalesce(tx.blank_to_null(tx.plain_decoded(F.col("body"))), F.col("title"))
     by_title = titles.withColumn("plain", plain).select(
         "doc_id", "needle", *_hit(2, F.lit(0), F.array("plain"), F.col("plain"), F.col("title"), F.lit(""))
     )
     parts = found.filter("role = 'part'").groupBy("doc_id", "sec", "needle").agg(F.min("n").alias("first"), F.collect_set("n").alias("ns"))
     hit = parts.join(secs, ["doc_id", "sec"])
-    foreign = F.array_contains(F.col("known"), tx.match_key(heading)) & (tx.match_key(heading) != F.col("needle"))
+    foreign = F.array_contains(F.col("known"), tx.fold_web(heading)) & (tx.fold_web(heading) != F.col("needle"))
     two = F.transform(F.slice(F.array_sort("ns"), 1, 2), lambda n: F.get(F.col("parts"), n))
     by_part = hit.filter(~foreign).select(
         "doc_id", "needle", *_hit(3, F.col("sec"), two, F.get(F.col("parts"), F.col("first")), heading, F.lit(""))
@@ -416,7 +422,7 @@ def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str,
 
 def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     """Question blocks of sections whose heading mentions the name, and blocks that mention it."""
-    is_title = lambda t: F.array_contains(F.col("known"), tx.drop_revised_suffix(tx.match_key(t)))
+    is_title = lambda t: F.array_contains(F.col("known"), tx.drop_revised_suffix(tx.fold_web(t)))
     blocks = ln.qa_blocks(F.col("parts"), is_title)
     cut = secs.filter(F.size("parts") > 0).select(
         "doc_id", "sec", "heading", "known", "parts", F.posexplode(blocks).alias("blk", "block")
@@ -425,7 +431,7 @@ def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     parts = found.filter("role = 'part'").select("doc_id", "sec", "needle").distinct()
     wanted = parts.join(heads, ["doc_id", "sec", "needle"], "full")
     pairs = wanted.join(cut, ["doc_id", "sec"])
-    key = lambda p: tx.match_key(p)
+    key = lambda p: tx.fold_web(p)
 
     def clean(block: Column) -> Column:
         rows = F.filter(block, lambda p: key(p) != key(F.col("heading")))
@@ -444,31 +450,30 @@ def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     hit = cleaned.filter(F.coalesce("in_head", F.lit(False)) | named)
     heading = F.col("heading")
     shown = F.concat(F.filter(F.array(heading), lambda h: h != ""), F.col("clean"))
-    n = F.col("sec") * F.lit(1_000_000) + F.col("blk")
-    return hit.select("doc_id", "needle", *_hit(4, n, shown, F.get(F.col("clean"), F.lit(0)), heading, F.lit("")))
+    return hit.select("doc_id", "needle", *_hit(4, (F.col("sec"), F.col("blk")), shown, F.get(F.col("clean"), F.lit(0)), heading, F.lit("")))
 
 
-def _number_hits(hits: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+def _number_hits(hits: DataFrame, rows: DataFrame, kind: str, most_hits: int | None, most_docs: int | None) -> DataFrame:
     """Merge equal hits, number anchors, keep the first hits and the newest documents."""
-    joined = tx.match_key(tx.md_plain_index(F.array_join("parts", " ")))
+    joined = tx.fold_web(tx.plain_decoded(F.array_join("parts", " ")))
     asked = F.instr(joined, "q:")
     key = F.when(asked > 1, F.trim(F.substring(joined, asked, F.length(joined)))).otherwise(joined) if kind == "faq" else joined
-    keyed = hits.filter(F.size("parts") > 0).withColumn("key", F.substring(key, 1, 420))
+    keyed = hits.filter(F.size("parts") > 0).withColumn("key", key)
     fields = F.struct("at", "parts", "anchor_text", "anchor_heading", "rule_id")
     once = keyed.groupBy("doc_id", "needle", "key").agg(F.min_by(fields, "at").alias("h")).select("doc_id", "needle", "h.*")
     anchor = Window.partitionBy(
-        "doc_id", "needle", tx.match_key(F.col("anchor_heading")), tx.match_key(F.col("anchor_text"))
+        "doc_id", "needle", tx.fold_web(F.col("anchor_heading")), tx.fold_web(F.col("anchor_text"))
     ).orderBy("at")
     numbered = once.withColumn("anchor_index", F.row_number().over(anchor))
     nth = Window.partitionBy("doc_id", "needle").orderBy("at")
-    capped = numbered.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= HITS_PER_DOCUMENT)
+    capped = numbered.withColumn("nth", F.row_number().over(nth)).filter(F.lit(True) if most_hits is None else F.col("nth") <= most_hits)
     shown = capped.select(
         "doc_id",
         "needle",
         "nth",
         F.array_join(F.transform("parts", tx.escape_html), "<br /><br />").alias("snippet"),
         F.col("needle").alias("query"),
-        tx.jump_query(F.array(tx.md_plain_index(F.array_join("parts", " ")))).alias("jump_query"),
+        tx.jump_query(F.array(tx.plain_decoded(F.array_join("parts", " ")))).alias("jump_query"),
         "anchor_text",
         "anchor_heading",
         "anchor_index",
@@ -476,5 +481,5 @@ def _number_hits(hits: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     )
     packed = pack_hits(shown, ["needle", "doc_id"]).join(rows.drop("body"), "doc_id")
     newest = [F.desc("published_at"), F.desc("updated_at"), F.col("doc_id")]
-    best = top_docs_per_item(packed, ["needle"], newest)
+    best = top_docs_per_item(packed, ["needle"], newest, most_docs)
     return best.select(F.lit(kind).alias("kind"), "needle", "rank", "doc_id", "title", "matches")

@@ -2,7 +2,7 @@
 
 A search is one scan with ``contains`` tests that Spark runs on the column alone. Counting,
 cutting and hit positions stay inside the document's row; only the final order shuffles, and
-by then the text has been replaced by its snippet.
+by then the text has been replaced by its snippet, also for single hits.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from tomeline.functions import text as tx
 from tomeline.functions.arrays import running_sum
 
 HITS_PER_DOCUMENT = 200
-# Range parts per shuffle partition of sorted documents: the best ones hold most of the hits,
-# and finer parts let idle tasks take them over.
-SORT_FACTOR = 4
 
 
 def query_tokens(query: str) -> list[str]:
@@ -100,30 +97,33 @@ def tie_break(df: DataFrame) -> list[str]:
     return [c for c in ("href_path", "href", "doc_id") if c in df.columns]
 
 
-def search_hits(docs: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+def search_hits(docs: DataFrame, query: str, kind: str | None = None, limit: int = HITS_PER_DOCUMENT) -> DataFrame:
     """One row per hit: documents in search order, their hits in text order.
 
-    Documents are sorted, not hits: cutting a sorted document into its hits keeps the order, and
-    a document moves once however many hits it has.
+    At most ``limit`` hits of a document. The order is the result's own, so a step behind it may rely on it.
     """
+    hits, order = _hit_rows(docs, query, kind, limit)
+    return hits.orderBy(*order)
+
+
+def _hit_rows(docs: DataFrame, query: str, kind: str | None, limit: int) -> tuple[DataFrame, list[Column]]:
     tokens = query_tokens(query)
     if not tokens:
         empty = matched_documents(docs, query, kind).drop("text")
-        return empty.withColumn("position", F.lit(0)).withColumn("snippet", F.lit(""))
+        return empty.withColumn("position", F.lit(0)).withColumn("snippet", F.lit("")), [F.col("title")]
     plain = matched_documents(docs, query, kind).withColumn("text", tx.strip(F.col("text")))
-    order = [F.desc("score"), F.col("title"), *[F.col(c) for c in tie_break(plain)]]
-    tasks = SORT_FACTOR * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plain.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    hits = ordered.withColumn("position", F.explode(hit_positions(F.col("text"), tokens)))
-    return hits.withColumn("snippet", hit_snippet(F.col("text"), F.col("position"), tokens)).drop("text")
+    order = [F.desc("score"), F.col("title"), *[F.col(c) for c in tie_break(plain)], F.col("position"), F.col("snippet")]
+    hits = plain.withColumn("position", F.explode(hit_positions(F.col("text"), tokens, limit)))
+    return hits.withColumn("snippet", hit_snippet(F.col("text"), F.col("position"), tokens)).drop("text"), order
 
 
 def top_hits(docs: DataFrame, query: str, kind: str = "Rule", size: int = 20) -> DataFrame:
     """First hits of one kind, as the reader's search box shows them.
 
     Each task keeps its own best ``size`` documents, enough because each has a hit, and only
-    these are cut into hits.
+    these are cut into hits, of which the first in the same order are taken.
     """
     found = matched_documents(docs, query, kind)
-    best = found.orderBy(F.desc("score"), "title", *tie_break(found)).limit(size)
-    return search_hits(best.drop("score"), query, kind).limit(size)
+    best = found.orderBy(F.desc("score"), "title", *tie_break(found), "text").limit(size)
+    hits, order = _hit_rows(best.drop("score"), query, kind, size)
+    return hits.orderBy(*order).limit(size)

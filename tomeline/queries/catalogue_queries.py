@@ -151,13 +151,14 @@ _sorted_items("sort_catalogue", lambda: cat.catalogue_order(), '"set", collector
 
 def _sorted_docs(name, order, order_sql):
     _sorted(
-        name, lambda s, sf: _places(inp.typed_documents(s, sf, "faq"), order()), _place_sql(inp.typed_cte("faq"), "faq", order_sql)
+        name, lambda s, sf: _places(inp.typed_documents(s, sf, "all"), order()), _place_sql(inp.typed_cte("all"), "all_docs", order_sql)
     )
 
 
 _sorted_docs("sort_updated", lambda: cat.updated_order(), "updated_at DESC, id")
 _sorted_docs("sort_published", lambda: cat.published_order(id_descends=True), "published_at DESC, updated_at DESC, id DESC")
 _sorted_docs("sort_time", lambda: cat.time_order("asc"), "published_at, updated_at, title, id")
+_sorted_docs("sort_time_desc", lambda: cat.time_order("desc"), "published_at DESC, updated_at DESC, title DESC, id DESC")
 
 
 @register(

@@ -214,8 +214,9 @@ ROUTE_SQL = """CASE WHEN lower(kind) = 'page' THEN 'pages/' || coalesce(nullif(p
 
 # Question and errata documents: the documents of two languages each.
 def typed_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    langs = ["en", "fr"] if kind == "faq" else ["de", "es"]
-    rows = documents(spark, sf).filter(F.col("lang").isin(langs))
+    rows = documents(spark, sf)
+    if kind != "all":
+        rows = rows.filter(F.col("lang").isin(["en", "fr"] if kind == "faq" else ["de", "es"]))
     return rows.select(
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("d "), F.col("doc_id")).alias("id"),
@@ -229,7 +230,8 @@ def typed_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 
 def typed_cte(kind: str) -> str:
-    langs = "('en', 'fr')" if kind == "faq" else "('de', 'es')"
-    return f"""{kind} AS (SELECT doc_id AS ord, 'd ' || doc_id AS id, source || ' ' || lang AS title, source AS summary,
+    name = "all_docs" if kind == "all" else kind
+    langs = {"all": "", "faq": "WHERE lang IN ('en', 'fr')"}.get(kind, "WHERE lang IN ('de', 'es')")
+    return f"""{name} AS (SELECT doc_id AS ord, 'd ' || doc_id AS id, source || ' ' || lang AS title, source AS summary,
  text AS content, source, '2024-0' || length(source) || '-01' AS published_at,
- '2024-0' || length(lang) || '-1' || length(source) AS updated_at FROM documents WHERE lang IN {langs})"""
+ '2024-0' || length(lang) || '-1' || length(source) AS updated_at FROM documents {langs})"""

@@ -28,7 +28,7 @@ def mention_join(spark, sf):
 @register("mention_join_shuffled", f"WITH {inp.NAMES_CTE} {_MENTIONS}")
 def mention_join_shuffled(spark, sf):
     """The same join as for a name list too long to broadcast."""
-    return mn.mention_join(_texts(spark, sf), inp.names(spark, sf), ["doc_id"], small_list=0)
+    return mn.mention_join(_texts(spark, sf), inp.names(spark, sf), ["doc_id"])
 
 
 # Names of parts, and longer names that begin with them: a part's name with its brand or type.
@@ -130,7 +130,7 @@ def contained_names_shuffled(spark, sf):
     """All contained names, as for a name list too long to broadcast."""
     lowered = inp.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
     names = inp.names(spark, sf).select(F.lower(F.trim("name")).alias("name"))
-    return mn.contained_names(lowered, names, ["doc_id"], small_list=0)
+    return mn.contained_names(lowered, names, ["doc_id"])
 
 
 # What a turn of talk is about: names stand in the turn before or after it.

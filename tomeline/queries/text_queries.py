@@ -133,17 +133,21 @@ _RAW_DATE = {
     "spark": lambda: F.when(F.col("value") < 5, F.lit("  "))
     .when(F.col("value") < 10, F.concat(F.lit("on "), F.col("event_type")))
     .when(F.col("value") < 20, F.date_format("ts", "yyyy-MM-dd"))
+    .when(F.col("value") < 30, F.date_format("ts", "MMM d, yyyy"))
+    .when(F.col("value") < 40, F.date_format("ts", "d MMMM yyyy"))
     .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
     "sql": """CASE WHEN value < 5 THEN '  ' WHEN value < 10 THEN 'on ' || event_type
- WHEN value < 20 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END""",
+ WHEN value < 20 THEN strftime(ts, '%Y-%m-%d')
+ WHEN value < 30 THEN strftime(ts, '%b %-d, %Y') WHEN value < 40 THEN strftime(ts, '%-d %B %Y') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END""",
 }
 
 
 @register(
     "date_norm",
     f"""SELECT event_id, CASE WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d\\d-\\d\\d') THEN trim(raw)[1:10] ELSE '2026-01-01' END AS iso,
- CASE WHEN trim(raw) = '' THEN '-' WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d\\d-\\d\\d') THEN trim(raw)[1:10] ELSE trim(raw) END AS shown
- FROM (SELECT event_id, {_RAW_DATE['sql']} AS raw FROM events)""",
+ CASE WHEN trim(raw) = '' THEN '-' WHEN regexp_matches(trim(raw), '^\\d{{4}}-\\d\\d-\\d\\d') THEN trim(raw)[1:10]
+ WHEN value >= 20 AND value < 40 THEN strftime(ts, '%Y-%m-%d') ELSE trim(raw) END AS shown
+ FROM (SELECT event_id, ts, value, {_RAW_DATE['sql']} AS raw FROM events)""",
 )
 def date_norm(spark, sf):
     rows = table(spark, sf, "events").select("event_id", _RAW_DATE["spark"]().alias("raw"))

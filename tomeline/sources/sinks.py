@@ -15,9 +15,15 @@ DATA_VERSION = "1.0.0"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder below the shared one the cluster names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """New folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only in local mode, where driver and tasks are one process, a temporary folder stands in for
+    a missing setting; elsewhere that is an error, since machines do not share their folders.
+    """
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="run-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table of heavy rows over all cores by its key.
+    """Deal a table that is one single split over all cores by its key.
 
-    A small file is often one row group and so one task, while text work needs many. A table
-    that comes in at least as many splits as there are cores is returned as it is, so that a
-    large one is never shuffled for this.
+    One split is at most ``spark.sql.files.maxPartitionBytes``, so no more than that is ever
+    shuffled for this; a table of two splits or more is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(cores, key)
