@@ -84,7 +84,8 @@ def mention_join(
     broadcasts the keys or the pairs where their bytes, as it meets them, allow it.
     """
     keys = _name_keys(names, needle)
-    sizes = {0, 1, 2, 3}
+    # Texts emit only the lengths that some name needs; there are four at most.
+    sizes = {r["grams"] for r in keys.select("grams").distinct().collect()}
     runs = F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))
     hashes = _run_grams(runs, sizes)
     if 0 in sizes:
