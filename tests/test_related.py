@@ -149,6 +149,28 @@ def test_related_content_has_no_hidden_limits(spark):
     assert len(rl.related_content(docs, items, "errata").first()["matches"]) == 2
 
 
+def test_related_content_tells_faqs_by_title(spark):
+    items = spark.createDataFrame([(1, "i1", "Alpha One"), (2, "i2", "Beta Two"), (3, "i3", "Gamma")], "ord int, id string, name string")
+    text = "### Beta Two\n\nAlpha One runs.\n\nQ: And Gamma?\n\nNo.\n\nAlpha One\n\nQ: Fine?\n\nYes."
+    docs = spark.createDataFrame(
+        [("d1", "Set FAQ", "", text, "2024", "2024"), ("d2", "Set", "", text, "2024", "2023"), ("d3", "FAQ", "", "nothing", "2025", "2024")],
+        "id string, title string, summary string, content string, published_at string, updated_at string",
+    )
+    for kind in ("errata", "rule"):
+        rows = {(r["needle"], r["doc_id"]): [m["snippet"] for m in r["matches"]] for r in rl.related_content(docs, items, kind).collect()}
+        assert rows["alpha one", "d1"] == ["Beta Two<br /><br />Alpha One runs.", "Alpha One<br /><br />Q: Fine?<br /><br />Yes."]
+        assert rows["gamma", "d1"] == ["Beta Two<br /><br />Q: And Gamma?<br /><br />No."]
+        assert {d for _, d in rows} == {"d1", "d2"}
+
+
+def test_related_content_of_a_block_minds_longer_names(spark):
+    docs, _ = corpus(spark, "## Notes\n\nQ: Does Jinx Rebel run?\n\nYes.\n\nQ: Does Jinx run?\n\nNo.")
+    items = spark.createDataFrame([(1, "i1", "Jinx"), (2, "i2", "Jinx Rebel")], "ord int, id string, name string")
+    rows = {r["needle"]: [m["snippet"] for m in r["matches"]] for r in rl.related_content(docs, items, "faq").collect()}
+    assert rows["jinx"] == ["Notes<br /><br />Q: Does Jinx run?<br /><br />No."]
+    assert rows["jinx rebel"] == ["Notes<br /><br />Q: Does Jinx Rebel run?<br /><br />Yes."]
+
+
 def test_names_of_one_lead_do_not_all_meet_its_texts(spark):
     names = spark.createDataFrame([(f"the art of thing{i} number",) for i in range(3000)], "needle string")
     texts = spark.createDataFrame([(i, f"so the art of thing{i} number and more") for i in range(300)], "id int, text string")

@@ -59,10 +59,6 @@ def _document_text() -> Column:
     return tx.search_text(F.col("title"), F.col("summary"), F.col("content"))
 
 
-def _bounded(needle: Column) -> Column:
-    return tx.bounded_pattern(needle)
-
-
 def _until_other_title(target: Column) -> Column:
     """Paragraphs of a section up to another item's title, the own title left out."""
     keyed = F.transform("parts", lambda p: F.struct(p.alias("text"), tx.title_key(p).alias("key")))
@@ -307,8 +303,9 @@ def related_content(
 ) -> DataFrame:
     """All hits of each document and name, up to 12 per document and 4 documents per name; None lifts a limit.
 
-    Headings, paragraphs, titles and numbered rows of all documents are the units of one
-    shadow-aware mention join; the hits are then put together per document and name.
+    Documents whose whole text mentions a name go on. Their headings, paragraphs, titles and numbered rows are
+    the units of one shadow-aware mention join; the hits are then put together per document and name.
+    A document whose title holds "FAQ" is cut as an FAQ whatever its kind.
     """
     composed = lambda c: mk.nfkc(mk.decode_entities(tx.text_or_empty(c)))
     names = items.select(tx.match_key_web(tx.strip(F.col("name"))).alias("needle")).filter("needle <> ''").distinct()
@@ -316,20 +313,25 @@ def related_content(
         F.col("id").alias("doc_id"),
         F.coalesce(tx.blank_to_null(tx.strip(composed(F.col("title")))), F.lit("Untitled")).alias("title"),
         composed(F.concat_ws("\n", tx.blank_to_null(F.col("content")), tx.blank_to_null(F.col("summary")))).alias("body"),
+        composed(F.col("summary")).alias("summary"),
+        (F.lit(kind == "faq") | F.lower(tx.text_or_empty(F.col("title"))).contains("faq")).alias("is_faq"),
         tx.text_or_empty(F.col("published_at")).alias("published_at"),
         tx.text_or_empty(F.col("updated_at")).alias("updated_at"),
     )
     # Entities and compatibility forms are read once per text, so that all later steps stay in the JVM.
     title_of = lambda t: tx.drop_revised_suffix(tx.fold_web(t))
+    whole = tx.fold_web(tx.plain_decoded(F.concat_ws("\n", "title", tx.blank_to_null(F.col("summary")), tx.blank_to_null(F.col("body")))))
+    mentioned = materialize(mention_join_shadowed(rows.select("doc_id", whole.alias("text")), names, ["doc_id"]))
+    rows = rows.drop("summary").join(mentioned.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = ln.split_lines(F.col("body"))
     titled = _with_known(rows, F.transform(lines, lambda t: title_of(tx.strip(t))), names)
-    rule = {"faq": ln.faq_rule(_is_known(title_of)), "errata": ln.errata_client_rule}.get(kind, ln.h2_rule)
-    cut = titled.select("doc_id", F.posexplode(ln.sections(F.col("body"), rule)).alias("sec", "s")).select(
-        "doc_id", "sec", F.col("s.heading").alias("heading"), ln.paragraphs(F.col("s.body")).alias("parts")
+    rule = _client_rule(kind, _is_known(title_of))
+    cut = titled.select("doc_id", "is_faq", F.posexplode(ln.sections(F.col("body"), rule)).alias("sec", "s")).select(
+        "doc_id", "is_faq", "sec", F.col("s.heading").alias("heading"), ln.paragraphs(F.col("s.body"), tx.plain_decoded).alias("parts")
     )
-    per_section = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "heading", "parts")
+    per_section = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "is_faq", "heading", "parts")
     heads = F.concat(F.array(title_of(F.col("heading"))), F.transform("parts", title_of))
-    secs = _with_known(per_section, heads, names).select("doc_id.*", "heading", "parts", "known")
+    secs = _with_known(per_section, heads, names).select("doc_id.*", "is_faq", "heading", "parts", "known")
 
     def unit(role: str, sec: Column, n: Column, text: Column) -> list[Column]:
         return [F.lit(role).alias("role"), sec.alias("sec"), n.alias("n"), tx.fold_web(tx.plain_decoded(text)).alias("text")]
@@ -346,18 +348,33 @@ def related_content(
         rule_rows = _rule_rows(rows)
         rule_units = rule_rows.select("doc_id", *unit("rule", zero, F.col("n"), F.col("row_text")))
         units = units.unionByName(rule_units)
-    found = materialize(mention_join_shadowed(units, names, ["doc_id", "role", "sec", "n"]))
-    if kind == "faq":
-        hits = _faq_hits(secs, found)
-    else:
-        hits = _section_hits(secs, rows, found, kind, title_of)
+    met = mention_join_shadowed(units, names, ["doc_id", "role", "sec", "n"])
+    found = materialize(met.join(mentioned, ["doc_id", "needle"], "left_semi"))
+    hits = _faq_hits(secs.filter("is_faq"), found)
+    if kind != "faq":
+        hits = hits.unionByName(_section_hits(secs.filter("not is_faq"), rows.filter("not is_faq"), found, kind))
         if rule_rows is not None:
             hits = hits.unionByName(_rule_hits(rule_rows, found))
     return _number_hits(hits, rows, kind, hits_per_document, documents)
 
 
+def _client_rule(kind: str, is_title: ln.Titles) -> Callable[[Column, Column, Column], Column]:
+    """Heading rule of the rich form: that of FAQs where ``is_faq``, else that of the kind."""
+    faq, plain = ln.faq_rule(is_title), ln.errata_client_rule if kind == "errata" else ln.h2_rule
+    if kind == "faq":
+        return faq
+
+    def rule(line: Column, trimmed: Column, following: Column) -> Column:
+        as_faq, as_kind = faq(line, trimmed, following), plain(line, trimmed, following)
+        if kind == "errata":  # a name's own line is told by the FAQ rule alone
+            as_faq = F.when((as_faq == "") & ~is_title(trimmed), as_kind).otherwise(as_faq)
+        return F.when(F.col("is_faq"), as_faq).otherwise(as_kind)
+
+    return rule
+
+
 def _rule_rows(rows: DataFrame) -> DataFrame:
-    listed = rows.select("doc_id", ln.rule_list_rows(ln.split_lines(F.col("body"))).alias("rules"))
+    listed = rows.select("doc_id", "is_faq", ln.rule_list_rows(ln.split_lines(F.col("body"))).alias("rules"))
     placed = listed.withColumn("parents", ln.ancestor_positions(F.transform("rules", lambda r: r["indent"])))
     with_parent = F.transform(
         "rules",
@@ -368,7 +385,7 @@ def _rule_rows(rows: DataFrame) -> DataFrame:
             F.get(F.col("rules"), F.get(F.col("parents"), i))["text"].alias("parent_text"),
         ),
     )
-    return placed.select("doc_id", F.posexplode(with_parent).alias("n", "r")).select("doc_id", "n", "r.*")
+    return placed.select("doc_id", "is_faq", F.posexplode(with_parent).alias("n", "r")).select("doc_id", "is_faq", "n", "r.*")
 
 
 def _hit(phase: int, n: Column | tuple[Column, Column], parts: Column, anchor: Column, heading: Column, rule_id: Column) -> list[Column]:
@@ -387,11 +404,11 @@ def _rule_hits(rule_rows: DataFrame, found: DataFrame) -> DataFrame:
     parent = F.when(F.col("parent_id").isNotNull(), F.trim(F.concat_ws(" ", "parent_id", "parent_text")))
     parts = F.array_compact(F.array(parent, F.col("row_text")))
     return hit.select(
-        "doc_id", "needle", *_hit(0, F.col("n"), parts, F.col("row_text"), F.col("parent_text"), F.col("rule_id"))
+        "doc_id", "needle", "is_faq", *_hit(0, F.col("n"), parts, F.col("row_text"), F.col("parent_text"), F.col("rule_id"))
     )
 
 
-def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str, title_of) -> DataFrame:
+def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str) -> DataFrame:
     """Hits of headings, of the document's title, and of the first two paragraphs that mention."""
     heads = found.filter("role = 'head'").select("doc_id", "sec", "needle").join(secs, ["doc_id", "sec"])
     own = F.filter("parts", lambda p: tx.fold_web(p) != tx.fold_web(F.col("heading")))
@@ -400,22 +417,26 @@ def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str,
     by_head = heads.withColumn("shown", shown).select(
         "doc_id",
         "needle",
+        "is_faq",
         *_hit(
             1, F.col("sec"), F.concat(F.array(heading), F.col("shown")),
             F.coalesce(F.get(F.col("shown"), F.lit(0)), heading), heading, F.lit(""),
         ),
     )
-    titles = found.filter("role = 'title'").select("doc_id", "needle").join(rows.select("doc_id", "title", "body"), "doc_id")
+    titles = found.filter("role = 'title'").select("doc_id", "needle").join(rows.select("doc_id", "is_faq", "title", "body"), "doc_id")
     plain = F.coalesce(tx.blank_to_null(tx.plain_decoded(F.col("body"))), F.col("title"))
     by_title = titles.withColumn("plain", plain).select(
-        "doc_id", "needle", *_hit(2, F.lit(0), F.array("plain"), F.col("plain"), F.col("title"), F.lit(""))
+        "doc_id", "needle", "is_faq", *_hit(2, F.lit(0), F.array("plain"), F.col("plain"), F.col("title"), F.lit(""))
     )
-    parts = found.filter("role = 'part'").groupBy("doc_id", "sec", "needle").agg(F.min("n").alias("first"), F.collect_set("n").alias("ns"))
+    # Only the first two paragraphs of a section are gathered.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "sec", "needle").orderBy("n"))
+    firsts = found.filter("role = 'part'").select("doc_id", "sec", "needle", "n", nth.alias("nth")).filter("nth <= 2")
+    parts = firsts.groupBy("doc_id", "sec", "needle").agg(F.min("n").alias("first"), F.array_sort(F.collect_list("n")).alias("ns"))
     hit = parts.join(secs, ["doc_id", "sec"])
     foreign = F.array_contains(F.col("known"), tx.fold_web(heading)) & (tx.fold_web(heading) != F.col("needle"))
-    two = F.transform(F.slice(F.array_sort("ns"), 1, 2), lambda n: F.get(F.col("parts"), n))
+    two = F.transform("ns", lambda n: F.get(F.col("parts"), n))
     by_part = hit.filter(~foreign).select(
-        "doc_id", "needle", *_hit(3, F.col("sec"), two, F.get(F.col("parts"), F.col("first")), heading, F.lit(""))
+        "doc_id", "needle", "is_faq", *_hit(3, F.col("sec"), two, F.get(F.col("parts"), F.col("first")), heading, F.lit(""))
     )
     return by_head.unionByName(by_title).unionByName(by_part)
 
@@ -423,14 +444,18 @@ def _section_hits(secs: DataFrame, rows: DataFrame, found: DataFrame, kind: str,
 def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     """Question blocks of sections whose heading mentions the name, and blocks that mention it."""
     is_title = lambda t: F.array_contains(F.col("known"), tx.drop_revised_suffix(tx.fold_web(t)))
-    blocks = ln.qa_blocks(F.col("parts"), is_title)
-    cut = secs.filter(F.size("parts") > 0).select(
-        "doc_id", "sec", "heading", "known", "parts", F.posexplode(blocks).alias("blk", "block")
-    )
-    heads = found.filter("role = 'head'").select("doc_id", "sec", "needle", F.lit(True).alias("in_head"))
-    parts = found.filter("role = 'part'").select("doc_id", "sec", "needle").distinct()
-    wanted = parts.join(heads, ["doc_id", "sec", "needle"], "full")
-    pairs = wanted.join(cut, ["doc_id", "sec"])
+    split = secs.filter(F.size("parts") > 0).withColumn("blocks", ln.qa_blocks(F.col("parts"), is_title))
+    cut = split.select("doc_id", "is_faq", "sec", "heading", "known", F.posexplode("blocks").alias("blk", "block"))
+    heads = found.filter("role = 'head'").select("doc_id", "sec", "needle")
+    # The blocks hold all paragraphs in order, so a paragraph's block follows from the blocks' sizes.
+    block_of = F.flatten(F.transform("blocks", lambda b, i: F.array_repeat(i, F.size(b))))
+    places = split.select("doc_id", "sec", "parts", block_of.alias("block_of"))
+    met = found.filter("role = 'part'").join(places, ["doc_id", "sec"])
+    met = met.select("doc_id", "sec", "needle", F.get("block_of", F.col("n")).alias("blk"), F.get("parts", F.col("n")).alias("p"))
+    by_block = met.groupBy("doc_id", "sec", "blk", "needle").agg(F.collect_set("p").alias("met"))
+    in_head = heads.join(cut, ["doc_id", "sec"]).withColumn("met", F.lit(None).cast("array<string>"))
+    # A block met both ways gives the same hit twice, which later merges with itself.
+    pairs = in_head.unionByName(by_block.join(cut, ["doc_id", "sec", "blk"]))
     key = lambda p: tx.fold_web(p)
 
     def clean(block: Column) -> Column:
@@ -446,18 +471,17 @@ def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
         return let(rows, until)
 
     cleaned = pairs.withColumn("clean", clean(F.col("block"))).filter(F.size("clean") > 0)
-    named = F.exists("clean", lambda p: F.regexp_like(key(p), _bounded(F.col("needle"))))
-    hit = cleaned.filter(F.coalesce("in_head", F.lit(False)) | named)
+    hit = cleaned.filter(F.coalesce(F.arrays_overlap("clean", "met"), F.lit(True)))
     heading = F.col("heading")
     shown = F.concat(F.filter(F.array(heading), lambda h: h != ""), F.col("clean"))
-    return hit.select("doc_id", "needle", *_hit(4, (F.col("sec"), F.col("blk")), shown, F.get(F.col("clean"), F.lit(0)), heading, F.lit("")))
+    return hit.select("doc_id", "needle", "is_faq", *_hit(4, (F.col("sec"), F.col("blk")), shown, F.get(F.col("clean"), F.lit(0)), heading, F.lit("")))
 
 
 def _number_hits(hits: DataFrame, rows: DataFrame, kind: str, most_hits: int | None, most_docs: int | None) -> DataFrame:
     """Merge equal hits, number anchors, keep the first hits and the newest documents."""
     joined = tx.fold_web(tx.plain_decoded(F.array_join("parts", " ")))
     asked = F.instr(joined, "q:")
-    key = F.when(asked > 1, F.trim(F.substring(joined, asked, F.length(joined)))).otherwise(joined) if kind == "faq" else joined
+    key = F.when(F.col("is_faq") & (asked > 1), F.trim(F.substring(joined, asked, F.length(joined)))).otherwise(joined)
     keyed = hits.filter(F.size("parts") > 0).withColumn("key", key)
     fields = F.struct("at", "parts", "anchor_text", "anchor_heading", "rule_id")
     once = keyed.groupBy("doc_id", "needle", "key").agg(F.min_by(fields, "at").alias("h")).select("doc_id", "needle", "h.*")
@@ -479,7 +503,7 @@ def _number_hits(hits: DataFrame, rows: DataFrame, kind: str, most_hits: int | N
         "anchor_index",
         "rule_id",
     )
-    packed = pack_hits(shown, ["needle", "doc_id"]).join(rows.drop("body"), "doc_id")
+    packed = pack_hits(shown, ["needle", "doc_id"]).join(rows.drop("body", "is_faq"), "doc_id")
     newest = [F.desc("published_at"), F.desc("updated_at"), F.col("doc_id")]
     best = top_docs_per_item(packed, ["needle"], newest, most_docs)
     return best.select(F.lit(kind).alias("kind"), "needle", "rank", "doc_id", "title", "matches")
