@@ -35,7 +35,7 @@ def cell(v):
 
 
 def compare(spark, con, sf_dir: str, query, sql: str) -> str:
-    """Empty text when both sides agree, else what differs."""
+    """Empty text when both sides agree on some rows, else what is wrong."""
     df = query(spark, sf_dir)
     left_cols = sorted(df.columns)
     left = Counter(tuple(cell(r[c]) for c in left_cols) for r in df.collect())
@@ -46,7 +46,7 @@ def compare(spark, con, sf_dir: str, query, sql: str) -> str:
     at = [names.index(c) for c in left_cols]
     right = Counter(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
     if left == right:
-        return ""
+        return "" if left else "no rows on either side"
     more, less = list((left - right).items())[:2], list((right - left).items())[:2]
     return f"{sum(left.values())} rows against {sum(right.values())}; only Spark {more!r:.1500}; only SQL {less!r:.1500}"
 

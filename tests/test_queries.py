@@ -6,6 +6,8 @@ from harness import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables are compared on the next ones; no comparison may be of nothing.
+LARGER, SPARSE = "/root/testdata/sf0.01", {"unmatched_names", "catalogue_query", "heading_of_match", "context_lines"}
 QUERIES, SQLS = entry.queries(), entry.oracle_sql()
 
 
@@ -16,7 +18,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQLS))
 def test_equals_sql(spark, con, name):
-    assert compare(spark, con, SF, QUERIES[name], SQLS[name]) == ""
+    sf = LARGER if name in SPARSE else SF
+    assert compare(spark, connect(sf) if name in SPARSE else con, sf, QUERIES[name], SQLS[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQLS)))

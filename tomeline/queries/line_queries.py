@@ -97,7 +97,7 @@ def promote_page_headings(spark, sf):
 # Rule pages: five lines of a document are a page; a line's words give it a number or a bullet.
 _RULED = [
     ("\nT", "\n101. T"), ("\nA", "\n203.1.b. A"), ("\nO", "\n* O"), ("\nE", "\n400. E"), ("\nI", "\n107.\nI"), (" of", "\nof"), (" en ", "\nen "),
-    (". ", ".\n"), ("\nDes", "\nLast Updated: Des"),
+    (". ", ".\n"), ("\nDes", "\nLast Updated: Des"), ("\nS", "\n500. Short part\nS"), ("\nD", "\n501.2. Deep part\nD"),
 ]
 _PAGE_LINES = 5
 

@@ -71,14 +71,17 @@ def related_by_id(spark, sf):
     return by_id.select("item_id", "rank", "doc_id")
 
 
-# Question and errata documents whose sections carry the names as titles: the five words that
-# begin a passage become a heading line of their own wherever a document quotes the passage.
+# Question and errata documents whose first section carries a name as its title.
+NAME_TITLES = 41
+
+
 def titled_documents(spark, sf):
-    rows = mq.blocked_documents(spark, sf)
-    return rows.select(
+    """Blocked documents behind a heading that is the name of their id's remainder, where there is one."""
+    rows, names = mq.blocked_documents(spark, sf), inp.names(spark, sf).select(F.col("ord").alias("nth"), "name")
+    head = F.coalesce(F.concat(F.lit("## "), F.col("name"), F.lit("\n\n")), F.lit(""))
+    return rows.join(names, F.col("doc_id") % NAME_TITLES == F.col("nth"), "left").select(
         F.concat(F.lit("f"), F.col("doc_id")).alias("id"), F.col("title"), F.lit("").alias("summary"),
-        F.regexp_replace("content", r"(?m)^((?:[^ \n]+ ){4}[^ \n]+) ", "## $1\n\n").alias("content"),
-        F.lit("").alias("published_at"), F.lit("").alias("updated_at"),
+        F.concat(head, F.col("content")).alias("content"), F.lit("").alias("published_at"), F.lit("").alias("updated_at"),
     )
 
 
@@ -209,14 +212,14 @@ def content_check(spark, sf):
     return run_check(datasets)["findings"]
 
 
-_TITLED = f"""regexp_replace({inp.replaced_sql('text', mq._BLOCKED)}, '(?m)^((?:[^ \\n]+ ){{4}}[^ \\n]+) ', '## \\1' || chr(10) || chr(10), 'g')"""
+_TITLED = f"coalesce('## ' || name || chr(10) || chr(10), '') || {inp.replaced_sql('text', mq._BLOCKED)}"
 _KNOWN = "(SELECT needle FROM names)"
 
 
 @register(
     "section_snippet",
     rf"""WITH {inp.NAMES_CTE}, targets AS (SELECT DISTINCT name, {sql.title_key('name')} AS target FROM names),
- tl AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS line FROM (SELECT doc_id, string_split({_TITLED}, chr(10)) AS ps FROM documents)),
+ tl AS (SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS line FROM (SELECT doc_id, string_split({_TITLED}, chr(10)) AS ps FROM documents LEFT JOIN names ON ord = doc_id % {NAME_TITLES})),
  near AS (SELECT *, {sql.strip('line')} AS t, coalesce(first_value(nullif({sql.strip('line')}, '') IGNORE NULLS) OVER
    (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS nxt FROM tl),
  marks AS (SELECT *, CASE WHEN regexp_matches(line, '^##\s+') THEN {sql.strip(sql.sub('line', r'^##\s+'))}
