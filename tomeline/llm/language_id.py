@@ -29,6 +29,8 @@ from tomeline.llm.common import bound_batches, in_slices, pin, small_side
 
 MAX_N, GRAM_BITS = 4, 17
 PER_LANG, LANDMARKS_PER_LANG, RIDGE = 250, 24, 1e-3
+#: Parts of a language that are ranked on their own before the sample is taken; the result does not depend on it.
+SAMPLE_PARTS = 16
 LETTER = re.compile(r"[^\W\d_]")
 #: N-grams that the landmarks share with each other; the rest only count in their norms.
 KEPT_GRAMS = 16384
@@ -110,11 +112,14 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_lang: int = PER_LANG) -> list[tuple[str, np.ndarray]]:
     """The bounded learning sample, as n-gram sets."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("lang-sample"), "doc_id"), "doc_id")
+    order = [F.xxhash64(F.lit("lang-sample"), "doc_id"), F.col("doc_id")]
+    dealt, whole = Window.partitionBy("lang", "part").orderBy(*order), Window.partitionBy("lang").orderBy(*order)
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).isNull().alias("none"))
     ids = ids.filter(F.col("lang").isNotNull() & ~F.col("none") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).drop("none")
+    # A language's rows are ranked in SAMPLE_PARTS parts first, so that its last ranking reads a bounded number of ids at any size.
+    firsts = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PARTS))).withColumn("place", F.row_number().over(dealt)).filter(F.col("place") <= per_lang)
     # The sample has at most per_lang rows of each language, all of them ids.
-    picked = pin(ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select(F.col("doc_id").alias("pick"), F.col("lang").alias("pick_lang")))
+    picked = pin(firsts.withColumn("place", F.row_number().over(whole)).filter(F.col("place") <= per_lang).select(F.col("doc_id").alias("pick"), F.col("lang").alias("pick_lang")))
     texts = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     met = texts.join(small_side(picked), (F.col("doc_id") == F.col("pick")) & (F.col("lang") == F.col("pick_lang")), "left_semi").filter(F.col("text").isNotNull())
 
