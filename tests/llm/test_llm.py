@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tomeline.llm import chat_format, exact_dedup, language_id, license_scan, media, mixing, sentencepiece_bpe, simhash, suffix_dedup, toxicity
+from tomeline.llm import chat_format, exact_dedup, language_id, license_scan, media, mixing, sentencepiece_bpe, shingle_dedup, simhash, suffix_dedup, toxicity
 from tomeline.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -389,6 +389,49 @@ def test_simhash_links_connect_what_all_pairs_connect(spark, monkeypatch, short)
     assert split(find) == split(label.get)
 
 
+def brute_near(rows):
+    """Smallest id of every row's component, by the Jaccard similarity of all pairs of 5-word shingle sets."""
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for d, w in ((d, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())) for d, t in rows)}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    own = sorted(sets)
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                a_, b_ = sorted((find(a), find(b)))
+                root[b_] = a_
+    return {d: find(d) for d in own}
+
+
+@pytest.mark.parametrize("short", [shingle_dedup.SHORT_RUN, 2])
+def test_near_stage_drops_edited_copies_as_all_pairs_do(spark, docs, monkeypatch, short):
+    monkeypatch.setattr(shingle_dedup, "SHORT_RUN", short)
+    rnd = random.Random(short)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for g in range(8):  # groups of edited copies of one text, similarities from 0.5 to 1, and chains of edits
+        base = [word() for _ in range(rnd.randint(30, 200))]
+        for i in range(30):
+            edited = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 25))):
+                edited[rnd.randrange(len(base))] = word()
+            rows.append((10_000 + 100 * g + i, " ".join(edited)))
+            if g % 2:
+                base = edited
+    rows += [(20_000, ""), (20_001, None), (20_002, " \n"), (20_003, "one two"), (20_004, "ONE  two"), (20_005, "one two three")]
+    df = frame(spark, [(d, t, "en", "s") for d, t in rows])
+    want = brute_near(rows)
+    assert sum(d != k for d, k in want.items()) > 100 and any(d > 10_000 and k == d for d, k in want.items())
+    got = corpus_pipeline.near(spark, df, SF)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
 # 9 --------------------------------------------------------------------------------------------------
 
 

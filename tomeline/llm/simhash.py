@@ -221,7 +221,11 @@ def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opt
 
     Rows that repeat both id and text are one document and are all kept or all dropped.
     """
-    rows, groups = near_groups(docs, text, doc_id, **options)
+    return drop_others(docs, *near_groups(docs, text, doc_id, **options), text, doc_id)
+
+
+def drop_others(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` that are the best of their group."""
     met = rows.join(groups, "fp")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     gone = pin(met.filter(~stays).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
