@@ -187,6 +187,26 @@ def test_language_id_kernel_is_the_presence_kernel():
         assert model.kernels([language_id.gram_set(t)])[0].tolist() == pytest.approx(want, abs=0.03)
 
 
+def test_language_id_keeps_all_n_grams_of_a_language_with_few_rows():
+    rnd = random.Random(4)
+    letters = {"a": "abcdefghijklm", "b": "nopqrstuvwxyz", "c": "àèìòùáéíóúâêî", "d": "бвгджзклмнпрс"}
+
+    def text(lang, n):
+        return " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+    counts = {"a": 40, "b": 40, "c": 40, "rare": 1, "d": 2}
+    learn = [(lang, language_id.gram_set(text("d", 60) if lang == "d" else text("a", 30) + " " + "".join(map(chr, range(0x5000, 0x5100))) if lang == "rare" else text(lang, 900))) for lang, n in counts.items() for _ in range(n)]
+    model = language_id.fit(learn)
+    marks = [g for lang in sorted(counts) for g in [sorted((s for o, s in learn if o == lang), key=len)[i] for i in np.unique(np.linspace(0, counts[lang] - 1, min(24, counts[lang])).astype(int))]]
+    assert len(np.unique(np.concatenate(marks))) > 1 << 15
+    for t in [text("d", 20), text("b", 200), "".join(map(chr, range(0x5010, 0x5060)))]:
+        g = language_id.gram_set(t)
+        want = [len(np.intersect1d(g, m)) / (len(g) * len(m)) ** 0.5 for m in marks]
+        assert model.kernels([g])[0].tolist() == pytest.approx(want, abs=1e-5)
+    said = model.predict([language_id.gram_set(text("d", 20)), language_id.gram_set("".join(map(chr, range(0x5010, 0x5060))))])[0]
+    assert [model.langs[i] for i in said] == ["d", "rare"]
+
+
 def test_language_id_held_out_and_odd_rows(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -8,8 +8,9 @@ the landmarks, which are some of the learning texts; whitened by the landmarks'
 
 Learning uses a bounded sample: up to ``PER_LANG`` rows of each language, the first by a seeded hash
 of the id, as sets of hashed n-grams (never texts) of at most ``1 << GRAM_BITS`` members. Predictions
-take the text alone; every whole text is read. A batch's presence rows meet the landmarks in one
-matrix product, and those kernels meet the classes in a second one.
+take the text alone; every whole text is read. A batch's presence rows meet the landmarks in
+matrix products, a block of n-grams at a time, and those kernels meet the classes in another one. No n-gram of a
+landmark is left out.
 
 Defined cases: a null text and one without a letter get ``und`` and score 0; rows with a null language are
 never learned from; with no learning rows at all every text is ``und``. Equal texts get equal answers.
@@ -32,8 +33,8 @@ PER_LANG, LANDMARKS_PER_LANG, RIDGE = 250, 24, 1e-3
 #: Parts of a language that are ranked on their own before the sample is taken; the result does not depend on it.
 SAMPLE_PARTS = 16
 LETTER = re.compile(r"[^\W\d_]")
-#: N-grams that the landmarks share with each other; the rest only count in their norms.
-KEPT_GRAMS = 16384
+#: Columns of the presence rows of a batch that are multiplied at a time, which bounds their memory.
+BLOCK_GRAMS = 16384
 
 
 def gram_set(text: str) -> np.ndarray:
@@ -50,21 +51,27 @@ def gram_set(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: kept n-grams by landmark, landmark norms and the classes' weights."""
+    """What scoring needs: the landmarks' n-grams, landmark norms and the classes' weights."""
 
     langs: list[str]
-    column: np.ndarray  # kept n-gram of every hash, or -1
-    landmarks: np.ndarray  # kept n-grams x landmarks, 0 or 1
+    column: np.ndarray  # row of every hash that some landmark has, or -1
+    landmarks: np.ndarray  # n-grams of any landmark x landmarks, 0 or 1, as bytes
     norms: np.ndarray  # root of each landmark's number of n-grams
     weights: np.ndarray  # landmarks (and 1) x classes
 
     def kernels(self, sets: list[np.ndarray]) -> np.ndarray:
-        rows = np.zeros((len(sets), self.landmarks.shape[0]), np.float32)
-        for i, grams in enumerate(sets):
-            at = self.column[grams]
-            rows[i, at[at >= 0]] = 1
+        shared = np.zeros((len(sets), self.landmarks.shape[1]), np.float32)
+        # Rows of the landmarks are in the order of the hashes, so a sorted set's rows are sorted too.
+        found = [at[at >= 0] for at in (self.column[g] for g in sets)]
+        for start in range(0, self.landmarks.shape[0], BLOCK_GRAMS):
+            block = self.landmarks[start : start + BLOCK_GRAMS].astype(np.float32)
+            rows = np.zeros((len(sets), len(block)), np.float32)
+            for i, at in enumerate(found):
+                a, b = np.searchsorted(at, (start, start + len(block)))
+                rows[i, at[a:b] - start] = 1
+            shared += rows @ block
         own = np.sqrt(np.array([max(1, len(g)) for g in sets], np.float32))
-        return rows @ self.landmarks / own[:, None] / self.norms[None, :]
+        return shared / own[:, None] / self.norms[None, :]
 
     def predict(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Class number and score of each text: the best answer's share of the positive answers."""
@@ -84,14 +91,12 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model | None:
         own = sorted((g for own, g in rows if own == lang), key=len)
         picks = np.unique(np.linspace(0, len(own) - 1, min(LANDMARKS_PER_LANG, len(own))).astype(int))
         marks += [own[i] for i in picks]
-    times = np.bincount(np.concatenate(marks), minlength=1 << GRAM_BITS)
-    kept = np.sort(np.argsort(-times, kind="stable")[: min(KEPT_GRAMS, int((times > 0).sum()))])
+    kept = np.unique(np.concatenate(marks))
     column = np.full(1 << GRAM_BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    table = np.zeros((len(kept), len(marks)), np.float32)
+    table = np.zeros((len(kept), len(marks)), np.uint8)
     for j, grams in enumerate(marks):
-        at = column[grams]
-        table[at[at >= 0], j] = 1
+        table[column[grams], j] = 1
     model = Model(langs, column, table, np.sqrt(np.array([len(g) for g in marks], np.float32)), np.zeros((0, 0), np.float32))
     k, own = model.kernels([g for _, g in rows]).astype(np.float64), model.kernels(marks).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
@@ -134,7 +139,8 @@ def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_lang: int = P
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` behind them.
 
-    The model has at most ``KEPT_GRAMS`` rows of landmarks, a few megabytes, and is sent to every task.
+    The model has a row of landmarks for each of their n-grams, at most ``1 << GRAM_BITS`` rows of a byte a landmark
+    (3 MB a language), and is sent to every task.
     """
     held = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
