@@ -84,6 +84,32 @@ def test_sentencepiece_equals_library_without_dropout_and_round_trips_with(spark
     assert short == [words.ids[p] for p in drop.merged_long("▁understanding", 1)]
 
 
+def test_sentencepiece_draws_for_every_occurrence(spark):
+    words = sentencepiece_bpe.Vocabulary.read(spark, sentencepiece_bpe.MODEL)
+    drop = sentencepiece_bpe.Encoder(words, 0.1)
+    for word in ["▁the", "▁understanding", "▁cat", "▁of"]:
+        keys = np.random.default_rng(3).integers(0, 1 << 63, 4000).astype(np.uint64)
+        flat, length = drop.work_out([word] * len(keys), keys)
+        got = [tuple(x.tolist()) for x in np.split(flat, np.cumsum(length)[:-1])]
+        # The same as a heap's merges, drawn merge by merge.
+        assert got == [tuple(words.ids[p] for p in drop.merged_long(word, int(k))) for k in keys]
+        plain = tuple(sentencepiece_bpe.Encoder(words, 0.0).work_out([word], np.zeros(1))[0].tolist())
+        assert 0.05 < sum(x != plain for x in got) / len(got) < 0.95
+    # A short word is varied by the rate in every document's places, not in whole quarters of them.
+    plain = sentencepiece_bpe.Encoder(words, 0.0).work_out(["▁of"], np.zeros(1))[0].tolist()
+    flat, length = drop.work_out(["▁of"] * 20_000, np.arange(20_000).astype(np.uint64))
+    # Either of the first two merges is enough for the one piece, so it stays apart by 0.1 and a little.
+    assert len(plain) == 1 and 0.08 < (length > 1).mean() < 0.14
+    assert drop.encode("understanding of the cat " * 9, 4, 1).tolist() != drop.encode("understanding of the cat " * 9, 4, 2).tolist()
+
+
+def test_token_stage_draws_anew_for_repetitions(spark):
+    text = "international understanding of the words " * 20
+    df = frame(spark, [(1, text, "en", "s")] * 3 + [(2, text, "en", "s")])
+    got = corpus_pipeline.tokens(spark, df, SF).collect()
+    assert len({tuple(r["ids"]) for r in got}) == 4 and {r["decoded_sha256"] for r in got} == {sha(text.encode())}
+
+
 def test_sentencepiece_on_odd_rows(odd, none):
     rows = sentencepiece_bpe.decode(sentencepiece_bpe.encode(odd))
     assert pairs(rows, "doc_id", "decoded") == pairs(odd, "doc_id", "text")

@@ -2,17 +2,17 @@
 
 A text is cut where no piece of the vocabulary can cross: before a run of blanks marks. Each part
 is merged through an agenda of its neighbouring pairs, best score first, leftmost on ties. A merge that
-comes up is skipped for good when a keyed hash of (seed, variant, offset, piece) falls below ``dropout``; so
-the same seed always gives the same pieces, and another one gives others. The word at place n of a document
-takes one of ``variants`` variants, drawn by a keyed hash of the id, so that a word is cut in several ways
-while each way is worked out once per task.
+comes up is skipped for good when a keyed hash of (seed, document, repetition, place of the part, offset, piece) falls
+below ``dropout``: every occurrence of a word draws on its own, and the same seed always gives the same pieces.
+What is worked out once per task is a word under a given list of skipped merges: such a state knows its pieces and the
+merges that come up after its last skip. An occurrence draws for these, and its first skip leads on to the next state.
 
 With ``dropout`` 0 the ids equal those of the public library. A literal blank mark (U+2581) in the text is sent
 through byte pieces, so that decoding gives back every text. The leading mark that the model adds is taken
 off again.
 
 Defined cases: a null text gives null ids and decodes to null; an empty one gives no ids and decodes to the
-empty text; a null id draws its variants as the empty id does. Lone surrogates cannot occur in UTF-8.
+empty text; a null id draws as the empty id does. Lone surrogates cannot occur in UTF-8.
 """
 
 from __future__ import annotations
@@ -21,8 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b, shake_128
-from itertools import islice
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,14 @@ from pyspark.sql import functions as F
 from tomeline.llm.common import bound_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 17
+DROPOUT, SEED = 0.1, 17
 MARK = "▁"
 #: Blank marks with what follows them up to the next mark.
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Parts longer than this are merged with a heap; parts (and characters) kept per task; rows at a time.
-LONG, KEPT, KEPT_CHARS, SLICE = 48, 150_000, 1 << 23, 250
+#: Parts longer than this are merged with a heap; states (and characters) kept per task; rows at a time.
+LONG, KEPT, KEPT_CHARS, SLICE = 48, 400_000, 1 << 23, 250
+#: More merges than can come up in a part of LONG characters.
+UPS = 256
 M64 = (1 << 64) - 1
 
 
@@ -77,6 +78,25 @@ def mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.all, self.used = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.all):
+            self.all = np.append(self.all, np.zeros(max(len(more), len(self.all)), self.all.dtype))
+        self.all[self.used : self.used + len(more)] = more
+        self.used += len(more)
+
+
 class Pairs:
     """Which two pieces merge: the piece made and its rank, looked up for whole arrays."""
 
@@ -111,55 +131,50 @@ class Pairs:
 class Encoder:
     vocabulary: Vocabulary
     dropout: float = DROPOUT
-    variants: int = VARIANTS
     seed: int = SEED
 
     def __post_init__(self) -> None:
-        self.keys = [int.from_bytes(blake2b(f"{self.seed}:{v}".encode(), digest_size=8).digest(), "little") for v in range(self.variants)]
-        self.key_array = np.array(self.keys, np.uint64)
         self.below = min(M64, int(self.dropout * (1 << 64)))
         self.pairs = Pairs(self.vocabulary)
         self.byte_ids = np.array(self.vocabulary.byte_ids, np.int32)
         self.forget()
 
-    def skipped(self, variant: int, offset: int, rank: int) -> bool:
-        return mixed(self.keys[variant] ^ (offset * 0x9E3779B97F4A7C15 + rank * 0xD6E8FEB86659FD93 & M64)) < self.below
+    def skipped(self, key: int, offset: int, rank: int) -> bool:
+        return mixed(key ^ (offset * 0x9E3779B97F4A7C15 + rank * 0xD6E8FEB86659FD93 & M64)) < self.below
 
-    def merge_many(self, codes: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    def merge_many(self, codes: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Final pieces of many parts of one length: rows of ids, -1 where a piece was merged away.
 
-        Every round takes each row's best pair off its agenda, and merges or skips it.
+        Every round takes each row's best pair off its agenda, and merges it, or skips it where ``skip`` of row and
+        round says so. With the pieces come each row's (offset, piece) of all rounds as terms of the draw, and their number.
         """
         none, pairs = Pairs.NONE, self.pairs
         n, length = codes.shape
-        final = pairs.first[codes]
+        final, terms, ups = pairs.first[codes], np.zeros((n, UPS), np.uint64), np.zeros(n, np.int64)
         if length == 1:
-            return final
+            return final, terms, ups
         ids, who = final.copy(), np.arange(n)
         right = np.tile(np.arange(1, length + 1, dtype=np.int16), (n, 1))
         left = np.tile(np.arange(-1, length - 1, dtype=np.int16), (n, 1))
         rank, made = pairs.look(ids[:, :-1], ids[:, 1:])
         rank = np.concatenate([rank, np.full((n, 1), none, np.int32)], axis=1)
         made = np.concatenate([made, np.zeros((n, 1), np.int32)], axis=1)
-        key = self.key_array[variant]
-        while True:
+        for at in range(UPS):
             i = rank.argmin(axis=1)
             row = np.arange(len(i))
             top = rank[row, i]
             live = top < none
             if not live.all():
                 final[who[~live]] = ids[~live]
-                ids, who, right, left, rank, made, key, i, top = (x[live] for x in (ids, who, right, left, rank, made, key, i, top))
+                ids, who, right, left, rank, made, i, top = (x[live] for x in (ids, who, right, left, rank, made, i, top))
                 row = np.arange(len(i))
             if not len(i):
-                return final
-            if self.below:
-                x = key ^ (i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + top.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                drop = (x ^ (x >> np.uint64(31))) < np.uint64(self.below)
-                rank[row[drop], i[drop]] = none
-                row, i = row[~drop], i[~drop]
+                return final, terms, ups
+            terms[who, at] = i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + top.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            ups[who] = at + 1
+            drop = skip[who, at]
+            rank[row[drop], i[drop]] = none
+            row, i = row[~drop], i[~drop]
             j = right[row, i]
             ids[row, i] = made[row, i]
             ids[row, j] = -1
@@ -176,32 +191,53 @@ class Encoder:
             r, a, b = row[more], h[more], i[more]
             rank[r, a], made[r, a] = pairs.look(ids[r, a], ids[r, b])
 
-    def work_out(self, parts: list[str], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts in a row, number of ids of each): those of one length are merged together."""
+        raise ValueError("more merges came up than a part of this length has")
+
+    def make_states(self, words: list[int], skips: list[list[int]]) -> None:
+        """Appends a state for each part and list of skipped rounds."""
+        parts = [self.index.names[w] for w in words]
         sizes = np.array([len(p) for p in parts])
         code = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         start = np.cumsum(sizes) - sizes
-        flats, owners = [], []
+        count = len(parts)
+        id_length, term_length, first, flats, owners, drawn, drawers = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64), [], [], [], []
         for length in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == length)
-            for at in range(0, len(own), 8192):
-                now = own[at : at + 8192]
+            for at in range(0, len(own), 4096):
+                now = own[at : at + 4096]
                 if length == 0:
-                    made = np.tile(np.array([self.pairs.size + ord(MARK)], np.int32), (len(now), 1))
-                elif length <= LONG:
-                    made = self.merge_many(code[start[now][:, None] + np.arange(length)], variant[now])
-                else:
-                    for n in now.tolist():
-                        ids = self.merged_long(parts[n], int(variant[n]))
-                        flats.append(np.array([self.pairs.size + ord(x) if i is None else i for x, i in ((p, self.vocabulary.ids.get(p)) for p in ids)], np.int32))
-                        owners.append(np.full(len(ids), n))
+                    flats.append(np.full(len(now), self.pairs.size + ord(MARK), np.int32))
+                    owners.append(now)
                     continue
+                skip = np.zeros((len(now), UPS), bool)
+                for n, i in enumerate(now.tolist()):
+                    if skips[i]:
+                        skip[n, skips[i]] = True
+                        first[i] = skips[i][-1] + 1
+                made, terms, ups = self.merge_many(code[start[now][:, None] + np.arange(length)], skip)
                 held = made >= 0
                 flats.append(made[held])
                 owners.append(np.repeat(now, held.sum(axis=1)))
-        flat, owner = np.concatenate(flats), np.concatenate(owners)
+                later = (np.arange(UPS) >= first[now][:, None]) & (np.arange(UPS) < ups[:, None])
+                drawn.append(terms[later])
+                drawers.append(np.repeat(now, later.sum(axis=1)))
+        flat, owner = self.with_bytes(np.concatenate(flats), np.concatenate(owners))
         order = np.argsort(owner, kind="stable")
-        flat, owner = flat[order], owner[order]
+        id_length = np.bincount(owner, minlength=count)
+        if drawn:
+            term, drawer = np.concatenate(drawn), np.concatenate(drawers)
+            term, term_length = term[np.argsort(drawer, kind="stable")], np.bincount(drawer, minlength=count)
+        else:
+            term = np.zeros(0, np.uint64)
+        for pool, more in ((self.id_start, self.ids.used + np.cumsum(id_length) - id_length), (self.id_length, id_length), (self.term_start, self.terms.used + np.cumsum(term_length) - term_length), (self.term_length, term_length), (self.first, first)):
+            pool.add(more)
+        self.ids.add(flat[order])
+        self.terms.add(term)
+        self.words += words
+        self.skips += skips
+
+    def with_bytes(self, flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as their bytes' pieces."""
         bare = flat >= self.pairs.size
         if bare.any():
             point = flat - self.pairs.size
@@ -209,9 +245,58 @@ class Encoder:
             octets = np.frombuffer("".join(map(chr, point[bare].tolist())).encode(), np.uint8)
             bare, flat, owner = (np.repeat(x, wide) for x in (bare, flat, owner))
             flat[bare] = self.byte_ids[octets]
-        return flat, np.bincount(owner, minlength=len(parts))
-
-    def merged_long(self, part: str, variant: int) -> list[str]:
+        return flat, owner
+
+    def states(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """State of every occurrence of the parts of these numbers, by its own draws."""
+        used, back = np.unique(number, return_inverse=True)
+        if new := [n for n in used.tolist() if n not in self.roots]:
+            self.roots.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+            self.make_states(new, [[] for _ in new])
+        state = np.array([self.roots[n] for n in used.tolist()], np.int64)[back]
+        open_ = np.arange(len(state)) if self.below else np.zeros(0, np.int64)
+        while len(open_):
+            s = state[open_]
+            length = self.term_length.all[s]
+            owner = np.repeat(np.arange(len(s)), length)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+            hit = np.flatnonzero(mixed_all(key[open_][owner] ^ self.terms.all[self.term_start.all[s][owner] + place]) < np.uint64(self.below))
+            hit = hit[np.r_[True, owner[hit][1:] != owner[hit][:-1]]] if len(hit) else hit
+            who = owner[hit]
+            step, back = np.unique(s[who] * UPS + self.first.all[s[who]] + place[hit], return_inverse=True)
+            if new := [x for x in step.tolist() if x not in self.children]:
+                self.children.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+                self.make_states([self.words[x // UPS] for x in new], [[*self.skips[x // UPS], x % UPS] for x in new])
+            open_ = open_[who]
+            state[open_] = np.array([self.children[x] for x in step.tolist()], np.int64)[back]
+        return state
+
+    def work_out(self, parts: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each); ``key`` is that of each part's draws."""
+        key = key.astype(np.uint64)
+        long = np.flatnonzero(np.array([len(p) for p in parts]) > LONG)
+        short = np.ones(len(parts), bool)
+        short[long] = False
+        number = np.array([self.index[p] for p in parts if len(p) <= LONG], np.int64)
+        state = self.states(number, key[short])
+        length = np.zeros(len(parts), np.int64)
+        length[short] = self.id_length.all[state]
+        whole = []
+        for n in long.tolist():
+            ids = self.merged_long(parts[n], int(key[n]))
+            one = np.array([self.pairs.size + ord(x) if i is None else i for x, i in ((p, self.vocabulary.ids.get(p)) for p in ids)], np.int32)
+            whole.append(self.with_bytes(one, np.zeros(len(one), np.int64))[0])
+            length[n] = len(whole[-1])
+        ends = np.cumsum(length)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        take = self.id_length.all[state]
+        inside = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+        out[np.repeat((ends - length)[short], take) + inside] = self.ids.all[np.repeat(self.id_start.all[state], take) + inside]
+        for n, one in zip(long.tolist(), whole, strict=True):
+            out[ends[n] - len(one) : ends[n]] = one
+        return out, length
+
+    def merged_long(self, part: str, key: int) -> list[str]:
         """Pieces of one part by a heap: for long parts, n log n instead of n squared."""
         rank, drop = self.vocabulary.rank, self.below
         pieces: list[str | None] = list(part)
@@ -229,7 +314,7 @@ class Encoder:
         while agenda:
             r, i, pair = heapq.heappop(agenda)
             j = right[i]
-            if pieces[i] is None or j < 0 or len(pieces[i]) + len(pieces[j]) != len(pair) or drop and self.skipped(variant, i, r):
+            if pieces[i] is None or j < 0 or len(pieces[i]) + len(pieces[j]) != len(pair) or drop and self.skipped(key, i, r):
                 continue
             pieces[i], pieces[j] = pair, None
             right[i] = right[j]
@@ -240,52 +325,33 @@ class Encoder:
                 offer(left[i])
         return [p for p in pieces if p is not None]
 
-    def encode_all(self, texts: list[str], doc_ids: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each). Parts met before are looked up."""
-        if len(self.index) >= KEPT or self.index.chars >= KEPT_CHARS:
+    def encode_all(self, texts: list[str], doc_ids: list, repetitions: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each). States met before are looked up."""
+        if len(self.words) >= KEPT or self.index.chars >= KEPT_CHARS:
             self.forget()
-        number, codes, draws, counts = self.index.__getitem__, [], [], []
-        for text, doc_id in zip(texts, doc_ids, strict=True):
-            n = 0
+        parts, keys, counts = [], [], []
+        for text, doc_id, repetition in zip(texts, doc_ids, repetitions or [1] * len(texts), strict=True):
+            before = len(parts)
             for k, stretch in enumerate(text.split(MARK) if text else []):
-                parts = PART.findall((MARK if k == 0 else "") + stretch.replace(" ", MARK))
                 if k:
-                    parts.insert(0, "")  # the empty part stands for a literal mark
-                codes += map(number, parts)
-                draws.append(shake_128(f"{self.seed}:{doc_id}:{k}".encode()).digest(len(parts)))
-                n += len(parts)
-            counts.append(n)
-        code = np.array(codes, np.int64)
-        place = code * self.variants + np.frombuffer(b"".join(draws), np.uint8) % self.variants
-        self.grow(len(self.index) * self.variants)
-        new = np.unique(place[self.length[place] < 0])
-        if len(new):
-            self.index.names += list(islice(self.index, len(self.index.names), None))
-            flat, length = self.work_out([self.index.names[i] for i in (new // self.variants).tolist()], new % self.variants)
-            self.start[new], self.length[new] = self.used + np.cumsum(length) - length, length
-            self.pool.append(flat)
-            self.used += len(flat)
-            self.pool = [np.concatenate(self.pool)]
-        length = self.length[place]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[0][np.repeat(self.start[place] - (ends - length), length) + np.arange(total)] if total else np.zeros(0, np.int32)
-        upto = np.r_[0, ends][np.cumsum(counts)]
+                    parts.append("")  # the empty part stands for a literal mark
+                parts += PART.findall((MARK if k == 0 else "") + stretch.replace(" ", MARK))
+            counts.append(len(parts) - before)
+            keys.append(int.from_bytes(blake2b(f"{self.seed}:{repetition}:{doc_id}".encode(), digest_size=8).digest(), "little"))
+        count = np.array(counts, np.int64)
+        place = np.arange(len(parts)) - np.repeat(np.cumsum(count) - count, count)
+        key = mixed_all(np.repeat(np.array(keys, np.uint64), count) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ids, length = self.work_out(parts, key)
+        upto = np.r_[0, np.cumsum(length)][np.cumsum(count)]
         return ids, np.diff(np.r_[0, upto])
 
-    def encode(self, text: str, doc_id: object = "") -> np.ndarray:
-        return self.encode_all([text], [doc_id])[0]
+    def encode(self, text: str, doc_id: object = "", repetition: int = 1) -> np.ndarray:
+        return self.encode_all([text], [doc_id], [repetition])[0]
 
     def forget(self) -> None:
-        self.index = Index()
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = [np.zeros(0, np.int32)], 0
-
-    def grow(self, size: int) -> None:
-        if size > len(self.length):
-            more = max(size, 2 * len(self.length)) - len(self.length)
-            self.start = np.append(self.start, np.zeros(more, np.int64))
-            self.length = np.append(self.length, np.full(more, -1, np.int64))
+        self.index, self.roots, self.children, self.words, self.skips = Index(), {}, {}, [], []
+        self.ids, self.terms = Pool(np.int32), Pool(np.uint64)
+        self.id_start, self.id_length, self.term_start, self.term_length, self.first = (Pool(np.int64) for _ in range(5))
 
 
 class Index(dict):
@@ -296,6 +362,7 @@ class Index(dict):
 
     def __missing__(self, part: str) -> int:
         self[part] = n = len(self)
+        self.names.append(part)
         self.chars += len(part)
         return n
 
@@ -314,9 +381,10 @@ class Decoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, decoded: bool = False, repetition: str | None = None) -> DataFrame:
     """``doc_id, ids`` for every row. The model is read on the driver and sent along.
 
+    ``repetition`` names a column that numbers rows which repeat a document; each number draws anew.
     With ``decoded`` the ids are also decoded again in the same pass, as by ``decode``.
     """
     vocabulary = Vocabulary.read(docs.sparkSession, model)
@@ -324,13 +392,13 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(held.value, dropout, variants, seed), Decoder(held.value)
+        encoder, decoder = Encoder(held.value, dropout, seed), Decoder(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 now = batch.slice(at, SLICE)
                 names = ["" if x is None else x for x in now.column(0).to_pylist()]
                 texts = now.column(1).to_pylist()
-                ids, counts = encoder.encode_all([t or "" for t in texts], names)
+                ids, counts = encoder.encode_all([t or "" for t in texts], names, now.column(2).to_pylist())
                 ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32(), mask=np.r_[[t is None for t in texts], False])
                 got = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
                 if not decoded:
@@ -339,7 +407,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
                 back = [None if x is None else decoder.decode(x) for x in got.to_pylist()]
                 yield pa.RecordBatch.from_arrays([now.column(0), got, pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    rows = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(repetition) if repetition else F.lit(1)).alias("repetition"))
     return rows.mapInArrow(body, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
