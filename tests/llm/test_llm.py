@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pathlib
 import random
 import re
 import zlib
@@ -532,6 +533,24 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan(spark.createDataFrame([(1, "Some own TEXT")], "doc_id long, text string"), extra=more).first()["license_id"] == "Own"
 
 
+def test_license_scan_of_whole_files(spark):
+    t = license_scan.TEXTS
+    bullets = re.sub(r"(?m)^[123]\. ", "  * ", t["BSD-3-Clause"])
+    cases = [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + t["MIT"], "MIT"), ("The MIT License (MIT)\r\n\r\nCopyright The Foo Authors\r\n\r\n" + t["MIT"], "MIT"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2019, Y\nAll rights reserved.\n\n" + bullets, "BSD-3-Clause"), ("ISC License\n\nCopyright Z\n\n" + t["ISC"], "ISC"),
+        ('BSD 2-Clause "Simplified" License\n\n' + t["BSD-2-Clause"], "BSD-2-Clause"), ("BSD Zero Clause License\n" + t["0BSD"], "0BSD"), ("zlib License\n\n(C) Someone\n\n" + t["Zlib"], "Zlib"),
+        ("Half MIT License\n\n" + t["MIT"], None), ("MIT License", None), ("MIT License\n\n" + t["MIT"] + "\nNot for sale.", None),
+    ]
+    for name, want in {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}.items():
+        file = pathlib.Path("/usr/share/common-licenses", name)
+        if file.exists():
+            cases.append((file.read_text(), want))
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 # pipeline -------------------------------------------------------------------------------------------
 
 

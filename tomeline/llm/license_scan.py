@@ -3,7 +3,8 @@
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and blanks)
 and its SHA-256 joined to the digests of known licences: the entire text of a row against licence texts, and
 each of its lines against one-line notices. DataFrame functions only; nothing shuffles, since the
-known digests are a fixed list of this module and broadcast.
+known digests are a fixed list of this module and broadcast. A licence is found by the bare form of the text: the
+canonical form without title and copyright lines at its head and without the numbers of list items.
 
 Defined cases: null counts as empty; an empty text, or one of copyright lines only, has the digest of the empty
 text and no licence. A row has one licence at most, and each notice once, in code point order. Repeated rows give
@@ -84,7 +85,40 @@ NOTICES = {
     "SPDX-License-Identifier: MIT": "MIT",
     "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
     "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0-only",
+    "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+    "Licensed under the ISC License.": "ISC",
+    "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+} | {
+    f"SPDX-License-Identifier: {i}": i
+    for i in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Zlib")
 }
+# SHA-256 of the bare form of longer licences, whole and up to the end of their terms.
+LONG_DIGESTS = {
+    "f0ddbbd4901401d72ef02550254c0ed47dbc2da29d2d35b1240de74db32bdd01": "Apache-2.0",
+    "95ebafaabf80c10ce0c02d6506b3c942348da0561e2d2af910f930ef055bc343": "Apache-2.0",
+    "9666d051921bc497595d01b3c5b73b1f06842a6aa072b0221619c1e6d78d99e7": "Apache-2.0",
+    "2e8e378a3d24393c0f3fd1439ffbe84e750886c09715e622426a6a0e54fa1bee": "GPL-2.0-only",
+    "80edaf5771a2ca5e7df6a5c023beb15391e60cf1bbae81a82600bb184fecef39": "GPL-2.0-only",
+    "724499132592c4e4c95c8d0a0a79e0045822f797839536a7338312694e3341bc": "GPL-2.0-only",
+    "3695e90f7fe4b461853cec533de5675ab2b6b1fcafcb504d6c64ded76f675d64": "GPL-3.0-only",
+    "8c24ccf35998bd73317aa0801f6e6cbd865514baf55f246a48a8e890d1abc3d1": "GPL-3.0-only",
+    "a7d16b580457c566303df373fd362c5bfbfbc013734bed4e4cf732a569a5598e": "GPL-3.0-only",
+    "f2755dc4b609b314faab32d30ca6d0466b60adc931cece2ea4f0b61f483bfc98": "LGPL-2.1-only",
+    "303c35384a2d8ff561e8480f4d8bc87bd79ea2d92d62ba0b24d22e2c1f88f1e3": "LGPL-2.1-only",
+    "70a277553f5f0e974016dfc6aed9adda07c554792c5f1f3d75acb63053de3f89": "LGPL-2.1-only",
+    "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45": "LGPL-3.0-only",
+    "d2954ecddd82787482d526252c2595f628a7e2ccd8c32b969382705b61c7ed8d": "MPL-2.0",
+    "a294e42efec572e26d12b189f195dad71c1bff400d97b3fb33d69f9803c30270": "CC0-1.0",
+}
+# Lines at the head of a licence file that are no part of its terms, after lower-casing.
+TITLE = (
+    r"""(?:the[ ])?(?:mit|expat|isc|zlib|0bsd|(?:new |modified |revised |simplified )?(?:bsd[ -](?:[023]|zero|two|three)[ -]clause|(?:[023]|zero|two|three)[ -]clause[ -]bsd|bsd))"""
+    r"""(?:[ ]["'“(]?(?:new|revised|modified|simplified|freebsd)["'”)]?|[ ]or)*[ ]licen[sc]e(?:[ ]\((?:mit|expat|isc|zlib|0bsd|bsd[^)\n]*)\))?[.:]?"""
+)
+HEAD = r"\A(?:[ \t\r#*=_/-]*(?:" + TITLE + r"|(?:portions )?copyright[^\n]*|©[^\n]*|\(c\)[^\n]*|all rights reserved[. ]*)?[ \t\r#*=_/-]*(?:\n|\z))+"
+ITEM = r"(?m)^[ \t]*\(?(?:[0-9]{1,2}|[a-z]|i{2,3}|iv)[.)][ \t]+"
 
 
 def canonical(text: Column) -> Column:
@@ -98,11 +132,20 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def bare_digest(text: Column) -> Column:
+    """Digest that licences are told by."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), HEAD, "")
+    return digest(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), ITEM, ""))
+
+
 def known(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     """``known_digest, license_id`` of the licence texts here, and of ``extra`` rows (``license_id, license_text``)."""
     rows = spark.createDataFrame(list(TEXTS.items()), "license_id string, license_text string")
     rows = rows if extra is None else rows.unionByName(extra.select("license_id", "license_text"))
-    return rows.select(digest(F.col("license_text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select(bare_digest(F.col("license_text")).alias("known_digest"), "license_id")
+    if LONG_DIGESTS:
+        rows = rows.unionByName(spark.createDataFrame(list(LONG_DIGESTS.items()), "known_digest string, license_id string"))
+    return rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: DataFrame | None = None) -> DataFrame:
@@ -121,5 +164,5 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: Dat
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     notices = F.when(low.rlike("licen[sc]e"), F.array_join(ids, ",")).otherwise("")
-    rows = rows.select("doc_id", digest(F.col("text")).alias("text_digest"), notices.alias("notices"))
-    return rows.join(found, rows["text_digest"] == found["known_digest"], "left").select("doc_id", "text_digest", "license_id", "notices")
+    rows = rows.select("doc_id", digest(F.col("text")).alias("text_digest"), bare_digest(F.col("text")).alias("bare_digest"), notices.alias("notices"))
+    return rows.join(found, rows["bare_digest"] == found["known_digest"], "left").select("doc_id", "text_digest", "license_id", "notices")
