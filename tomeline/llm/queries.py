@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeline.llm import chat_format, exact_dedup, language_id, license_scan, media, mixing, sentencepiece_bpe, simhash, suffix_dedup, toxicity
+from tomeline.llm import alignment, chat_format, exact_dedup, language_id, license_scan, media, mixing, packing, repair, sentencepiece_bpe, simhash, suffix_dedup, toxicity
 from tomeline.llm.common import table
 
 
@@ -84,7 +84,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_mixing, op4_language_id, op5_exact_dedup, op6_suffix_dedup, op7_chat_format, op8_simhash, op9_media, op10_license_scan)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "key")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damaged(rows))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_mixing, op4_language_id, op5_exact_dedup, op6_suffix_dedup, op7_chat_format, op8_simhash, op9_media, op10_license_scan, op11_packing, op12_conversation_repair, op13_alignment)}
 
 OP3_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
  substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15) AS place FROM documents),
