@@ -569,12 +569,8 @@ def test_pipeline_against_brute_force(spark, docs):
     rows = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
     best, norm = brute_exact(rows)
     rows = [r for r in rows if best[norm(r[1])][0] == r[0]]
-    label = brute_components({brute_print(r[1]) for r in rows})
-    first = {}
-    for r in rows:
-        k = label[brute_print(r[1])]
-        first[k] = min(first.get(k, r[0]), r[0])
-    rows = [r for r in rows if first[label[brute_print(r[1])]] == r[0]]
+    first = brute_near([(r[0], r[1]) for r in rows])
+    rows = [r for r in rows if first[r[0]] == r[0]]
     by, own, target = brute_mix(rows)
     texts_ = {r[0]: r for r in rows}
     assert set(got) <= set(texts_)
@@ -583,3 +579,27 @@ def test_pipeline_against_brute_force(spark, docs):
         assert abs(taken - target[s]) <= max(n for _, n, _ in members) / 2 + 1e-6 and all(got[d] <= 3 for _, _, d in members)
     for r in corpus_pipeline.run(spark, SF).collect()[:50]:
         assert r["decoded_sha256"] == sha(texts_[r["doc_id"]][1].encode())
+
+
+def test_license_scan_of_odd_heads_takes_linear_time(spark):
+    mit = license_scan.TEXTS["MIT"]
+    cases = [("\n" * 100_000 + "x", None), ("=" * 100_000, None), ("=" * 100_000 + "\nMIT License\n\n" + mit, "MIT"), ("Copyright (c) 2020 X\n" * 10_000 + "\n" + mit, "MIT"), ("- \n" * 50_000 + "The MIT License\n" + mit, "MIT")]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_known_licenses_hold_the_words_that_texts_are_searched_for(spark):
+    rows = spark.createDataFrame([(t,) for t in license_scan.TEXTS.values()], "t string")
+    assert rows.filter(~license_scan.may_be_known(F.col("t"))).count() == 0
+
+
+def test_numeric_signs_are_no_letters(spark):
+    df = frame(spark, [(i, " ".join(random.Random(i).choices(LANGS[k], k=30)), k, "s") for i in range(40) for k in LANGS] + [(900, "½ ² ① Ⅷ 12", None, "s"), (901, "ª", None, "s")])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df).collect()}
+    assert got[900] == "und" and got[901] != "und"
+
+
+@pytest.mark.parametrize("media_", [b"P5\n99999999999 99999999999\n255\n", b"P4\n99999999999 99999999999\n", b"P2\n1 1\n255\n99999999999999999999", b"P2\n1 1\n99999\n1", b"BM" + b"\x00" * 8 + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + ((1 << 31) - 1).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + b"\x00" * 30])
+def test_media_of_broken_sizes_has_no_features(media_):
+    assert media.features_of(media_) == (None,) * 10
