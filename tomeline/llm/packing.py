@@ -20,6 +20,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeline.llm.alignment import byte_letters
 from tomeline.llm.common import as_bytes, bound_batches, pin, shared_folder
 from tomeline.llm.sentencepiece_bpe import Index, Pool
 
@@ -39,8 +41,34 @@ SEED = 11
 #: Texts handled at a time; words (and their bytes) from which on a task forgets them and starts anew.
 SLICE, KEPT, KEPT_CHARS = 250, 400_000, 1 << 23
 #: Characters for which the library's normaliser only lower-cases, one by one.
-PLAIN = re.compile("[!-~¡-ɏ]+")
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile("[\n!-~¡-ɏ]+")
+PRETOKEN = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Lists:
+    """Numbered lists of ids, the names they stand for being told once."""
+
+    def __init__(self) -> None:
+        self.index, self.ids, self.start, self.length = Index(), Pool(np.uint32), Pool(np.int64), Pool(np.int64)
+
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        self.start.add(self.ids.used + np.cumsum(length) - length)
+        self.length.add(length)
+        self.ids.add(ids)
+
+    def add_all(self, lists: list[list[int]]) -> None:
+        self.add(np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def joined(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of these lists in a row, the length of each list)."""
+        take = self.length.all[number]
+        inside = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+        return self.ids.all[np.repeat(self.start.all[number], take) + inside], take
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of so many values each."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(counts)]])
 
 
 class Words:
@@ -51,56 +79,55 @@ class Words:
     """
 
     def __init__(self, model: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.whole, self.merges = Tokenizer.from_str(model), Tokenizer.from_str(model)
-        self.merges.normalizer = None
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = Tokenizer.from_str(model)
+        self.merges = self.whole.model
+        self.letters = {b: c for c, b in byte_letters().items()} | {ord("\n"): "\n"}
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.parts = Index(), {}
-        self.ids, self.start, self.length = Pool(np.uint32), Pool(np.int64), Pool(np.int64)
+        self.words, self.parts = Lists(), Lists()
 
     def add(self, words: list[bytes]) -> None:
-        cut, odd, new = {}, [], {}
-        for n, word in enumerate(words):
-            text = word.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                cut[n] = PRETOKEN.findall(text.lower())
-                new.update((p, None) for p in cut[n] if p not in self.parts)
+        """Appends the lists of new words, in their order."""
+        text = b"\n".join(words).decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            self.add_plain(text, len(words))
+            return
+        for odd, group in groupby(text.split("\n"), lambda w: not PLAIN.fullmatch(w) or "<|" in w):
+            some = list(group)
+            if odd:
+                self.words.add_all([e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)])
             else:
-                odd.append((n, text))
-        for part, got in zip(new, self.merges.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-            self.parts[part] = got.ids
-        ids: list[list[int]] = [[]] * len(words)
-        for n, parts in cut.items():
-            ids[n] = [i for p in parts for i in self.parts[p]]
-        for (n, _), got in zip(odd, self.whole.encode_batch_fast([x for _, x in odd], add_special_tokens=False), strict=True):
-            ids[n] = got.ids
-        length = np.array([len(x) for x in ids], np.int64)
-        self.start.add(self.ids.used + np.cumsum(length) - length)
-        self.length.add(length)
-        self.ids.add(np.array([i for x in ids for i in x], np.uint32))
+                self.add_plain("\n".join(some), len(some))
+
+    def add_plain(self, text: str, count: int) -> None:
+        cut, known = PRETOKEN.findall(text.lower()), len(self.parts.index)
+        index = self.parts.index
+        number = np.array([-1 if p == "\n" else index[p] for p in cut], np.int64)
+        if len(index) > known:
+            spelled = "\n".join(index.names[known:]).encode().decode("latin-1").translate(self.letters).split("\n")
+            self.parts.add_all([[t.id for t in self.merges.tokenize(p)] for p in spelled])
+        ends = np.append(np.flatnonzero(number < 0) - np.arange(count - 1), len(number) - count + 1)
+        ids, length = self.parts.joined(number[number >= 0])
+        self.words.add(ids, sums(length, np.diff(np.r_[0, ends])))
 
     def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with the end id behind; number of ids of each)."""
-        if len(self.index) >= KEPT or self.index.chars >= KEPT_CHARS:
+        if len(self.words.index) >= KEPT or self.words.index.chars >= KEPT_CHARS:
             self.forget()
         split = [t.split() for t in texts]  # bytes are split at ASCII blanks only
-        before = len(self.index)
-        number = np.array([self.index[w] for x in split for w in x], np.int64)
-        if len(self.index) > before:
-            self.add(self.index.names[before:])
-        count = np.array([len(x) for x in split], np.int64)
-        take = self.length.all[number]
-        upto = np.r_[0, np.cumsum(take)]
-        sizes = np.diff(upto[np.r_[0, np.cumsum(count)]]) + 1
-        inside = np.arange(upto[-1]) - np.repeat(upto[:-1], take)
+        index, known = self.words.index, len(self.words.index)
+        number = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(index) > known:
+            self.add(index.names[known:])
+        ids, length = self.words.joined(number)
+        sizes = sums(length, np.fromiter(map(len, split), np.int64, len(split))) + 1
         out = np.full(int(sizes.sum()), END, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(sizes) - 1] = False
-        out[body] = self.ids.all[np.repeat(self.start.all[number], take) + inside]
+        out[body] = ids
         return out, sizes
 
 
