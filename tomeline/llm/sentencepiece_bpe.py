@@ -36,9 +36,12 @@ MARK = "▁"
 #: Blank marks with what follows them up to the next mark.
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Parts longer than this are merged with a heap; states (and characters) kept per task; rows at a time.
-LONG, KEPT, KEPT_CHARS, SLICE = 48, 400_000, 1 << 23, 250
-#: More merges than can come up in a part of LONG characters.
-UPS = 256
+LONG, KEPT, KEPT_CHARS, SLICE = 48, 400_000, 1 << 23, 500
+#: More merges than can come up in a part of LONG characters: every pair that ever stands there comes up once, and a merge
+#: makes two new ones, so that fewer than three a character do. Lists of skipped ones are bits of so many 64-bit words.
+UPS, MASKS = 256, 3
+#: Parts up to these lengths are merged side by side.
+CLASSES = (4, 6, 8, 10, 12, 16, 24, LONG)
 M64 = (1 << 64) - 1
 
 
@@ -101,6 +104,8 @@ class Pairs:
     """Which two pieces merge: the piece made and its rank, looked up for whole arrays."""
 
     NONE = np.int32(1 << 30)
+    #: Fills up short parts; it has no pairs.
+    PAD = (1 << 22) - 1
 
     def __init__(self, v: Vocabulary) -> None:
         size, keys, made, ranks = len(v.pieces), [], [], []
@@ -111,9 +116,18 @@ class Pairs:
                     keys.append((a << 22) + b)
                     made.append(v.ids[piece])
                     ranks.append(rank)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.append(np.array(keys, np.int64)[order], np.int64(1) << 62)
-        self.made, self.ranks = np.append(np.array(made, np.int32)[order], 0), np.append(np.array(ranks, np.int32)[order], self.NONE)
+        # A table by hash: a key stands in its slot, or in one of the next few when that is taken.
+        keys, made, ranks = np.array(keys, np.int64), np.array(made, np.int32), np.array(ranks, np.int32)
+        self.shift = np.uint64(64 - max(4, 3 + len(keys).bit_length()))
+        slots = 1 << int(64 - self.shift)
+        self.keys, self.made, self.ranks = np.full(slots, -1, np.int64), np.zeros(slots, np.int32), np.full(slots, self.NONE, np.int32)
+        left, slot = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            fit = np.unique(np.where(self.keys[slot] < 0, slot, -1), return_index=True)[1]
+            fit = fit[self.keys[slot[fit]] < 0]
+            self.keys[slot[fit]], self.made[slot[fit]], self.ranks[slot[fit]] = keys[left[fit]], made[left[fit]], ranks[left[fit]]
+            left, slot = np.delete(left, fit), np.delete(slot, fit)
+            slot = (slot + 1) % slots
         # Characters without a piece stand behind the vocabulary, by code point.
         self.first = np.arange(0x110000, dtype=np.int32) + size
         for piece, i in v.ids.items():
@@ -121,10 +135,21 @@ class Pairs:
                 self.first[ord(piece)] = i
         self.size = size
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (a.astype(np.int64) << 22) + b
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], self.NONE), self.made[at]
+        at = self.slot(key)
+        held = self.keys[at]
+        hit = held == key
+        other = np.flatnonzero(~hit & (held >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.keys)
+            held = self.keys[at[other]]
+            hit[other] = held == key[other]
+            other = other[(held >= 0) & ~hit[other]]
+        return np.where(hit, self.ranks[at], self.NONE), self.made[at]
 
 
 @dataclass
@@ -143,98 +168,94 @@ class Encoder:
         return mixed(key ^ (offset * 0x9E3779B97F4A7C15 + rank * 0xD6E8FEB86659FD93 & M64)) < self.below
 
     def merge_many(self, codes: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Final pieces of many parts of one length: rows of ids, -1 where a piece was merged away.
+        """Final pieces of many parts: rows of ids, -1 where a piece was merged away or a part has ended.
 
         Every round takes each row's best pair off its agenda, and merges it, or skips it where ``skip`` of row and
         round says so. With the pieces come each row's (offset, piece) of all rounds as terms of the draw, and their number.
         """
         none, pairs = Pairs.NONE, self.pairs
         n, length = codes.shape
-        final, terms, ups = pairs.first[codes], np.zeros((n, UPS), np.uint64), np.zeros(n, np.int64)
-        if length == 1:
-            return final, terms, ups
+        final, terms, ups = np.where(codes < 0, Pairs.PAD, pairs.first[codes]), np.zeros(skip.shape, np.uint64), np.zeros(n, np.int64)
         ids, who = final.copy(), np.arange(n)
         right = np.tile(np.arange(1, length + 1, dtype=np.int16), (n, 1))
         left = np.tile(np.arange(-1, length - 1, dtype=np.int16), (n, 1))
-        rank, made = pairs.look(ids[:, :-1], ids[:, 1:])
+        rank, made = (x.reshape(n, length - 1) for x in pairs.look(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
         rank = np.concatenate([rank, np.full((n, 1), none, np.int32)], axis=1)
         made = np.concatenate([made, np.zeros((n, 1), np.int32)], axis=1)
-        for at in range(UPS):
+        flat = [x.reshape(-1) for x in (ids, right, left, rank, made)]  # views: one index is quicker than two
+        for at in range(skip.shape[1] + 1):
             i = rank.argmin(axis=1)
-            row = np.arange(len(i))
-            top = rank[row, i]
-            live = top < none
-            if not live.all():
-                final[who[~live]] = ids[~live]
-                ids, who, right, left, rank, made, i, top = (x[live] for x in (ids, who, right, left, rank, made, i, top))
-                row = np.arange(len(i))
-            if not len(i):
+            top = flat[3][np.arange(len(i)) * length + i]
+            row = np.flatnonzero(top < none)
+            if 2 * len(row) < len(i):  # go on with the rows that are not through
+                final[who] = ids
+                ids, who, right, left, rank, made, i, top = (x[row] for x in (ids, who, right, left, rank, made, i, top))
+                flat = [x.reshape(-1) for x in (ids, right, left, rank, made)]
+                row = np.arange(len(row))
+            if not len(row):
+                final[who] = ids
+                final[final == Pairs.PAD] = -1
                 return final, terms, ups
-            terms[who, at] = i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + top.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            ups[who] = at + 1
-            drop = skip[who, at]
-            rank[row[drop], i[drop]] = none
-            row, i = row[~drop], i[~drop]
-            j = right[row, i]
-            ids[row, i] = made[row, i]
-            ids[row, j] = -1
-            rank[row, j] = none
-            k = right[row, j]
-            right[row, i] = k
+            i, top, whose = i[row], top[row], who[row]
+            terms[whose, at] = i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + top.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            ups[whose] = at + 1
+            drop = skip[whose, at]
+            f_ids, f_right, f_left, f_rank, f_made = flat
+            place = row * length + i
+            f_rank[place[drop]] = none
+            place, base = place[~drop], row[~drop] * length
+            f_ids[place] = f_made[place]
+            j = base + f_right[place]
+            f_ids[j] = -1
+            f_rank[j] = none
+            k = f_right[j]
+            f_right[place] = k
+            f_rank[place] = none
             more = k < length
-            r, a, b = row[more], i[more], k[more]
-            left[r, b] = a
-            rank[row, i] = none
-            rank[r, a], made[r, a] = pairs.look(ids[r, a], ids[r, b])
-            h = left[row, i]
+            a, b = place[more], (base + k)[more]
+            f_left[b] = a - base[more]
+            f_rank[a], f_made[a] = pairs.look(f_ids[a], f_ids[b])
+            h = f_left[place]
             more = h >= 0
-            r, a, b = row[more], h[more], i[more]
-            rank[r, a], made[r, a] = pairs.look(ids[r, a], ids[r, b])
+            a, b = (base + h)[more], place[more]
+            f_rank[a], f_made[a] = pairs.look(f_ids[a], f_ids[b])
 
         raise ValueError("more merges came up than a part of this length has")
 
-    def make_states(self, words: list[int], skips: list[list[int]]) -> None:
-        """Appends a state for each part and list of skipped rounds."""
-        parts = [self.index.names[w] for w in words]
-        sizes = np.array([len(p) for p in parts])
-        code = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-        start = np.cumsum(sizes) - sizes
+    def make_states(self, words: np.ndarray, masks: np.ndarray, first: np.ndarray) -> None:
+        """Appends a state for each part and list of skipped rounds; ``first`` is the round behind the last skip."""
+        names = self.index.names
+        parts = [names[w] for w in words.tolist()]
         count = len(parts)
-        id_length, term_length, first, flats, owners, drawn, drawers = np.zeros(count, np.int64), np.zeros(count, np.int64), np.zeros(count, np.int64), [], [], [], []
-        for length in np.unique(sizes).tolist():
-            own = np.flatnonzero(sizes == length)
+        sizes = np.fromiter(map(len, parts), np.int64, count)
+        code = np.append(np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64), -1)
+        start = np.cumsum(sizes) - sizes
+        empty = np.flatnonzero(sizes == 0)
+        flats, owners, drawn, drawers = [np.full(len(empty), self.pairs.size + ord(MARK), np.int32)], [empty], [], []
+        for low, high in zip((0, *CLASSES), CLASSES, strict=False):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
             for at in range(0, len(own), 4096):
                 now = own[at : at + 4096]
-                if length == 0:
-                    flats.append(np.full(len(now), self.pairs.size + ord(MARK), np.int32))
-                    owners.append(now)
-                    continue
-                skip = np.zeros((len(now), UPS), bool)
-                for n, i in enumerate(now.tolist()):
-                    if skips[i]:
-                        skip[n, skips[i]] = True
-                        first[i] = skips[i][-1] + 1
-                made, terms, ups = self.merge_many(code[start[now][:, None] + np.arange(length)], skip)
+                place = np.arange(sizes[now].max())
+                rows = code[np.where(place < sizes[now][:, None], start[now][:, None] + place, -1)]
+                rounds = np.arange(3 * len(place))
+                skip = np.unpackbits(np.ascontiguousarray(masks[now]).view(np.uint8), axis=1, bitorder="little")[:, : len(rounds)].view(bool)
+                made, terms, ups = self.merge_many(rows, skip)
                 held = made >= 0
                 flats.append(made[held])
                 owners.append(np.repeat(now, held.sum(axis=1)))
-                later = (np.arange(UPS) >= first[now][:, None]) & (np.arange(UPS) < ups[:, None])
+                later = (rounds >= first[now][:, None]) & (rounds < ups[:, None])
                 drawn.append(terms[later])
                 drawers.append(np.repeat(now, later.sum(axis=1)))
         flat, owner = self.with_bytes(np.concatenate(flats), np.concatenate(owners))
-        order = np.argsort(owner, kind="stable")
         id_length = np.bincount(owner, minlength=count)
-        if drawn:
-            term, drawer = np.concatenate(drawn), np.concatenate(drawers)
-            term, term_length = term[np.argsort(drawer, kind="stable")], np.bincount(drawer, minlength=count)
-        else:
-            term = np.zeros(0, np.uint64)
-        for pool, more in ((self.id_start, self.ids.used + np.cumsum(id_length) - id_length), (self.id_length, id_length), (self.term_start, self.terms.used + np.cumsum(term_length) - term_length), (self.term_length, term_length), (self.first, first)):
+        term, drawer = np.concatenate([np.zeros(0, np.uint64), *drawn]), np.concatenate([np.zeros(0, np.int64), *drawers])
+        term_length = np.bincount(drawer, minlength=count)
+        told = (self.id_start, self.ids.used + np.cumsum(id_length) - id_length), (self.id_length, id_length), (self.term_start, self.terms.used + np.cumsum(term_length) - term_length)
+        for pool, more in (*told, (self.term_length, term_length), (self.first, first), (self.words, words), *zip(self.masks, masks.T, strict=True)):
             pool.add(more)
-        self.ids.add(flat[order])
-        self.terms.add(term)
-        self.words += words
-        self.skips += skips
+        self.ids.add(flat[np.argsort(owner, kind="stable")])
+        self.terms.add(term[np.argsort(drawer, kind="stable")])
 
     def with_bytes(self, flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as their bytes' pieces."""
@@ -249,11 +270,7 @@ class Encoder:
 
     def states(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
         """State of every occurrence of the parts of these numbers, by its own draws."""
-        used, back = np.unique(number, return_inverse=True)
-        if new := [n for n in used.tolist() if n not in self.roots]:
-            self.roots.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-            self.make_states(new, [[] for _ in new])
-        state = np.array([self.roots[n] for n in used.tolist()], np.int64)[back]
+        state = self.roots.all[number]
         open_ = np.arange(len(state)) if self.below else np.zeros(0, np.int64)
         while len(open_):
             s = state[open_]
@@ -264,21 +281,35 @@ class Encoder:
             hit = hit[np.r_[True, owner[hit][1:] != owner[hit][:-1]]] if len(hit) else hit
             who = owner[hit]
             step, back = np.unique(s[who] * UPS + self.first.all[s[who]] + place[hit], return_inverse=True)
-            if new := [x for x in step.tolist() if x not in self.children]:
-                self.children.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-                self.make_states([self.words[x // UPS] for x in new], [[*self.skips[x // UPS], x % UPS] for x in new])
+            steps = step.tolist()
+            if found := [x for x in steps if x not in self.children]:
+                self.children.update(zip(found, range(self.words.used, self.words.used + len(found)), strict=True))
+                parent, skip = np.divmod(np.array(found, np.int64), UPS)
+                masks = np.stack([m.all[parent] for m in self.masks], axis=1)
+                masks[np.arange(len(skip)), skip >> 6] |= np.uint64(1) << (skip & 63).astype(np.uint64)
+                self.make_states(self.words.all[parent], masks, skip + 1)
             open_ = open_[who]
-            state[open_] = np.array([self.children[x] for x in step.tolist()], np.int64)[back]
+            state[open_] = np.fromiter(map(self.children.__getitem__, steps), np.int64, len(steps))[back]
         return state
 
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """Number of every part; new ones get their root state, long ones none."""
+        index, known = self.index, len(self.index)
+        number = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
+        if len(index) > known:
+            fresh = index.names[known:]
+            short = np.fromiter(map(len, fresh), np.int64, len(fresh)) <= LONG
+            self.roots.add(np.where(short, self.words.used + np.cumsum(short) - 1, -1))
+            self.make_states(known + np.flatnonzero(short), np.zeros((int(short.sum()), MASKS), np.uint64), np.zeros(int(short.sum()), np.int64))
+        return number
+
     def work_out(self, parts: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts in a row, number of ids of each); ``key`` is that of each part's draws."""
         key = key.astype(np.uint64)
-        long = np.flatnonzero(np.array([len(p) for p in parts]) > LONG)
-        short = np.ones(len(parts), bool)
-        short[long] = False
-        number = np.array([self.index[p] for p in parts if len(p) <= LONG], np.int64)
-        state = self.states(number, key[short])
+        number = self.numbers(parts)
+        short = self.roots.all[number] >= 0
+        long = np.flatnonzero(~short)
+        state = self.states(number[short], key[short])
         length = np.zeros(len(parts), np.int64)
         length[short] = self.id_length.all[state]
         whole = []
@@ -327,7 +358,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str], doc_ids: list, repetitions: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each). States met before are looked up."""
-        if len(self.words) >= KEPT or self.index.chars >= KEPT_CHARS:
+        if self.words.used >= KEPT or self.index.chars >= KEPT_CHARS:
             self.forget()
         parts, keys, counts = [], [], []
         for text, doc_id, repetition in zip(texts, doc_ids, repetitions or [1] * len(texts), strict=True):
@@ -349,9 +380,9 @@ class Encoder:
         return self.encode_all([text], [doc_id], [repetition])[0]
 
     def forget(self) -> None:
-        self.index, self.roots, self.children, self.words, self.skips = Index(), {}, {}, [], []
-        self.ids, self.terms = Pool(np.int32), Pool(np.uint64)
-        self.id_start, self.id_length, self.term_start, self.term_length, self.first = (Pool(np.int64) for _ in range(5))
+        self.index, self.children = Index(), {}
+        self.ids, self.terms, self.masks = Pool(np.int32), Pool(np.uint64), [Pool(np.uint64) for _ in range(MASKS)]
+        self.id_start, self.id_length, self.term_start, self.term_length, self.first, self.words, self.roots = (Pool(np.int64) for _ in range(7))
 
 
 class Index(dict):
@@ -374,6 +405,17 @@ class Decoder:
         self.table = [p.replace(MARK, " ").encode() for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             self.table[i] = bytes([b])
+        self.bytes: pa.Array | None = None
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of so many ids each."""
+        if self.bytes is None:
+            self.bytes = pa.array(self.table, pa.large_binary())
+        got = self.bytes.take(pa.array(ids))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, got.offset * 8) if len(got) else np.zeros(1, np.int64)
+        said = got.buffers()[2].to_pybytes() if len(got) else b""
+        stops = ends[np.r_[0, np.cumsum(counts)]].tolist()
+        return [said[a + (said[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(stops, stops[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         table = self.table
@@ -404,8 +446,8 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: s
                 if not decoded:
                     yield pa.RecordBatch.from_arrays([now.column(0), got], names=["doc_id", "ids"])
                     continue
-                back = [None if x is None else decoder.decode(x) for x in got.to_pylist()]
-                yield pa.RecordBatch.from_arrays([now.column(0), got, pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+                back = pa.array(decoder.decode_all(ids, counts), pa.string(), mask=np.array([t is None for t in texts], bool))
+                yield pa.RecordBatch.from_arrays([now.column(0), got, back], names=["doc_id", "ids", "decoded"])
 
     rows = bound_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(repetition) if repetition else F.lit(1)).alias("repetition"))
     return rows.mapInArrow(body, f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
