@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +39,18 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``pin``, but as a table of its own: what earlier steps told of their columns is not carried on.
+
+    A checkpoint keeps the constraints of its plan. In a loop of joins these multiply with every round, until the driver
+    is busy with nothing else. A table's size is also known, so that Spark decides on broadcasts by its bytes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: A join's side is broadcast up to so many bytes; beyond, Spark joins it by key.
 BROADCAST_BYTES = 8 << 20
 

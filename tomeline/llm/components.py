@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeline.llm.common import pin
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, pin: Callable[[DataFrame], DataFrame] = pin) -> DataFrame:
     """``node, label`` for every node of the long columns ``a, b``: label is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label,
+    ``pin`` keeps what a round has found. Each round takes the smallest label among a node's neighbours and then the label of that label,
     so that rounds grow with the logarithm of a chain's length. Minima are folded in each task
     before rows move; what a hub's key gathers is a join's side that Spark may split.
     """
