@@ -117,7 +117,8 @@ TITLE = (
     r"""(?:the[ ])?(?:mit|expat|isc|zlib|0bsd|(?:new |modified |revised |simplified )?(?:bsd[ -](?:[023]|zero|two|three)[ -]clause|(?:[023]|zero|two|three)[ -]clause[ -]bsd|bsd))"""
     r"""(?:[ ]["'“(]?(?:new|revised|modified|simplified|freebsd)["'”)]?|[ ]or)*[ ]licen[sc]e(?:[ ]\((?:mit|expat|isc|zlib|0bsd|bsd[^)\n]*)\))?[.:]?"""
 )
-HEAD = r"\A(?:[ \t\r#*=_/-]*(?:" + TITLE + r"|(?:portions )?copyright[^\n]*|©[^\n]*|\(c\)[^\n]*|all rights reserved[. ]*)?[ \t\r#*=_/-]*(?:\n|\z))+"
+# Every part is possessive: lines are taken one by one without recursion, and none is tried twice.
+HEAD = r"\A(?:[ \t\r#*=_/-]*+(?:" + TITLE + r"|(?:portions )?copyright[^\n]*+|©[^\n]*+|\(c\)[^\n]*+|all rights reserved[. ]*+)?+[ \t\r#*=_/-]*+(?:\n|\z))++"
 ITEM = r"(?m)^[ \t]*\(?(?:[0-9]{1,2}|[a-z]|i{2,3}|iv)[.)][ \t]+"
 
 
@@ -138,6 +139,11 @@ def bare_digest(text: Column) -> Column:
     return digest(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, ""), ITEM, ""))
 
 
+def may_be_known(text: Column) -> Column:
+    """Whether a text holds a word that all licences of this module hold, in either spelling."""
+    return F.lower(text).rlike("licen[sc]e|software")
+
+
 def known(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     """``known_digest, license_id`` of the licence texts here, and of ``extra`` rows (``license_id, license_text``)."""
     rows = spark.createDataFrame(list(TEXTS.items()), "license_id string, license_text string")
@@ -164,5 +170,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: Dat
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     notices = F.when(low.rlike("licen[sc]e"), F.array_join(ids, ",")).otherwise("")
-    rows = rows.select("doc_id", digest(F.col("text")).alias("text_digest"), bare_digest(F.col("text")).alias("bare_digest"), notices.alias("notices"))
+    bare = bare_digest(F.col("text"))
+    bare = F.when(may_be_known(F.col("text")), bare) if extra is None else bare
+    rows = rows.select("doc_id", digest(F.col("text")).alias("text_digest"), bare.alias("bare_digest"), notices.alias("notices"))
     return rows.join(found, rows["bare_digest"] == found["known_digest"], "left").select("doc_id", "text_digest", "license_id", "notices")
