@@ -12,17 +12,17 @@ take the text alone; every whole text is read. A batch's presence rows meet the
 matrix products, a block of n-grams at a time, and those kernels meet the classes in another one. No n-gram of a
 landmark is left out.
 
-Defined cases: a null text and one without a letter get ``und`` and score 0; rows with a null language are
+Defined cases: a null text and one without a letter (Unicode category L) get ``und`` and score 0; rows with a null language are
 never learned from; with no learning rows at all every text is ``und``. Equal texts get equal answers.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ MAX_N, GRAM_BITS = 4, 17
 PER_LANG, LANDMARKS_PER_LANG, RIDGE = 250, 24, 1e-3
 #: Parts of a language that are ranked on their own before the sample is taken; the result does not depend on it.
 SAMPLE_PARTS = 16
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Columns of the presence rows of a batch that are multiplied at a time, which bounds their memory.
 BLOCK_GRAMS = 16384
 
