@@ -138,7 +138,7 @@ def features_of(media: bytes | None) -> tuple:
     try:
         image = decode_media(media)
         samples = image.tobytes()
-    except (TypeError, ValueError, IndexError, struct.error):
+    except (TypeError, ValueError, IndexError, OverflowError, struct.error):
         return (None,) * 10
     h, w, c = image.shape
     sha = lambda x: hashlib.sha256(x).hexdigest()
