@@ -7,6 +7,9 @@ checked exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,10 +18,13 @@ from pyspark.sql import types as T
 
 from tomeline.functions import text as tx
 from tomeline.functions.arrays import let
+from tomeline.sources.sinks import materialize
 
 RUN = r"[a-z0-9]+"
 LONGEST_GRAM = 3
 GRAM_SIZES = (1, 2, 3, 6, 12)
+#: 64-bit words of a Bloom filter at most: 8 MB, sixteen bits a key up to four million keys.
+BLOOM_WORDS = 1 << 20
 
 
 def _run_grams(runs: Column, sizes: set[int]) -> Column:
@@ -47,25 +53,42 @@ def _sign_grams(text: Column) -> Column:
     return F.transform(let(F.split(text, ""), grams), lambda g: F.xxhash64(g))
 
 
-def _name_keys(names: DataFrame, needle: str) -> DataFrame:
-    """Distinct needles with their blocking key and the number of runs in it."""
+def _name_windows(names: DataFrame, needle: str) -> DataFrame:
+    """``needle, grams, key``: the windows of each distinct needle and how many runs they have."""
     runs = F.regexp_extract_all(F.col("needle"), F.lit(RUN), F.lit(0))
     signs = F.substring("needle", 1, 2)
     grams = F.least(F.size("runs"), F.lit(LONGEST_GRAM))
     starts = F.sequence(F.lit(1), F.size("runs") - F.col("grams") + 1)
     windows = F.transform(starts, lambda i: F.array_join(F.slice("runs", i, F.col("grams")), " "))
-    each = (
+    return (
         names.select(F.col(needle).alias("needle"))
-        .filter(F.col("needle") != "")
+        .filter("needle <> ''")
         .distinct()
         .withColumn("runs", runs)
         .withColumn("grams", grams)
         .select("needle", "grams", F.explode(F.when(F.col("grams") == 0, F.array(signs)).otherwise(windows)).alias("window"))
-        .withColumn("key", F.xxhash64("window"))
+        .select("needle", "grams", F.xxhash64("window").alias("key"))
     )
-    # Names that begin alike share their first words; the window that fewest names have parts them.
-    shared = each.groupBy("key").agg(F.count("*").alias("n"))
-    return each.join(shared, "key").groupBy("needle", "grams").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+
+
+def _probes(key: Column, words: int) -> list[tuple[Column, Column]]:
+    """(word, bit) of a key in a Bloom filter of so many 64-bit words."""
+    other = F.xxhash64(key)
+    return [(F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")) for h in (key, other)]
+
+
+def bloom_filter(keys: DataFrame, key: str, words: int) -> Column:
+    """Bits of a long column as one ``array<long>``, worked out once in front of the step that asks for them."""
+    each = keys.select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col(key), words)])).alias("p"))
+    held = each.groupBy("p.word").agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
+    all_words = keys.sparkSession.range(words).withColumnRenamed("id", "word")
+    dense = all_words.join(held, "word", "left").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))
+    return dense.select(F.transform("w", lambda x: x["bits"]).alias("bits")).scalar()
+
+
+def may_hold(bits: Column, key: Column, words: int) -> Column:
+    """False only for keys that are not in the filter."""
+    return reduce(and_, [F.getbit(F.get(bits, w), b) == 1 for w, b in _probes(key, words)])
 
 
 def mention_join(
@@ -78,22 +101,32 @@ def mention_join(
     """All ``(text_id, needle)`` pairs where the needle stands bounded in the text.
 
     ``text`` and ``needle`` are match keys already. A bounded match makes every run of letters
-    and digits of the needle a complete run of the text, in the same order, so the hash of the
-    needle's rarest window of (up to three) runs is among the hashes of the text's adjacent runs.
-    Texts emit hashes only; the pairs that met are joined back to their texts and checked. Spark
-    broadcasts the keys or the pairs where their bytes, as it meets them, allow it.
+    and digits of the needle a complete run of the text, in the same order, so the hashes of all the
+    needle's windows of (up to three) runs are among the hashes of the text's adjacent runs.
+
+    A Bloom filter of the names' windows goes to the texts first, so that only hashes move that some name
+    may have; its size follows the number of windows, up to ``BLOOM_WORDS`` words, and what it lets through
+    in vain only costs a row. Those hashes tell in how many texts each window stands. A name is then looked up
+    by the window that fewest texts have, and not at all if a window of it stands in none. The pairs that met
+    are joined back to their texts and checked.
     """
-    keys = _name_keys(names, needle)
-    # Texts emit only the lengths that some name needs; there are four at most.
-    sizes = {r["grams"] for r in keys.select("grams").distinct().collect()}
+    windows = materialize(_name_windows(names, needle))
+    told = windows.groupBy("grams").agg(F.count("*").alias("n")).collect()  # four rows at most
+    # Texts emit only the lengths that some name needs.
+    sizes = {r["grams"] for r in told}
+    words = min(BLOOM_WORDS, 1 << max(6, (sum(r["n"] for r in told) // 4).bit_length()))
     runs = F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))
     hashes = _run_grams(runs, sizes)
     if 0 in sizes:
         hashes = F.concat(hashes, _sign_grams(F.col(text)))
-    emitted = F.explode(F.array_distinct(hashes)).alias("key")
+    emitted = texts.select(*text_id, F.explode(F.array_distinct(hashes)).alias("key"))
+    met = materialize(emitted.filter(may_hold(bloom_filter(windows, "key", words), F.col("key"), words)))
+    uses = met.groupBy("key").agg(F.count("*").alias("uses"))
+    counted = windows.join(uses, "key", "left").groupBy("needle").agg(
+        F.min(F.coalesce("uses", F.lit(0))).alias("uses"), F.min_by("key", F.struct("uses", "key")).alias("key")
+    )
     verified = tx.bounded_match(F.col(text), F.col("needle"))
-    needles = keys.select("key", "needle")
-    pairs = texts.select(*text_id, emitted).join(needles, "key").select(*text_id, "needle")
+    pairs = met.join(counted.filter("uses > 0").select("key", "needle"), "key").select(*text_id, "needle")
     return pairs.join(texts.select(*text_id, text), text_id).filter(verified).select(*text_id, "needle")
 
 

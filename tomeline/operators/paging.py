@@ -16,13 +16,20 @@ def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFr
     The sorted rows are written once. Each part then only needs to know how many rows stand in
     the parts before it; that is a running sum over as many rows as there are parts.
     """
-    ordered = materialize(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", PART_BITS)
-    counts = ordered.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    ordered = materialize(df.orderBy(*order))
+    return with_places(ordered, ordered.groupBy(F.spark_partition_id().alias("__part")).agg(F.count("*").alias("n")), place)
+
+
+def with_places(rows: DataFrame, sizes: DataFrame, place: str = "place") -> DataFrame:
+    """Rows that stand in order, part after part, with their 1-based place; ``sizes`` is ``__part, n`` of their parts.
+
+    The rows stay where they are: the sums ahead are as many as there are parts, and are sent to all of them.
+    """
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    joined = ordered.withColumn("__part", part).join(offsets, "__part")
-    own = F.col("__id") - F.shiftleft(F.col("__part"), PART_BITS)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    known = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", PART_BITS).cast("int"))
+    own = F.col("__id") - F.shiftleft(F.col("__part").cast("long"), PART_BITS)
+    joined = known.join(F.broadcast(offsets), "__part")
     return joined.withColumn(place, F.col("__before") + own + 1).drop("__id", "__part", "__before")
 
 

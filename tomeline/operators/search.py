@@ -1,8 +1,9 @@
 """Search over a ``search_docs`` table: filter, score, positions and snippets.
 
 A search is one scan with ``contains`` tests that Spark runs on the column alone. Counting,
-cutting and hit positions stay inside the document's row; only the final order shuffles, and
-by then the text has been replaced by its snippet, also for single hits.
+cutting and hit positions stay inside the document's row; only the final order shuffles. Documents
+move with their snippet in place of their text; for single hits the documents are ordered first, and
+their hits, which are many more than they, are cut where they then stand.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
 from tomeline.functions.arrays import running_sum
+from tomeline.operators.paging import with_places
+from tomeline.sources.sinks import materialize
 
 HITS_PER_DOCUMENT = 200
 
@@ -98,12 +101,20 @@ def tie_break(df: DataFrame) -> list[str]:
 
 
 def search_hits(docs: DataFrame, query: str, kind: str | None = None, limit: int = HITS_PER_DOCUMENT) -> DataFrame:
-    """One row per hit: documents in search order, their hits in text order.
+    """One row per hit with its 1-based ``place``: documents in search order, their hits in text order.
 
-    At most ``limit`` hits of a document. The order is the result's own, so a step behind it may rely on it.
+    At most ``limit`` hits of a document. Only documents are sorted, and written once; a hit's place is the number of hits
+    of the parts ahead and its own number in its part. So every snippet is cut once, and no hit is moved.
     """
-    hits, order = _hit_rows(docs, query, kind, limit)
-    return hits.orderBy(*order)
+    tokens = query_tokens(query)
+    if not tokens:
+        return _hit_rows(docs, query, kind, limit)[0].withColumn("place", F.lit(0).cast("bigint"))
+    plain = matched_documents(docs, query, kind).withColumn("text", tx.strip(F.col("text")))
+    order = [F.desc("score"), F.col("title"), *[F.col(c) for c in tie_break(plain)], F.col("text")]
+    ordered = materialize(plain.withColumn("__at", hit_positions(F.col("text"), tokens, limit)).orderBy(*order))
+    sizes = ordered.groupBy(F.spark_partition_id().alias("__part")).agg(F.sum(F.size("__at")).alias("n"))
+    hits = with_places(ordered.withColumn("position", F.explode("__at")).drop("__at"), sizes)
+    return hits.withColumn("snippet", hit_snippet(F.col("text"), F.col("position"), tokens)).drop("text")
 
 
 def _hit_rows(docs: DataFrame, query: str, kind: str | None, limit: int) -> tuple[DataFrame, list[Column]]:

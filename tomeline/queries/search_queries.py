@@ -67,7 +67,7 @@ _HIT_ROWS = f"""hit_rows AS (SELECT doc_id, lang AS kind, source AS title, {_SCO
  {_marked(sql.snippet(_T, 'position', 70, 170))} AS snippet FROM hits JOIN documents USING (doc_id))"""
 
 
-@register("search_hits", f"WITH {_HITS}, {_HIT_ROWS} SELECT * FROM hit_rows")
+@register("search_hits", f"WITH {_HITS}, {_HIT_ROWS} SELECT *, row_number() OVER (ORDER BY score DESC, title NULLS FIRST, doc_id, position) AS place FROM hit_rows")
 def search_hits(spark, sf):
     return se.search_hits(docs(spark, sf), QUERY)
 

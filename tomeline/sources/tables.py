@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a table that is one single split over all cores by its key.
+    """Deal a table over all cores by its key while it has less than one split's bytes for each of them.
 
-    One split is at most ``spark.sql.files.maxPartitionBytes``, so no more than that is ever
-    shuffled for this; a table of two splits or more is returned as it is.
+    Splits say nothing about where the rows are: a file of one row group gives all its rows to one of its splits. So the
+    size of the files decides, and no more than ``spark.sql.files.maxPartitionBytes`` a core is ever shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > 1 else df.repartition(cores, key)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if held <= cores * split else df
