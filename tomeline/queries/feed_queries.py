@@ -86,13 +86,13 @@ def resolve_links(spark, sf):
 
 @register(
     "get_or_latest",
-    f"""WITH {inp.typed_cte('faq')}, newest AS (SELECT id, title, updated_at FROM faq ORDER BY updated_at DESC, ord LIMIT 1)
+    f"""WITH {inp.typed_cte('all')}, newest AS (SELECT id, title, updated_at FROM all_docs ORDER BY updated_at DESC, ord LIMIT 1)
  SELECT l.doc_id AS req_id, coalesce(f.id, n.id) AS id, coalesce(f.title, n.title) AS title, f.id IS NULL AS is_fallback
- FROM labels l LEFT JOIN faq f ON f.id = 'd ' || l.doc_id CROSS JOIN newest n""",
+ FROM labels l LEFT JOIN all_docs f ON f.id = 'd ' || l.doc_id CROSS JOIN newest n""",
 )
 def get_or_latest(spark, sf):
     wanted = table(spark, sf, "labels").select(F.col("doc_id").alias("req_id"), F.concat(F.lit("d "), F.col("doc_id")).alias("id"))
-    docs = inp.typed_documents(spark, sf, "faq").select("ord", "id", "title", "updated_at")
+    docs = inp.typed_documents(spark, sf, "all").select("ord", "id", "title", "updated_at")
     return fd.get_or_latest(wanted, docs).select("req_id", "id", "title", "is_fallback")
 
 
@@ -117,9 +117,9 @@ def upsert_ordered(spark, sf):
 
 @register(
     "dataset_metadata",
-    f"""WITH {inp.typed_cte('faq')}, {inp.LINK_PAGES_CTE}
- SELECT '1.0.0' AS data_version, '2026-01-01T00:00:00Z' AS generated_at, (SELECT source FROM faq ORDER BY ord LIMIT 1) AS source,
-  (SELECT count(*) FROM faq) AS count, 'faqs.json' AS items_path
+    f"""WITH {inp.typed_cte('all')}, {inp.LINK_PAGES_CTE}
+ SELECT '1.0.0' AS data_version, '2026-01-01T00:00:00Z' AS generated_at, (SELECT source FROM all_docs ORDER BY ord LIMIT 1) AS source,
+  (SELECT count(*) FROM all_docs) AS count, 'faqs.json' AS items_path
  UNION ALL SELECT '1.0.0', '2026-01-01T00:00:00Z', 'derived pages', (SELECT count(*) FROM link_pages), 'pages.json'
  UNION ALL SELECT '1.0.0', '2026-01-01T00:00:00Z', 'blank', (SELECT count(*) FROM part), 'items.json'""",
 )
@@ -127,7 +127,7 @@ def dataset_metadata(spark, sf):
     blank = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.lit("  ").alias("source"))
     return sinks.dataset_metadata(
         {
-            "faqs": (inp.typed_documents(spark, sf, "faq"), "official"),
+            "faqs": (inp.typed_documents(spark, sf, "all"), "official"),
             "pages": (inp.link_pages(spark, sf), "derived pages"),
             "items": (blank, "blank"),
         },

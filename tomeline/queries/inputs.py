@@ -212,11 +212,13 @@ ROUTE_SQL = """CASE WHEN lower(kind) = 'page' THEN 'pages/' || coalesce(nullif(p
  ELSE 'reader/?src=' || replace(url_encode(url), '%2F', '/') END"""
 
 
-# Question and errata documents: the documents of two languages each.
+# Errata are the documents of two languages; question documents are all others, those without a language too.
 def typed_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     rows = documents(spark, sf)
     if kind != "all":
-        rows = rows.filter(F.col("lang").isin(["en", "fr"] if kind == "faq" else ["de", "es"]))
+        errata = F.coalesce(F.col("lang"), F.lit("")).isin("de", "es")
+        rows = rows.filter(errata if kind == "errata" else ~errata)
+    rows = rows.withColumn("lang", F.coalesce("lang", F.lit("")))
     return rows.select(
         F.col("doc_id").alias("ord"),
         F.concat(F.lit("d "), F.col("doc_id")).alias("id"),
@@ -231,7 +233,7 @@ def typed_documents(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 def typed_cte(kind: str) -> str:
     name = "all_docs" if kind == "all" else kind
-    langs = {"all": "", "faq": "WHERE lang IN ('en', 'fr')"}.get(kind, "WHERE lang IN ('de', 'es')")
-    return f"""{name} AS (SELECT doc_id AS ord, 'd ' || doc_id AS id, source || ' ' || lang AS title, source AS summary,
+    rule = {"all": "", "errata": "WHERE coalesce(lang, '') IN ('de', 'es')"}.get(kind, "WHERE coalesce(lang, '') NOT IN ('de', 'es')")
+    return f"""{name} AS (SELECT doc_id AS ord, 'd ' || doc_id AS id, source || ' ' || coalesce(lang, '') AS title, source AS summary,
  text AS content, source, '2024-0' || length(source) || '-01' AS published_at,
- '2024-0' || length(lang) || '-1' || length(source) AS updated_at FROM documents {langs})"""
+ '2024-0' || length(coalesce(lang, '')) || '-1' || length(source) AS updated_at FROM documents {rule})"""

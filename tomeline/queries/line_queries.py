@@ -198,15 +198,15 @@ def rule_toc(spark, sf):
 
 @register(
     "anchor_ordinal",
-    f"""WITH {SECTIONS_CTE} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, lower(section), left(lower(line), 3) ORDER BY pos) AS anchor_index
- FROM (SELECT doc_id, pos, line, left(max(heading) OVER (PARTITION BY doc_id, grp), 4) AS section FROM numbered)""",
+    f"""WITH {SECTIONS_CTE} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, lower(section), lower(line) ORDER BY pos) AS anchor_index
+ FROM (SELECT doc_id, pos, line, max(heading) OVER (PARTITION BY doc_id, grp) AS section FROM numbered)""",
 )
 def anchor_ordinal(spark, sf):
     rows = inp.outlined_documents(spark, sf).select("doc_id", F.posexplode(ln.split_lines(F.col("content"))).alias("pos", "line"))
     head = F.when(F.col("line").rlike(r"^###?\s+"), ln.heading_text(F.col("line"), r"\A###?\s+"))
     upto = Window.partitionBy("doc_id").orderBy("pos")
     hits = rows.withColumn("section", F.coalesce(F.last(F.when(head != "", head), ignorenulls=True).over(upto), F.lit("")))
-    keyed = hits.select("doc_id", "pos", F.substring("section", 1, 4).alias("heading"), F.substring("line", 1, 3).alias("anchor"))
+    keyed = hits.select("doc_id", "pos", F.col("section").alias("heading"), F.col("line").alias("anchor"))
     return ln.anchor_ordinals(keyed, "doc_id", "heading", "anchor", "pos").select("doc_id", "pos", "anchor_index")
 
 

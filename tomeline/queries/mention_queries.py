@@ -136,9 +136,9 @@ def contained_names_shuffled(spark, sf):
 # What a turn of talk is about: names stand in the turn before or after it.
 def spots(spark, sf):
     order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    joined = table(spark, sf, "orders").join(
-        table(spark, sf, "part").select(F.col("p_partkey").alias("o_orderkey"), "p_name", "p_type", "p_size"), "o_orderkey"
-    )
+    part = table(spark, sf, "part")
+    turn = table(spark, sf, "orders").withColumn("p_partkey", F.col("o_orderkey") % part.count() + 1)
+    joined = turn.join(part.select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey", "left")
     said = (
         F.when(F.col("p_type") == "STANDARD", F.concat(F.lit("as ever, "), F.initcap("p_name"), F.lit(" Standard reads so.")))
         .when(F.col("p_type") == "MEDIUM", F.concat(F.lit("an example of "), F.initcap("p_name"), F.lit(" medium: look")))
@@ -171,7 +171,7 @@ _SAID = """CASE WHEN p_type = 'STANDARD' OR p_type = 'MEDIUM' THEN 'E' WHEN p_si
 
 @register(
     "context_entity",
-    f"""WITH turns AS (SELECT o_custkey, o_orderkey, lower(p_name) || ' ' || lower(p_type) AS name, {_SAID} AS how FROM orders JOIN part ON p_partkey = o_orderkey),
+    f"""WITH turns AS (SELECT o_custkey, o_orderkey, lower(p_name) || ' ' || lower(p_type) AS name, {_SAID} AS how FROM orders LEFT JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1),
  near AS (SELECT o_orderkey, lag(name) OVER w AS bn, lag(how) OVER w AS bh, lead(name) OVER w AS an, lead(how) OVER w AS ah FROM turns WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
  SELECT o_orderkey AS spot_id, CASE WHEN ah = 'E' THEN an WHEN bh = 'E' THEN bn WHEN ah = 'C' THEN an ELSE bn END AS name FROM near
  WHERE coalesce(ah, '') <> '' OR coalesce(bh, '') <> ''""",
