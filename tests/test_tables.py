@@ -97,6 +97,42 @@ def test_pages_cover_all_rows_once(spark):
     assert [r["id"] for r in pg.numbered(df.repartition(7), order).orderBy("place").collect()] == want
 
 
+def test_query_table_equals_single_queries(spark):
+    rows = [(1, "The rain in Spain"), (2, "plain Rain rain, no e"), (3, ""), (4, None), (5, "a" * 5000 + " the end"), (6, "日本語 the"), (7, "the rain")]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, key int")
+    asked = ["rain the", "RAIN", "e", "th", "日本", "rain zzz", "", "  ", None, "aaa", "the the", "in sp"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in se.search_query_table(docs, queries, ["doc_id"]).collect()}
+    want = {}
+    for n, q in enumerate(asked):
+        tokens = (q or "").lower().split()
+        for d, t in rows:
+            t = (t or "").lower()
+            if tokens and all(w in t for w in tokens):
+                want[n, d] = sum(t.count(w) for w in tokens)
+    assert got == want
+    assert se.search_query_table(docs.limit(0), queries, ["doc_id"]).count() == 0
+
+
+def test_hits_stand_in_order_of_their_place(spark):
+    rows = [(d, "FAQ", f"t{d % 3}", "b " + "ab " * (d % 7)) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, kind string, title string, text string").repartition(9)
+    got = se.search_hits(docs, "b").collect()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1))
+    key = [(-r["score"], r["title"], r["doc_id"], r["position"]) for r in got]
+    assert key == sorted(key) and len(got) == sum(t.strip().count("b") for *_, t in rows)
+
+
+def test_names_with_a_window_in_every_text(spark):
+    from tomeline.operators import mentions as mn
+
+    texts = spark.createDataFrame([(i, f"the common words of text {i} of the row") for i in range(300)], "doc_id long, text string")
+    names = spark.createDataFrame([("of text 7",), ("the common words of",), ("the common words of text 31",), ("words of none",), ("row",), ("",)], "needle string")
+    got = {(r["doc_id"], r["needle"]) for r in mn.mention_join(texts, names, ["doc_id"]).collect()}
+    want = {(7, "of text 7"), (31, "the common words of text 31")} | {(i, n) for i in range(300) for n in ("the common words of", "row")}
+    assert got == want
+
+
 def test_far_page(spark):
     df = spark.range(30_000)
     assert [r["id"] for r in pg.page_slice(df, [F.col("id")], 1000, 25).collect()] == list(range(24_975, 25_000))

@@ -77,6 +77,11 @@ def _probes(key: Column, words: int) -> list[tuple[Column, Column]]:
     return [(F.pmod(h, F.lit(words)).cast("int"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")) for h in (key, other)]
 
 
+def filter_words(keys: int) -> int:
+    """Words of a filter for so many keys: sixteen bits each or more, up to ``BLOOM_WORDS``."""
+    return min(BLOOM_WORDS, 1 << max(6, (keys // 4).bit_length()))
+
+
 def bloom_filter(keys: DataFrame, key: str, words: int) -> Column:
     """Bits of a long column as one ``array<long>``, worked out once in front of the step that asks for them."""
     each = keys.select(F.explode(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in _probes(F.col(key), words)])).alias("p"))
@@ -114,7 +119,7 @@ def mention_join(
     told = windows.groupBy("grams").agg(F.count("*").alias("n")).collect()  # four rows at most
     # Texts emit only the lengths that some name needs.
     sizes = {r["grams"] for r in told}
-    words = min(BLOOM_WORDS, 1 << max(6, (sum(r["n"] for r in told) // 4).bit_length()))
+    words = filter_words(sum(r["n"] for r in told))
     runs = F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0))
     hashes = _run_grams(runs, sizes)
     if 0 in sizes:
@@ -218,6 +223,21 @@ def _lead_gram(names: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([int(_hash_grams(_codes(n[:k]), int(k))[0]) for n, k in zip(names, sizes)], dtype="int64")
 
 
+def all_grams(text: str) -> Column:
+    """Hashes of all stretches of one, two and three characters."""
+    return _gram_udf((1, 2, 3))(F.col(text))
+
+
+def widest_grams(token: str) -> Column:
+    """Hashes of a short text's stretches of three characters, or of all of it if it has fewer."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def grams(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: _hash_grams(_codes(t), min(3, len(t))))
+
+    return grams(F.col(token))
+
+
 def contained_names(
     texts: DataFrame, names: DataFrame, text_id: list[str], text: str = "text", name: str = "name"
 ) -> DataFrame:

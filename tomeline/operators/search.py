@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
 from tomeline.functions.arrays import running_sum
+from tomeline.operators import mentions as mn
 from tomeline.operators.paging import with_places
 from tomeline.sources.sinks import materialize
 
@@ -138,3 +139,37 @@ def top_hits(docs: DataFrame, query: str, kind: str = "Rule", size: int = 20) ->
     best = found.orderBy(F.desc("score"), "title", *tie_break(found), "text").limit(size)
     hits, order = _hit_rows(best.drop("score"), query, kind, size)
     return hits.orderBy(*order).limit(size)
+
+
+def search_query_table(docs: DataFrame, queries: DataFrame, doc_id: list[str], query_id: str = "query_id", text: str = "text", query: str = "query") -> DataFrame:
+    """``query_id``, the document's id and ``score`` for every query and document that holds all of its tokens.
+
+    Many queries at once, without a cross join: a text that holds a token holds all stretches of three characters of it
+    (the whole token, if that is shorter). A Bloom filter of the queries' stretches lets texts send the few of theirs that
+    some query has; how many texts each stands in is counted; a query meets the texts on the rarest stretch of all its
+    tokens, or none if one of its stretches stands in no text. Each pair is then checked on the text itself.
+
+    A blank query finds nothing, a null text is empty; ids are to be unique on both sides. Tokens are told as in
+    ``tokenize``; mark-up in queries is not removed.
+    """
+    asked = materialize(queries.select(query_id, tx.tokenize(F.col(query)).alias("tokens")).filter(F.size("tokens") > 0))
+    token = F.explode(F.array_distinct("tokens")).alias("token")
+    stretches = materialize(asked.select(query_id, token).select(query_id, F.explode(mn.widest_grams("token")).alias("key")).distinct())
+    words = mn.filter_words(stretches.count())
+    lowered = docs.select(*doc_id, F.lower(tx.text_or_empty(F.col(text))).alias("text"))
+    emitted = lowered.select(*doc_id, F.explode(mn.all_grams("text")).alias("key"))
+    met = materialize(emitted.filter(mn.may_hold(mn.bloom_filter(stretches, "key", words), F.col("key"), words)))
+    uses = met.groupBy("key").agg(F.count("*").alias("uses"))
+    counted = stretches.join(uses, "key", "left").groupBy(query_id).agg(
+        F.min(F.coalesce("uses", F.lit(0))).alias("uses"), F.min_by("key", F.struct("uses", "key")).alias("key")
+    )
+    rarest = counted.filter("uses > 0").join(asked, query_id)
+    pairs = met.join(rarest.select(query_id, "key", "tokens"), "key").select(*doc_id, query_id, "tokens")
+    both = pairs.join(lowered, doc_id).filter(F.forall("tokens", lambda t: F.contains("text", t)))
+
+    def count(t: Column) -> Column:
+        gone = F.length(F.replace(F.col("text"), t, F.lit("")))
+        return ((F.length("text") - gone) / F.length(t)).cast("bigint")
+
+    score = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda n, t: n + count(t))
+    return both.select(query_id, *doc_id, score.alias("score"))

@@ -10,7 +10,7 @@ from tomeline.operators import search as se
 from tomeline.plans import search_index as si
 from tomeline.queries import inputs as inp
 from tomeline.queries import sql
-from tomeline.queries.registry import register
+from tomeline.queries.registry import register, table
 
 QUERY = "The *on*"
 TOKENS = ["the", "on"]
@@ -140,6 +140,23 @@ def page_slice(spark, sf):
     return pg.page_slice(found.select("doc_id", "title", "score"), order, 3, 12).select("doc_id", "score")
 
 
+# A table of queries: some words of each benchmark passage, and its first two characters.
+def query_table(spark, sf):
+    words = F.array_join(F.slice(F.split("text", " "), 3, 3), "  ")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words, F.lit("\n"), F.substring("text", 1, 2)).alias("query"))
+
+
+@register(
+    "search_query_table",
+    f"""WITH q AS (SELECT item_id AS query_id, list_transform(list_filter(list_append(string_split(text, ' ')[3:5], text[1:2]), lambda t: t <> ''), lambda t: lower(t)) AS tokens FROM benchmark),
+ flat AS (SELECT query_id, list_filter(string_split({sql.collapse("array_to_string(tokens, ' ')")}, ' '), lambda t: t <> '') AS tokens FROM q)
+ SELECT query_id, doc_id, CAST(list_sum(list_transform(tokens, lambda t: (length(x) - length(replace(x, t, ''))) // length(t))) AS BIGINT) AS score
+ FROM flat, (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents) WHERE len(list_filter(tokens, lambda t: NOT contains(x, t))) = 0 AND len(tokens) > 0""",
+)
+def search_query_table(spark, sf):
+    return se.search_query_table(docs(spark, sf), query_table(spark, sf), ["doc_id"])
+
+
 # Longer queries than the two words above: the words of a catalogue name, over the index.
 @register(
     "search_kind_card",
