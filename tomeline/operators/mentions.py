@@ -71,6 +71,19 @@ def _name_windows(names: DataFrame, needle: str) -> DataFrame:
     )
 
 
+def _rarest(windows: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """``needle, grams, uses, key``: the window of each needle that fewest texts have (``key, uses``), then fewest names."""
+    shared = windows.groupBy("key").agg(F.count("*").alias("n"))
+    each = windows.join(shared, "key")
+    each = each.withColumn("uses", F.lit(0)) if uses is None else each.join(uses, "key", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    return each.groupBy("needle", "grams").agg(F.min("uses").alias("uses"), F.min_by("key", F.struct("uses", "n", "key")).alias("key"))
+
+
+def _name_keys(names: DataFrame, needle: str) -> DataFrame:
+    """Distinct needles with the key of the window that fewest of them share."""
+    return _rarest(_name_windows(names, needle))
+
+
 def _probes(key: Column, words: int) -> list[tuple[Column, Column]]:
     """(word, bit) of a key in a Bloom filter of so many 64-bit words."""
     other = F.xxhash64(key)
@@ -127,9 +140,7 @@ def mention_join(
     emitted = texts.select(*text_id, F.explode(F.array_distinct(hashes)).alias("key"))
     met = materialize(emitted.filter(may_hold(bloom_filter(windows, "key", words), F.col("key"), words)))
     uses = met.groupBy("key").agg(F.count("*").alias("uses"))
-    counted = windows.join(uses, "key", "left").groupBy("needle").agg(
-        F.min(F.coalesce("uses", F.lit(0))).alias("uses"), F.min_by("key", F.struct("uses", "key")).alias("key")
-    )
+    counted = _rarest(windows, uses)
     verified = tx.bounded_match(F.col(text), F.col("needle"))
     pairs = met.join(counted.filter("uses > 0").select("key", "needle"), "key").select(*text_id, "needle")
     return pairs.join(texts.select(*text_id, text), text_id).filter(verified).select(*text_id, "needle")
