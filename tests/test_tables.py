@@ -148,6 +148,46 @@ def test_findings(spark):
     ]
 
 
+def test_content_findings_read_a_dataset_once(spark, tmp_path):
+    from tomeline.plans.content_check import validate
+
+    day, dated = "2024-01-01", "updated_at string"
+    docs = "ord long, kind string, id string, title string, summary string, content string, source string, published_at string, origin_url string, " + dated
+    faq = [
+        (0, "faq", "a", "t", "s", "c", "x", day, "u", day + "T10:00"), (1, "FAQ", " ", "t", "s", "c", "x", "", "u", "1.1."),
+        (2, "faq", "a", None, "s", "c", "x", day, None, day), (3, None, "b", "t", "s", "c", "x", day, "u", day),
+    ]
+    page = [(0, "rule_page", "p", "t", "s", "p.md", "x\n# 101. A\n# 1. B", day), (1, "page", "q", "t", "s", "", None, day), (2, "rule_page", "q", "t", "s", "r.md", "", day + "T1")]
+    link = [(0, "l", "t", "page", "p", "", day), (1, "m", "t", "Page", "none", "", day), (2, "n", "t", "pdf", "", " ", day), (3, "o", "t", "web", "", "", day), (4, "o", "t", "page", " ", "", day)]
+    tables = {
+        "faqs": spark.createDataFrame(faq, docs), "errata": spark.createDataFrame([], docs),
+        "pages": spark.createDataFrame(page, "ord long, kind string, id string, title string, summary string, file string, content string, " + dated),
+        "links": spark.createDataFrame([(*r[:3], r[3], "s", "x", *r[4:]) for r in link], "ord long, id string, title string, kind string, summary string, source string, page_id string, url string, " + dated),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    read = {n: spark.read.schema(df.schema).parquet(str(tmp_path / n)) for n, df in tables.items()}
+    files = spark.createDataFrame([("p.md",), ("p.md",)], "file string")
+    meta = {"faqs": spark.createDataFrame([("1.0", "2024-01-01T00:00:00", "")], "data_version string, generated_at string, source string")}
+    found = validate(read, files, meta)
+    got = sorted((r["dataset"], r["row_ord"], r["rule"], r["message"]) for r in found.collect())
+    assert got == sorted([
+        ("faqs", 1, "kind", "kind should be faq"), ("faqs", 3, "kind", "kind should be faq"), ("faqs", 3, "required", "missing field: kind"),
+        ("faqs", 1, "unique_id", "id is empty"), ("faqs", 2, "unique_id", "duplicate id: a"), ("faqs", 1, "date", "published_at is empty"),
+        ("faqs", 1, "date", "updated_at has invalid date format: 1.1."), ("faqs", 2, "required", "missing field: title"),
+        ("faqs", 2, "required", "missing field: origin_url"), ("errata", 0, "non_empty", "errata is empty"),
+        ("pages", 0, "line_lint", "chapter heading should be h2 (##), not h1 (#): line 2"), ("pages", 1, "kind", "kind should be rule_page"),
+        ("pages", 1, "file", "file is empty"), ("pages", 2, "unique_id", "duplicate id: q"), ("pages", 2, "date", f"updated_at has invalid date format: {day}T1"),
+        ("pages", 2, "file", "file missing: r.md"), ("links", 1, "foreign_key", "page_id not found: none"), ("links", 2, "conditional", "kind=pdf requires url"),
+        ("links", 3, "kind", "unsupported kind: web"), ("links", 4, "unique_id", "duplicate id: o"), ("links", 4, "conditional", "kind=page requires page_id"),
+        ("faqs", 0, "metadata", "data_version should use semver, got: 1.0"), ("faqs", 0, "metadata", "missing recommended metadata: source"),
+    ])
+    assert {r["severity"] for r in found.filter("rule = 'metadata'").collect()} == {"warning"}
+    scans = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+    for name in tables:
+        assert sum(f"/{name}]" in s and "updated_at" in s for s in scans) == 1
+
+
 def test_written_tables_are_sorted(spark, tmp_path):
     df = spark.range(100).select((100 - F.col("id")).alias("k"))
     sinks.write_canonical(df, str(tmp_path / "t"), ["k"])

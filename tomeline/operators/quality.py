@@ -36,12 +36,34 @@ def findings_of_each(df: DataFrame, dataset: str, rule: str, messages: list[Colu
     return findings(one, dataset, rule, F.col("message"), severity)
 
 
+def row_findings(df: DataFrame, dataset: str, checks: dict[str, Column]) -> DataFrame:
+    """Findings of all rules that look at one row, in one pass over the table.
+
+    ``checks`` maps a rule to an array of messages; NULL messages are no findings.
+    """
+
+    def named(rule: str, messages: Column) -> Column:
+        return F.transform(F.array_compact(messages), lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("message")))
+
+    found = F.concat(*[named(rule, messages) for rule, messages in checks.items()])
+    each = df.select("row_ord", F.explode(found).alias("f"))
+    return each.select(F.lit(dataset).alias("dataset"), "row_ord", F.lit("error").alias("severity"), "f.rule", "f.message")
+
+
+def required_messages(fields: list[str]) -> list[Column]:
+    return [F.when(F.col(f).isNull(), F.lit(f"missing field: {f}")) for f in fields]
+
+
 def required_fields(df: DataFrame, dataset: str, fields: list[str]) -> DataFrame:
-    checks = [F.when(F.col(f).isNull(), F.lit(f"missing field: {f}")) for f in fields]
-    return findings_of_each(df, dataset, "required", checks)
+    return findings_of_each(df, dataset, "required", required_messages(fields))
+
+
+def kind_message(field: str, kind: str) -> Column:
+    """For datasets of a single kind, which every row must name as it is written."""
+    return F.when(~F.col(field).eqNullSafe(kind), F.lit(f"{field} should be {kind}"))
 
 
-def _date_message(field: str, allow_time: bool) -> Column:
+def date_message(field: str, allow_time: bool) -> Column:
     raw = tx.strip(tx.text_or_empty(F.col(field)))
     fine = raw.rlike(DATE) | raw.rlike(ISO_TIME) if allow_time else raw.rlike(DATE)
     return F.when(raw == "", F.lit(f"{field} is empty")).when(
@@ -50,7 +72,7 @@ def _date_message(field: str, allow_time: bool) -> Column:
 
 
 def dates(df: DataFrame, dataset: str, fields: list[str], allow_time: bool = True) -> DataFrame:
-    return findings_of_each(df, dataset, "date", [_date_message(f, allow_time) for f in fields])
+    return findings_of_each(df, dataset, "date", [date_message(f, allow_time) for f in fields])
 
 
 def unique_ids(df: DataFrame, dataset: str, field: str = "id") -> DataFrame:
@@ -59,32 +81,43 @@ def unique_ids(df: DataFrame, dataset: str, field: str = "id") -> DataFrame:
     Ids are counted before rows meet: only ids that occur twice come back to the table, so a
     single id that fills the table is one small row on the other side of the join.
     """
+    return findings(df, dataset, "unique_id", empty_message(field)).unionByName(repeated_ids(df, dataset, field))
+
+
+def empty_message(field: str) -> Column:
+    return F.when(tx.strip(tx.text_or_empty(F.col(field))) == "", F.lit(f"{field} is empty"))
+
+
+def repeated_ids(df: DataFrame, dataset: str, field: str = "id") -> DataFrame:
+    """Every row after the first one of its id, blank ids apart."""
     rows = df.select("row_ord", tx.strip(tx.text_or_empty(F.col(field))).alias("key"))
-    empty = findings(rows, dataset, "unique_id", F.when(F.col("key") == "", F.lit(f"{field} is empty")))
     counted = rows.filter("key <> ''").groupBy("key").agg(
         F.min("row_ord").alias("first_ord"), F.count("*").alias("n")
     )
     again = rows.join(counted.filter("n > 1"), "key").filter("row_ord > first_ord")
-    message = F.concat(F.lit(f"duplicate {field}: "), F.col("key"))
-    return empty.unionByName(findings(again, dataset, "unique_id", message))
+    return findings(again, dataset, "unique_id", F.concat(F.lit(f"duplicate {field}: "), F.col("key")))
 
 
 def allowed_values(df: DataFrame, dataset: str, field: str, allowed: list[str]) -> DataFrame:
+    return findings(df, dataset, "kind", unsupported_message(field, allowed))
+
+
+def unsupported_message(field: str, allowed: list[str]) -> Column:
     value = F.lower(tx.text_or_empty(F.col(field)))
-    message = F.when(~value.isin(allowed), F.concat(F.lit(f"unsupported {field}: "), value))
-    return findings(df, dataset, "kind", message)
+    return F.when(~value.isin(allowed), F.concat(F.lit(f"unsupported {field}: "), value))
 
 
 def conditional_fields(df: DataFrame, dataset: str, kind: str, needs: dict[str, str]) -> DataFrame:
     """Rows of a kind that lack the field this kind needs; ``needs`` maps kind to field."""
+    return findings_of_each(df, dataset, "conditional", conditional_messages(kind, needs))
+
+
+def conditional_messages(kind: str, needs: dict[str, str]) -> list[Column]:
     value = F.lower(tx.text_or_empty(F.col(kind)))
-    checks = [
-        F.when(
-            (value == k) & (tx.strip(tx.text_or_empty(F.col(f))) == ""), F.lit(f"{kind}={k} requires {f}")
-        )
+    return [
+        F.when((value == k) & (tx.strip(tx.text_or_empty(F.col(f))) == ""), F.lit(f"{kind}={k} requires {f}"))
         for k, f in needs.items()
     ]
-    return findings_of_each(df, dataset, "conditional", checks)
 
 
 def foreign_key(df: DataFrame, dataset: str, field: str, parents: DataFrame, parent_field: str = "id") -> DataFrame:
@@ -99,21 +132,27 @@ def files_present(df: DataFrame, dataset: str, field: str, files: DataFrame) ->
     """Rows without a file name, and rows whose file is not listed in ``files.file``."""
     rows = df.select("row_ord", tx.text_or_empty(F.col(field)).alias("file"))
     unnamed = findings(rows, dataset, "file", F.when(F.col("file") == "", F.lit(f"{field} is empty")))
+    return unnamed.unionByName(files_gone(df, dataset, field, files))
+
+
+def files_gone(df: DataFrame, dataset: str, field: str, files: DataFrame) -> DataFrame:
+    """Rows whose file is not listed in ``files.file``."""
+    rows = df.select("row_ord", tx.text_or_empty(F.col(field)).alias("file"))
     missing = rows.filter("file <> ''").join(files.select("file").distinct(), "file", "left_anti")
-    gone = findings(missing, dataset, "file", F.concat(F.lit(f"{field} missing: "), F.col("file")))
-    return unnamed.unionByName(gone)
+    return findings(missing, dataset, "file", F.concat(F.lit(f"{field} missing: "), F.col("file")))
 
 
 def line_lint(df: DataFrame, dataset: str, content: str) -> DataFrame:
     """Lines that make a chapter a first-level heading."""
+    return row_findings(df, dataset, {"line_lint": lint_messages(content)})
+
+
+def lint_messages(content: str) -> Column:
     lines = F.split(tx.plain_breaks(tx.text_or_empty(F.col(content))), "\n")
-    rows = df.select("row_ord", F.posexplode(lines).alias("pos", "line")).filter(
-        tx.strip(F.col("line")).rlike(CHAPTER_H1)
-    )
-    message = F.concat(
-        F.lit("chapter heading should be h2 (##), not h1 (#): line "), (F.col("pos") + 1).cast("string")
+    said = F.lit("chapter heading should be h2 (##), not h1 (#): line ")
+    return F.transform(
+        lines, lambda line, i: F.when(tx.strip(line).rlike(CHAPTER_H1), F.concat(said, (i + 1).cast("string")))
     )
-    return findings(rows, dataset, "line_lint", message)
 
 
 def metadata(df: DataFrame, dataset: str) -> DataFrame:

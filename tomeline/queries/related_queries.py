@@ -14,6 +14,7 @@ from tomeline.queries import inputs as inp
 from tomeline.queries import mention_queries as mq
 from tomeline.queries import sql
 from tomeline.queries.registry import register, table
+from tomeline.sources.sinks import dataset_metadata
 
 
 def rule_documents(spark, sf):
@@ -197,19 +198,36 @@ def locate_passage(spark, sf):
 
 @register(
     "content_check",
-    f"""WITH {inp.LINKS_CTE} SELECT 'links' AS dataset, ord AS row_ord, 'error' AS severity, 'conditional' AS rule,
+    f"""WITH {inp.LINKS_CTE}, {inp.typed_cte('faq')}, {inp.typed_cte('errata')},
+ kinds AS (SELECT 'faqs' AS dataset, ord, source, 'faq' AS kind FROM faq UNION ALL SELECT 'errata', ord, source, 'errata' FROM errata)
+ SELECT 'links' AS dataset, ord AS row_ord, 'error' AS severity, 'conditional' AS rule,
  CASE WHEN kind = 'Page' THEN 'kind=page requires page_id' ELSE 'kind=' || kind || ' requires url' END AS message FROM links
- WHERE CASE WHEN kind = 'Page' THEN page_id ELSE url END = ''""",
+ WHERE CASE WHEN kind = 'Page' THEN page_id ELSE url END = ''
+ UNION ALL SELECT dataset, ord, 'error', 'kind', 'kind should be ' || kind FROM kinds WHERE source = 'src3'
+ UNION ALL SELECT dataset, ord, 'error', 'required', 'missing field: origin_url' FROM kinds WHERE source = 'src3'
+ UNION ALL SELECT 'pages', c_custkey, 'error', 'kind', 'kind should be rule_page' FROM customer WHERE c_nationkey = 3
+ UNION ALL SELECT 'pages', c_custkey, 'error', 'file', 'file missing: content/pages/c' || c_custkey || '.md' FROM customer WHERE c_acctbal <= 0
+ UNION ALL SELECT 'faqs', 0, 'warning', 'metadata', 'generated_at should be an ISO time, got: 2024-05-05'""",
 )
 def content_check(spark, sf):
+    def documents(kind):
+        own = ~F.col("source").eqNullSafe("src3")
+        rows = inp.typed_documents(spark, sf, kind).withColumn("kind", F.when(own, kind).otherwise("note"))
+        return rows.withColumn("origin_url", F.when(own, F.concat(F.lit("https://ex.org/"), "ord")))
+
+    pages = inp.link_pages(spark, sf)
+    customers = table(spark, sf, "customer")
+    third = customers.select(F.col("c_custkey").alias("ord"), F.when(F.col("c_nationkey") == 3, "page").otherwise("rule_page").alias("kind"))
+    listed = customers.filter("c_acctbal > 0").select(F.concat(F.lit("content/pages/c"), "c_custkey", F.lit(".md")).alias("file"))
     datasets = {
-        "faqs": inp.typed_documents(spark, sf, "faq"),
-        "errata": inp.typed_documents(spark, sf, "errata"),
-        "pages": inp.link_pages(spark, sf),
+        "faqs": documents("faq"),
+        "errata": documents("errata"),
+        "pages": pages.join(third, "ord"),
         "links": inp.links(spark, sf),
         "items": inp.items(spark, sf),
     }
-    return run_check(datasets)["findings"]
+    metadata = {"faqs": dataset_metadata({"faqs": (datasets["faqs"], "site")}, "2024-05-05")}
+    return run_check(datasets, listed, metadata)["findings"]
 
 
 _TITLED = f"coalesce('## ' || name || chr(10) || chr(10), '') || {inp.replaced_sql('text', mq._BLOCKED)}"
