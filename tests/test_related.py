@@ -198,3 +198,18 @@ def test_no_nested_loop_and_no_global_window(spark):
     names = spark.createDataFrame([("a b",)], "needle string")
     plan = mn.mention_join(texts, names, ["id"])._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_kinds_stand_side_by_side(spark):
+    m = "array<struct<snippet: string>>"
+    hit = lambda key, kind, rank, doc: (key, kind, rank, doc, "t", [(doc,)])
+    fields = f"kind string, rank int, doc_id string, title string, matches {m}"
+    rows = [hit("ann", "faq", 2, "b"), hit("ann", "faq", 1, "c"), hit("ann", "rule", 1, "a"), hit("bob", "errata", 1, "z")]
+    items = spark.createDataFrame([("Ann",), ("ANN",), ("Bob",), ("Cy",), ("",), (None,)], "name string")
+    docs = lambda r: tuple([d["doc_id"] for d in r[k]] for k in rl.KINDS)
+    by_name = rl.related_kinds_by_name(spark.createDataFrame(rows, "needle string, " + fields), items).collect()
+    want = {"ann": (["c", "b"], [], ["a"]), "bob": ([], ["z"], [])}
+    assert {r["needle"]: docs(r) for r in by_name} == {**want, "cy": ([], [], [])} and len(by_name) == 3
+    by_id = spark.createDataFrame(rows, "item_id string, " + fields)
+    assert {r["item_id"]: docs(r) for r in rl.related_kinds_by_id(by_id).collect()} == want
+    assert rl.related_kinds_by_id(by_id.limit(0)).count() == 0

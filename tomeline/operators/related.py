@@ -23,6 +23,7 @@ from tomeline.sources.sinks import materialize
 
 HITS_PER_DOCUMENT = 12
 DOCUMENTS_PER_ITEM = 4
+KINDS = ("faq", "errata", "rule")
 HIT_FIELDS = ["snippet", "query", "jump_query", "anchor_text", "anchor_heading", "anchor_index", "rule_id"]
 
 
@@ -263,6 +264,29 @@ def related_index(by_name: DataFrame, items: DataFrame) -> DataFrame:
     return keys.join(by_name, "needle", "left")
 
 
+def _beside(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key with an array of ranked documents for each of ``KINDS``.
+
+    An array holds as many documents as the index keeps of a key and kind, so a key's rows are few.
+    """
+    hit = F.struct("rank", "doc_id", "title", "matches")
+    each = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, hit))).alias(k) for k in KINDS]
+    return rows.groupBy(key).agg(*each)
+
+
+def related_kinds_by_id(by_id: DataFrame) -> DataFrame:
+    """``item_id, faq, errata, rule``: the kinds of every item id that any document mentions, side by side."""
+    return _beside(by_id, "item_id")
+
+
+def related_kinds_by_name(by_name: DataFrame, items: DataFrame) -> DataFrame:
+    """``needle, faq, errata, rule``: the same for every distinct name key; one that nothing mentions has empty arrays."""
+    keys = items.select(tx.match_key(F.col("name")).alias("needle")).filter("needle <> ''").distinct()
+    made = _beside(by_name, "needle")
+    none = [F.coalesce(F.col(k), F.array().cast(made.schema[k].dataType)).alias(k) for k in KINDS]
+    return keys.join(made, "needle", "left").select("needle", *none)
+
+
 def relation_lookup(wanted: DataFrame, live: DataFrame, by_id: DataFrame, by_name: DataFrame) -> DataFrame:
     """Relations of ``item_id, name, kind``: live ones, else indexed by id, else by name.
 

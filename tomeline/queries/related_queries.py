@@ -72,6 +72,25 @@ def related_by_id(spark, sf):
     return by_id.select("item_id", "rank", "doc_id")
 
 
+_KINDS = "['faq', 'errata', 'rule']"
+
+
+@register(
+    "related_kinds",
+    f"""WITH {_RULE_HITS}, ranked AS (SELECT needle, kind, doc_id, row_number() OVER (PARTITION BY needle, kind ORDER BY title, doc_id) AS rank
+   FROM (SELECT *, {_KINDS}[CAST(doc_id[2:] AS BIGINT) % 3 + 1] AS kind FROM hits)),
+ beside AS (SELECT needle, string_agg(doc_id, ' ' ORDER BY rank) FILTER (kind = 'faq') AS faq, string_agg(doc_id, ' ' ORDER BY rank) FILTER (kind = 'errata') AS errata,
+   string_agg(doc_id, ' ' ORDER BY rank) FILTER (kind = 'rule') AS rule FROM ranked WHERE rank <= 4 GROUP BY needle)
+ SELECT k.needle, coalesce(faq, '') AS faq, coalesce(errata, '') AS errata, coalesce(rule, '') AS rule FROM (SELECT DISTINCT needle FROM names) k LEFT JOIN beside b ON b.needle = k.needle""",
+)
+def related_kinds(spark, sf):
+    names = inp.names(spark, sf)
+    kind = F.expr("element_at(array('faq', 'errata', 'rule'), int(bigint(substring(doc_id, 2)) % 3) + 1)")
+    hits = rl.related_hits(rule_documents(spark, sf), names, "rule").withColumn("kind", kind)
+    beside = rl.related_kinds_by_name(rl.related_by_name(hits), names)
+    return beside.select("needle", *[F.array_join(F.transform(k, lambda d: d["doc_id"]), " ").alias(k) for k in rl.KINDS])
+
+
 # Question and errata documents whose first section carries a name as its title.
 NAME_TITLES = 41
 
