@@ -456,9 +456,10 @@ def brute_near(rows):
     return {d: find(d) for d in own}
 
 
-@pytest.mark.parametrize("short", [shingle_dedup.SHORT_RUN, 2])
-def test_near_stage_drops_edited_copies_as_all_pairs_do(spark, docs, monkeypatch, short):
-    monkeypatch.setattr(shingle_dedup, "SHORT_RUN", short)
+@pytest.mark.parametrize("short,full,columns", [(shingle_dedup.SHORT_RUN, shingle_dedup.FULL_RUN, shingle_dedup.COLUMNS), (2, shingle_dedup.FULL_RUN, 64), (2, 2, 64)])
+def test_near_stage_drops_edited_copies_as_all_pairs_do(spark, docs, monkeypatch, short, full, columns):
+    for name, value in (("SHORT_RUN", short), ("FULL_RUN", full), ("COLUMNS", columns)):
+        monkeypatch.setattr(shingle_dedup, name, value)
     rnd = random.Random(short)
     word = lambda: f"w{rnd.randrange(4000)}"
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
