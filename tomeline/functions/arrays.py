@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,20 @@ def explode_column(df: DataFrame, items: str, pos: str, item: str) -> DataFrame:
     """
     kept = [c for c in df.columns if c != items]
     return df.select(*kept, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
+def explode_values(df: DataFrame, items: Column, item: str, *kept: str) -> DataFrame:
+    """The ``kept`` columns with one row per element that is not NULL; a computed array is worked out once, as above."""
+    return df.select(*kept, F.explode_outer(items).alias(item)).filter(F.col(item).isNotNull())
+
+
+#: Rows of one Arrow batch between Spark and Python, where rows hold whole texts.
+BATCH_ROWS = 500
+
+
+def bound_batches() -> None:
+    """Have the session send at most ``BATCH_ROWS`` rows at a time to Python, or fewer where it already does."""
+    spark, name = SparkSession.active(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

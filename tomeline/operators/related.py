@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tomeline.functions import links as lk
 from tomeline.functions import markup as mk
 from tomeline.functions import text as tx
-from tomeline.functions.arrays import explode_column, let, positions_where
+from tomeline.functions.arrays import explode_column, explode_values, let, positions_where
 from tomeline.operators import lines as ln
 from tomeline.operators.mentions import mention_join, mention_join_shadowed
 from tomeline.sources.sinks import materialize
@@ -41,7 +41,7 @@ def item_names(items: DataFrame) -> DataFrame:
 
 def _known_titles(keys: DataFrame, names: DataFrame) -> DataFrame:
     """Title keys of a document's own lines or paragraphs that are catalogue names."""
-    one = keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("needle"))
+    one = explode_values(keys, F.array_distinct("keys"), "needle", "doc_id")
     hits = one.join(names.select("needle").distinct(), "needle", "left_semi")
     return hits.groupBy("doc_id").agg(F.collect_set("needle").alias("known"))
 
@@ -103,13 +103,13 @@ def section_snippets(docs: DataFrame, pairs: DataFrame, names: DataFrame, kind:
     line_keys = F.transform(ln.split_lines(F.col("content")), tx.title_key)
     with_titles = _with_known(docs, line_keys, names)
     rule = ln.faq_rule(_is_known()) if kind == "faq" else ln.errata_rule(_is_known())
-    cut = with_titles.select("doc_id", F.posexplode(ln.sections(F.col("content"), rule)).alias("sec", "s"))
+    cut = explode_column(with_titles.select("doc_id", ln.sections(F.col("content"), rule).alias("cut")), "cut", "sec", "s")
     keyed = cut.select("doc_id", "sec", F.col("s.heading").alias("heading"), "s.body", tx.title_key(F.col("s.heading")).alias("target"))
     wanted = pairs.select("doc_id", "target").distinct()
     first = keyed.join(wanted, ["doc_id", "target"]).groupBy("doc_id", "target").agg(
         F.min_by(F.struct("heading", "body"), "sec").alias("s")
     )
-    parts = first.select("doc_id", "target", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts"))
+    parts = materialize(first.select("doc_id", "target", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts")))
     keys = parts.select(F.struct("doc_id", "target").alias("doc_id"), F.transform("parts", tx.title_key).alias("keys"))
     known = _known_titles(keys, names).select("doc_id.doc_id", "doc_id.target", "known")
     ready = parts.join(known, ["doc_id", "target"], "left").withColumn(
@@ -123,30 +123,24 @@ def section_snippets(docs: DataFrame, pairs: DataFrame, names: DataFrame, kind:
 
 def block_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
     """First question block that mentions each name: ``doc_id, needle, snippet, heading``."""
-    cut = docs.select("doc_id", "title", F.posexplode(ln.sections(F.col("content"), ln.h2_h3_rule)).alias("sec", "s"))
-    parts = cut.select(
-        F.struct("doc_id", "sec").alias("doc_id"), "title", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts")
-    ).filter(F.size("parts") > 0)
+    cut = explode_column(docs.select("doc_id", "title", ln.sections(F.col("content"), ln.h2_h3_rule).alias("cut")), "cut", "sec", "s")
+    plain = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "title", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts"))
+    parts = materialize(plain).filter(F.size("parts") > 0)
     titled = _with_known(parts, F.transform("parts", tx.title_key), names)
-    blocks = titled.select("doc_id.*", "title", "heading", F.posexplode(ln.qa_blocks(F.col("parts"), _is_known())).alias("blk", "b"))
-    units = blocks.withColumn("text", tx.match_key(F.array_join("b", "\n\n")))
-    hits = mention_join(units, names, ["doc_id", "sec", "blk"])
+    blocks = explode_column(titled.select("doc_id.*", "title", "heading", ln.qa_blocks(F.col("parts"), _is_known()).alias("blocks")), "blocks", "blk", "b")
+    # Blocks are written once: their texts are looked through, checked and shown.
+    units = materialize(blocks.select("doc_id", "sec", "blk", "b", F.coalesce(tx.blank_to_null(F.col("heading")), F.col("title")).alias("heading")))
+    texts = units.select("doc_id", "sec", "blk", tx.match_key(F.array_join("b", "\n\n")).alias("text"))
+    hits = mention_join(texts, names, ["doc_id", "sec", "blk"])
     found = hits.groupBy("doc_id", "needle").agg(F.min(F.struct("sec", "blk")).alias("at")).select("doc_id", "needle", "at.*")
-    shown = units.select(
-        "doc_id",
-        "sec",
-        "blk",
-        F.array_join(F.slice("b", 1, 4), "\n\n").alias("snippet"),
-        F.coalesce(tx.blank_to_null(F.col("heading")), F.col("title")).alias("heading"),
-    )
+    shown = units.select("doc_id", "sec", "blk", F.array_join(F.slice("b", 1, 4), "\n\n").alias("snippet"), "heading")
     return found.join(shown, ["doc_id", "sec", "blk"]).select("doc_id", "needle", "snippet", "heading")
 
 
 def line_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
     """First line, headings aside, that mentions each name: ``doc_id, needle, pos``."""
-    rows = docs.select("doc_id", F.posexplode(ln.split_lines(F.col("content"))).alias("pos", "line")).filter(
-        ln.is_body_line(F.col("line"))
-    )
+    cut = docs.select("doc_id", ln.split_lines(F.col("content")).alias("lines"))
+    rows = explode_column(cut, "lines", "pos", "line").filter(ln.is_body_line(F.col("line")))
     units = rows.select("doc_id", "pos", tx.match_key(tx.md_plain_index(F.col("line"))).alias("text"))
     hits = mention_join(units, names, ["doc_id", "pos"])
     return hits.groupBy("doc_id", "needle").agg(F.min("pos").alias("pos"))
@@ -167,8 +161,8 @@ def context_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
 def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     """One hit per document and distinct name, for the prebuilt index.
 
-    The pairs of documents and names are written once, because every later step starts from
-    them: only documents with a mention are cut into lines or blocks. The snippet is that of the section titled with the name, else of the place that mentions
+    The documents' plain texts and the pairs of documents and names are written once, because every
+    later step starts from them: only documents with a mention are cut into lines or blocks. The snippet is that of the section titled with the name, else of the place that mentions
     it, else a stretch of the plain text.
     """
     names = item_names(items)
@@ -178,6 +172,7 @@ def related_hits(docs: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         tx.text_or_empty(F.col("content")).alias("content"),
         _document_text().alias("plain"),
     ).filter("doc_id <> ''")
+    rows = materialize(rows)
     texts = rows.select("doc_id", tx.match_key(F.col("plain")).alias("text"))
     pairs = materialize(mention_join(texts, names, ["doc_id"]).join(names, "needle"))
     hit_docs = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -345,14 +340,16 @@ def related_content(
     # Entities and compatibility forms are read once per text, so that all later steps stay in the JVM.
     title_of = lambda t: tx.drop_revised_suffix(tx.fold_web(t))
     whole = tx.fold_web(tx.plain_decoded(F.concat_ws("\n", "title", tx.blank_to_null(F.col("summary")), tx.blank_to_null(F.col("body")))))
-    mentioned = materialize(mention_join_shadowed(rows.select("doc_id", whole.alias("text")), names, ["doc_id"]))
-    rows = rows.drop("summary").join(mentioned.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = materialize(rows.withColumn("whole", whole))
+    mentioned = materialize(mention_join_shadowed(rows.select("doc_id", F.col("whole").alias("text")), names, ["doc_id"]))
+    rows = rows.drop("summary", "whole").join(mentioned.select("doc_id").distinct(), "doc_id", "left_semi")
     lines = ln.split_lines(F.col("body"))
     titled = _with_known(rows, F.transform(lines, lambda t: title_of(tx.strip(t))), names)
     rule = _client_rule(kind, _is_known(title_of))
-    cut = titled.select("doc_id", "is_faq", F.posexplode(ln.sections(F.col("body"), rule)).alias("sec", "s")).select(
+    cut = explode_column(titled.select("doc_id", "is_faq", ln.sections(F.col("body"), rule).alias("cut")), "cut", "sec", "s").select(
         "doc_id", "is_faq", "sec", F.col("s.heading").alias("heading"), ln.paragraphs(F.col("s.body"), tx.plain_decoded).alias("parts")
     )
+    cut = materialize(cut)
     per_section = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "is_faq", "heading", "parts")
     heads = F.concat(F.array(title_of(F.col("heading"))), F.transform("parts", title_of))
     secs = _with_known(per_section, heads, names).select("doc_id.*", "is_faq", "heading", "parts", "known")
@@ -369,10 +366,10 @@ def related_content(
     units = head_units.unionByName(part_units).unionByName(title_units)
     rule_rows = None
     if kind == "rule":
-        rule_rows = _rule_rows(rows)
+        rule_rows = materialize(_rule_rows(rows))
         rule_units = rule_rows.select("doc_id", *unit("rule", zero, F.col("n"), F.col("row_text")))
         units = units.unionByName(rule_units)
-    met = mention_join_shadowed(units, names, ["doc_id", "role", "sec", "n"])
+    met = mention_join_shadowed(materialize(units), names, ["doc_id", "role", "sec", "n"])
     found = materialize(met.join(mentioned, ["doc_id", "needle"], "left_semi"))
     hits = _faq_hits(secs.filter("is_faq"), found)
     if kind != "faq":
@@ -409,7 +406,7 @@ def _rule_rows(rows: DataFrame) -> DataFrame:
             F.get(F.col("rules"), F.get(F.col("parents"), i))["text"].alias("parent_text"),
         ),
     )
-    return placed.select("doc_id", "is_faq", F.posexplode(with_parent).alias("n", "r")).select("doc_id", "is_faq", "n", "r.*")
+    return explode_column(placed.select("doc_id", "is_faq", with_parent.alias("rs")), "rs", "n", "r").select("doc_id", "is_faq", "n", "r.*")
 
 
 def _hit(phase: int, n: Column | tuple[Column, Column], parts: Column, anchor: Column, heading: Column, rule_id: Column) -> list[Column]:
@@ -469,7 +466,7 @@ def _faq_hits(secs: DataFrame, found: DataFrame) -> DataFrame:
     """Question blocks of sections whose heading mentions the name, and blocks that mention it."""
     is_title = lambda t: F.array_contains(F.col("known"), tx.drop_revised_suffix(tx.fold_web(t)))
     split = secs.filter(F.size("parts") > 0).withColumn("blocks", ln.qa_blocks(F.col("parts"), is_title))
-    cut = split.select("doc_id", "is_faq", "sec", "heading", "known", F.posexplode("blocks").alias("blk", "block"))
+    cut = explode_column(split.select("doc_id", "is_faq", "sec", "heading", "known", "blocks"), "blocks", "blk", "block")
     heads = found.filter("role = 'head'").select("doc_id", "sec", "needle")
     # The blocks hold all paragraphs in order, so a paragraph's block follows from the blocks' sizes.
     block_of = F.flatten(F.transform("blocks", lambda b, i: F.array_repeat(i, F.size(b))))
