@@ -4,6 +4,8 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
+from tomeline.functions import text as tx
 from tomeline.operators import mentions as mn
 from tomeline.operators import related as rl
 from tomeline.plans.related_content import build_related_index
@@ -213,3 +215,45 @@ def test_kinds_stand_side_by_side(spark):
     by_id = spark.createDataFrame(rows, "item_id string, " + fields)
     assert {r["item_id"]: docs(r) for r in rl.related_kinds_by_id(by_id).collect()} == want
     assert rl.related_kinds_by_id(by_id.limit(0)).count() == 0
+
+
+def test_arrays_that_are_exploded_are_worked_out_once(spark):
+    docs = spark.createDataFrame([("a", "Ring\n\nText of Ring"), ("b", ""), ("c", None)], "doc_id string, content string")
+    names = spark.createDataFrame([("ring",)], "needle string")
+    found = rl._known_titles(docs.select("doc_id", F.transform(F.split("content", "\n"), tx.title_key).alias("keys")), names)
+    assert [(r["doc_id"], r["known"]) for r in found.collect()] == [("a", ["ring"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "transform(" in line]
+
+
+def test_white_space_and_quotes_are_folded_as_by_one_look_at_every_character(spark):
+    texts = ["a b", " a  b ", "a b", "a   b", "a \tb\n", "\x1c\x85a　 ", "a﻿b", "’‘`´′“”鈥檚", "", None, "a\n\n b   c d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = lambda ws: F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), rf"[{ws}]+", " "))
+    folded = F.translate(F.coalesce(t, F.lit("")), tx.MATCH_QUOTES_FROM, tx.MATCH_QUOTES_TO)
+    rows = df.select(
+        tx.collapse_ws(t), plain(tx._BLANK), tx.collapse_ws_web(t), plain(tx._BLANK_WEB),
+        tx.match_key(t), F.lower(tx._repair_mojibake(folded)),
+    ).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in rows)
+    assert "[[^ -~]" in tx.WS_RUN
+
+
+def test_grams_leave_python_in_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mn, "GRAM_ROWS", 7)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    texts = [(i, "ab", t) for i, t in enumerate(["ring of fire", "", None, "é中文 ring", "a"] * 3)]
+    df = spark.createDataFrame(texts, "id int, k string, text string").select(F.struct("id", "k").alias("at"), "text")
+    try:
+        rows = mn.gram_rows(df, ["at"], "text", (1, 3)).collect()
+        assert int(spark.conf.get(name)) <= 500
+        spark.conf.set(name, "10000")
+        tx.match_key_web(F.col("text"))
+        assert int(spark.conf.get(name)) <= 500
+    finally:
+        spark.conf.set(name, before)
+    want = {(i, int(h)) for i, _, t in texts for n in (1, 3) for h in mn._hash_grams(mn._codes(t or ""), n)}
+    assert {(r["at"]["id"], r["key"]) for r in rows} == want and len(rows) == len(want)

@@ -157,7 +157,7 @@ def search_query_table(docs: DataFrame, queries: DataFrame, doc_id: list[str], q
     stretches = materialize(asked.select(query_id, token).select(query_id, F.explode(mn.widest_grams("token")).alias("key")).distinct())
     words = mn.filter_words(stretches.count())
     lowered = docs.select(*doc_id, F.lower(tx.text_or_empty(F.col(text))).alias("text"))
-    emitted = lowered.select(*doc_id, F.explode(mn.all_grams("text")).alias("key"))
+    emitted = mn.gram_rows(lowered, doc_id, "text")
     met = materialize(emitted.filter(mn.may_hold(mn.bloom_filter(stretches, "key", words), F.col("key"), words)))
     uses = met.groupBy("key").agg(F.count("*").alias("uses"))
     counted = stretches.join(uses, "key", "left").groupBy(query_id).agg(
