@@ -480,6 +480,17 @@ def test_near_stage_drops_edited_copies_as_all_pairs_do(spark, docs, monkeypatch
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_near_stage_meets_by_simhash_and_decides_on_the_sets(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join(rnd.choices(base, k=300)))]
+    df = frame(spark, [(d, t, "en", "s") for d, t in rows])
+    asked, given = [], shingle_dedup.candidates
+    monkeypatch.setattr(shingle_dedup, "candidates", lambda r, o: asked.append(given(r, o)) or asked[-1])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, SF).collect()) == [1, 3]
+    assert len(asked) == 1 and asked[0].count() == 1  # the edited copy is met by its fingerprint
+
+
 # 9 --------------------------------------------------------------------------------------------------
 
 
