@@ -88,6 +88,8 @@ class Words:
 
     def forget(self) -> None:
         self.words, self.parts = Lists(), Lists()
+        self.parts.index["\n"]  # the mark between words is part 0, without ids
+        self.parts.add_all([[]])
 
     def add(self, words: list[bytes]) -> None:
         """Appends the lists of new words, in their order."""
@@ -105,12 +107,12 @@ class Words:
     def add_plain(self, text: str, count: int) -> None:
         cut, known = PRETOKEN.findall(text.lower()), len(self.parts.index)
         index = self.parts.index
-        number = np.array([-1 if p == "\n" else index[p] for p in cut], np.int64)
+        number = np.fromiter(map(index.__getitem__, cut), np.int64, len(cut))
         if len(index) > known:
             spelled = "\n".join(index.names[known:]).encode().decode("latin-1").translate(self.letters).split("\n")
             self.parts.add_all([[t.id for t in self.merges.tokenize(p)] for p in spelled])
-        ends = np.append(np.flatnonzero(number < 0) - np.arange(count - 1), len(number) - count + 1)
-        ids, length = self.parts.joined(number[number >= 0])
+        ends = np.append(np.flatnonzero(number == 0) - np.arange(count - 1), len(number) - count + 1)
+        ids, length = self.parts.joined(number[number > 0])
         self.words.add(ids, sums(length, np.diff(np.r_[0, ends])))
 
     def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ MARK = "▁"
 #: Blank marks with what follows them up to the next mark.
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Parts longer than this are merged with a heap; states (and characters) kept per task; rows at a time.
-LONG, KEPT, KEPT_CHARS, SLICE = 48, 400_000, 1 << 23, 500
+LONG, KEPT, KEPT_CHARS, SLICE = 48, 400_000, 1 << 23, 400
 #: More merges than can come up in a part of LONG characters: every pair that ever stands there comes up once, and a merge
 #: makes two new ones, so that fewer than three a character do. Lists of skipped ones are bits of so many 64-bit words.
 UPS, MASKS = 256, 3
@@ -88,14 +89,16 @@ def mixed_all(x: np.ndarray) -> np.ndarray:
 
 
 class Pool:
-    """An array that grows at its end."""
+    """An array that grows at its end. Room that nothing was written to yet takes no memory."""
 
     def __init__(self, kind) -> None:
         self.all, self.used = np.zeros(1024, kind), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.used + len(more) > len(self.all):
-            self.all = np.append(self.all, np.zeros(max(len(more), len(self.all)), self.all.dtype))
+            wider = np.zeros(max(self.used + len(more), 2 * len(self.all)), self.all.dtype)
+            wider[: self.used] = self.all[: self.used]
+            self.all = wider
         self.all[self.used : self.used + len(more)] = more
         self.used += len(more)
 
@@ -389,14 +392,20 @@ class Index(dict):
     """Numbers parts as they come."""
 
     def __init__(self) -> None:
-        self.chars, self.names = 0, []
+        self.names, self._chars, self._counted = [], 0, 0
 
     def __missing__(self, part: str) -> int:
         self[part] = n = len(self)
         self.names.append(part)
-        self.chars += len(part)
         return n
 
+    @property
+    def chars(self) -> int:
+        """Length of all parts; each is counted once, not as it comes."""
+        self._chars += sum(map(len, islice(self.names, self._counted, None)))
+        self._counted = len(self.names)
+        return self._chars
+
 
 class Decoder:
     """Ids back to text: pieces as they are, byte pieces as bytes, the leading mark dropped."""
