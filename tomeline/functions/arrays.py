@@ -59,6 +59,11 @@ def explode_column(df: DataFrame, items: str, pos: str, item: str) -> DataFrame:
     return df.select(*kept, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters test; they stay above it, so that it is not computed for the test again."""
+    return df.select(*[c for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def explode_values(df: DataFrame, items: Column, item: str, *kept: str) -> DataFrame:
     """The ``kept`` columns with one row per element that is not NULL; a computed array is worked out once, as above."""
     return df.select(*kept, F.explode_outer(items).alias(item)).filter(F.col(item).isNotNull())

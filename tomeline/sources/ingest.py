@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tomeline.functions import links as lk
 from tomeline.functions import markup as mk
 from tomeline.functions import text as tx
-from tomeline.functions.arrays import let
+from tomeline.functions.arrays import explode_column, let, with_computed
 from tomeline.operators.lines import promote_headings
 from tomeline.sources.schemas import PAYLOAD
 
@@ -75,8 +75,8 @@ def attach_bodies(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
 def extract_payload(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages with their embedded ``page`` payload; NULL where there is none or it is broken."""
     raw = F.regexp_extract(html, EMBEDDED, 1)
-    parsed = F.from_json(raw, _one_line(PAYLOAD))
-    return pages.withColumn("page", F.when(raw != "", parsed["props"]["pageProps"]["page"]))
+    parsed = F.from_json(raw, _one_line(PAYLOAD))  # NULL of an empty text
+    return with_computed(pages, "page", parsed["props"]["pageProps"]["page"])
 
 
 def accepted(payloads: DataFrame) -> DataFrame:
@@ -169,7 +169,8 @@ def _labels(c: Column) -> Column:
 def flatten_items(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Catalogue rows of the first blade that lists items, in the catalogue's 18 columns."""
     listing = F.filter(F.col("page.blades"), lambda b: F.size(b["cards"]["items"]) > 0)
-    rows = pages.select(page_id, F.explode(F.get(listing, F.lit(0))["cards"]["items"]).alias("i"))
+    listed = pages.select(page_id, F.get(listing, F.lit(0))["cards"]["items"].alias("items"))
+    rows = explode_column(listed, "items", "nth", "i")
 
     def text(path: str) -> Column:
         return tx.text_or_empty(F.col(f"i.{path}"))
@@ -229,7 +230,7 @@ def build_documents(
 
 def build_pages(pages: DataFrame, today: str, known_headings: tuple[str, ...] = ()) -> DataFrame:
     """Rule pages of ``url, title, description, published, content``; empty bodies are dropped."""
-    body = pages.withColumn("body", promote_headings(F.col("content"), "page", known_headings)).filter("body <> ''")
+    body = with_computed(pages, "body", promote_headings(F.col("content"), "page", known_headings)).filter("body <> ''")
     slug = lk.url_slug(F.col("url"), "official-page")
     titled = F.coalesce(
         tx.blank_to_null(F.col("title")), F.initcap(F.replace(F.col("id"), F.lit("-"), F.lit(" ")))
