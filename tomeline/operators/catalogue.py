@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tomeline.functions import text as tx
+from tomeline.functions.arrays import explode_values
 from tomeline.operators.search import query_tokens
 
 # Order of the rarities; any other sorts behind them.
@@ -88,7 +89,7 @@ def facet_limits(items: DataFrame, columns: list[str]) -> DataFrame:
 def facet_counts(labels: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Count of each label of an array column, in a fixed order; absent labels are left out."""
     known = F.array(*[F.lit(v) for v in order])
-    counted = labels.select(F.explode(column).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    counted = explode_values(labels, F.col(column), "label").groupBy("label").agg(F.count("*").alias("n"))
     placed = counted.withColumn("place", F.array_position(known, F.col("label")))
     return placed.filter("place > 0").orderBy("place")
 
