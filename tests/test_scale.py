@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import links as lk
 from tomeline.operators import catalogue as cat
+from tomeline.operators import mentions as mn
+from tomeline.operators import rulebook as rb
 from tomeline.plans.import_pages import import_rule_pages
 from tomeline.queries import ingest_queries as iq
 from tomeline.queries.registry import table
@@ -52,3 +54,34 @@ def test_first_parameter_is_looked_up(spark):
     got = rows.select(*[lk.first_parameter(F.col("p"), *k).alias("_".join(k)) for k in (("a",), ("b", "a"), ("x", "c"))])
     assert [tuple(r) for r in got.collect()] == [("1", "1", ""), ("", "", "")]
     assert "lambda" not in optimized(got).split("Project")[1]
+
+
+def test_pages_are_typed_once(spark):
+    text = "101. A\nb\n* c\n-  d\n“e” \x1ff g\r\nfi\n9 h\n107."
+    pages = spark.createDataFrame([(1, 1, text), (1, 2, "x\ny"), (1, 3, "z"), (1, 4, "w."), (1, 5, None)], "doc_id int, page_no int, text string")
+    lines = pages.filter("page_no = 1").select(rb.clean_lines(F.col("text")).alias("n"))
+    each = pages.select("page_no", F.transform(F.split("text", rb.LINE_END), rb.clean_line).alias("o")).filter("page_no = 1")
+    assert lines.first()["n"] == each.first()["o"]
+    got = rb.structure_rulebook(pages)
+    rows = sorted((r["page_no"], r["ord"], r["rule_id"], r["text"], r["row_type"]) for r in got.collect())
+    assert rows[:3] == [(1, 0, "101.", "A", "rule-heading"), (1, 1, "", "b", "rule-cont"), (1, 2, "", "* c", "rule-bullet")]
+    # The third page goes to the second, so the fourth keeps its row.
+    assert rows[-3:] == [(2, 0, "", "x", "rule-plain"), (2, 1, "", "y z", "rule-plain"), (4, 0, "", "w.", "rule-plain")]
+    assert "regexp_extract" not in optimized(got)
+
+
+def test_grams_of_many_texts_at_once(spark):
+    texts = ["abcab", "", None, "ab", "x\U0001d4b3y", "abab" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    got = sorted((r["id"], r["key"]) for r in mn.gram_rows(rows, ["id"], "text", (1, 2, 6)).collect())
+    want = [(i, int(k)) for i, t in enumerate(texts) for n in (1, 2, 6) for k in mn._hash_grams(mn._codes(t or ""), n)]
+    assert got == sorted(want)
+
+
+def test_spots_are_read_once(spark):
+    spots = spark.createDataFrame([(1, "", "as ever, Red Fox Cub reads so."), (2, "with red fox in", "none"), (3, None, None)], "spot_id int, before string, after string")
+    names = spark.createDataFrame([(1, "Red Fox"), (2, "red fox cub")], "ord int, name string")
+    made = spots.withColumn("before", F.concat("before", F.lit("s it")))
+    got = mn.context_entity(made, names)
+    assert sorted((r["spot_id"], r["name"]) for r in got.collect()) == [(1, "red fox cub"), (2, "red fox")]
+    assert "s it" not in optimized(got)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomeline.functions import text as tx
 from tomeline.functions.arrays import explode_column, let
+from tomeline.sources.sinks import materialize
 
 NUMBERED = r"(?i)\A([0-9]{3}(?:\.[0-9a-z]+)*)\.\s*(.*)\z"
 BULLET = r"\A[*-]\s+(.+)\z"
@@ -17,13 +18,29 @@ LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
 MARKS_FROM, MARKS_TO = "“”‘’—", "\"\"''-"
 
 
+# Runs of white space inside a line that are not one blank already, and a line's end with the blank at either side.
+LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
+INNER_RUN = rf" [{tx.WS}&&[^{LINE_ENDS}]]+|[[^ -~]&&{tx.WS}&&[^{LINE_ENDS}]][{tx.WS}&&[^{LINE_ENDS}]]*"
+TRIMMED_END = rf" ?(?:{LINE_END}) ?"
+
+
 def clean_line(line: Column) -> Column:
-    out = F.translate(tx.collapse_ws(line), MARKS_FROM, MARKS_TO)
-    for char, plain in LIGATURES.items():
+    return _plain_marks(tx.collapse_ws(line))
+
+
+def _plain_marks(text: Column) -> Column:
+    out = text
+    for char, plain in [*zip(MARKS_FROM, MARKS_TO), *LIGATURES.items()]:
         out = F.replace(out, F.lit(char), F.lit(plain))
     return out
 
 
+def clean_lines(page_text: Column) -> Column:
+    """:func:`clean_line` of all lines of a text: the text is cleaned once, then cut."""
+    text = _plain_marks(F.trim(tx.sub(tx.text_or_empty(page_text), INNER_RUN, " ")))
+    return F.split(text, TRIMMED_END)
+
+
 def is_short_heading(text: Column) -> Column:
     return (
         (text != "")
@@ -49,24 +66,29 @@ def rule_rows(page_text: Column) -> Column:
         level = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
         heading = F.when((level == 0) & number.endswith("00"), "rule-chapter").otherwise("rule-heading")
         numbered_type = F.when(is_short_heading(text), heading).otherwise("rule-plain")
-        bullet = F.regexp_extract(line["line"], BULLET, 1)
         none = F.lit("")
         return (
             F.when(number != "", row(F.concat(number, F.lit(".")), text, numbered_type, level))
-            .when(bullet != "", row(none, F.concat(F.lit("* "), bullet), F.lit("rule-bullet"), F.lit(1)))
+            .when(
+                marked(line["line"]) & line["line"].rlike(BULLET),
+                row(none, F.concat(F.lit("* "), F.regexp_extract(line["line"], BULLET, 1)), F.lit("rule-bullet"), F.lit(1)),
+            )
             .when(previous["number"] != "", row(none, line["line"], F.lit("rule-cont"), F.lit(1)))
             .otherwise(row(none, line["line"], F.lit("rule-plain"), F.lit(0)))
         )
 
-    lines = F.filter(
-        F.transform(F.split(tx.text_or_empty(page_text), LINE_END), clean_line), lambda line: line != ""
-    )
+    # The first character tells most lines; only the others are matched.
+    def marked(line: Column) -> Column:
+        return line.startswith("*") | line.startswith("-")
+
+    def group(line: Column, n: int) -> Column:
+        return F.when((line >= "0") & (line < ":"), F.regexp_extract(line, NUMBERED, n)).otherwise("")
+
+    lines = F.filter(clean_lines(page_text), lambda line: line != "")
     parsed = F.transform(
         lines,
         lambda line: F.struct(
-            line.alias("line"),
-            F.regexp_extract(line, NUMBERED, 1).alias("number"),
-            F.trim(F.regexp_extract(line, NUMBERED, 2)).alias("text"),
+            line.alias("line"), group(line, 1).alias("number"), F.trim(group(line, 2)).alias("text")
         ),
     )
     return let(parsed, lambda ls: F.transform(ls, lambda line, i: typed(line, F.get(ls, i - 1))))
@@ -80,12 +102,12 @@ def _can_follow(row: Column, headers: tuple[str, ...]) -> Column:
         (row["rule_id"] == "")
         & (row["row_type"] == "rule-plain")
         & ~header
-        & row["text"].rlike(r"\A[\p{Ll}),.;:]")
+        & F.substring(row["text"], 1, 1).rlike(r"\A[\p{Ll}),.;:]")
     )
 
 
 def _is_closed(text: Column) -> Column:
-    return text.rlike(r"[.!?;:]\z")
+    return F.substring(text, -1, 1).isin(".", "!", "?", ";", ":")
 
 
 def _with_ends(pages: DataFrame, page_headers: tuple[str, ...]) -> DataFrame:
@@ -130,16 +152,13 @@ def _to_neighbours(ends: DataFrame, own: list[str], ahead: list[str], behind: li
     return met.filter("is_page > 0").drop("is_page")
 
 
-def _emptied_pages(ends: DataFrame) -> DataFrame:
+def _emptied_pages(met: DataFrame) -> DataFrame:
     """Pages that lose all their rows to the page before.
 
     Only pages made of continuations alone come here. Of a run of such pages every other one
     is emptied, because an emptied page leaves no last row for the next one.
     """
-    flags = ends.select(
-        "doc_id", "page_no", "open", ((F.col("lead") == F.size("rows")) & (F.size("rows") > 0)).alias("whole")
-    )
-    whole = _to_neighbours(flags, ["whole"], ["open"], []).filter("whole and before_open")
+    whole = met.filter((F.col("lead") == F.size("rows")) & (F.size("rows") > 0) & F.col("before_open"))
     run = Window.partitionBy("doc_id").orderBy("page_no")
     runs = whole.select("doc_id", "page_no").withColumn("run", F.col("page_no") - F.row_number().over(run))
     in_run = Window.partitionBy("doc_id", "run").orderBy("page_no")
@@ -152,27 +171,32 @@ def merge_page_breaks(
     """Join the rows that continue the last row of the page before.
 
     ``pages`` has one row per page: ``doc_id``, ``page_no`` (counting up by one) and ``rows``
-    from :func:`rule_rows`.
+    from :func:`rule_rows`. The pages with what their neighbours sent are written once, because the
+    runs of pages that are emptied are found on them first.
     """
     ends = _with_ends(pages, page_headers)
-    emptied = _emptied_pages(ends)
     texts = ends.withColumn("lead_texts", F.transform(F.slice("rows", F.lit(1), F.col("lead")), lambda r: r["text"]))
-    met = _to_neighbours(texts, ["rows", "lead", "open"], ["open"], ["lead_texts"])
-    gone = emptied.withColumn("is_emptied", F.lit(True))
-    after = emptied.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("after_emptied"))
-    marked = met.join(gone, ["doc_id", "page_no"], "left").join(after, ["doc_id", "page_no"], "left")
-    merged = F.when(F.col("before_open") & F.col("after_emptied").isNull(), F.col("lead")).otherwise(0)
-    gains = F.col("open") & F.col("is_emptied").isNull() & (F.size("after_lead_texts") > 0)
+    met = materialize(_to_neighbours(texts, ["rows", "lead", "open"], ["open"], ["lead_texts"]))
+    emptied = _emptied_pages(met)
+    # An emptied page is marked itself (2) and marks the page behind it (1).
+    marks = (
+        emptied.select("doc_id", F.explode(F.array(F.struct("page_no", F.lit(2).alias("m")), F.struct((F.col("page_no") + 1).alias("page_no"), F.lit(1).alias("m")))).alias("e"))
+        .groupBy("doc_id", "e.page_no")
+        .agg(F.max(F.col("e.m") == 2).alias("is_emptied"), F.max(F.col("e.m") == 1).alias("after_emptied"))
+    )
+    marked = met.join(marks, ["doc_id", "page_no"], "left")
+    merged = F.when(F.col("before_open") & ~F.coalesce("after_emptied", F.lit(False)), F.col("lead")).otherwise(0)
+    gains = F.col("open") & ~F.coalesce("is_emptied", F.lit(False)) & (F.size("after_lead_texts") > 0)
     kept = marked.withColumn("kept", F.slice(F.col("rows"), merged + 1, F.size("rows"))).withColumn(
         "gain", F.when(gains, F.array_join("after_lead_texts", " "))
     )
-    extended = F.transform(
-        "kept",
-        lambda r, i: F.when(
-            (i == F.size("kept") - 1) & F.col("gain").isNotNull(),
-            r.withField("text", F.concat_ws(" ", r["text"], F.col("gain"))),
-        ).otherwise(r),
+    # Only a page's last row can gain, so the others are not looked at.
+    last = F.get("kept", F.size("kept") - 1)
+    grown = F.concat(
+        F.slice("kept", F.lit(1), F.size("kept") - 1),
+        F.array(last.withField("text", F.concat_ws(" ", last["text"], F.col("gain")))),
     )
+    extended = F.when(F.col("gain").isNull() | (F.size("kept") == 0), F.col("kept")).otherwise(grown)
     return kept.select("doc_id", "page_no", extended.alias("rows"))
 
 

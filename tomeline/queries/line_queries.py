@@ -105,7 +105,7 @@ _PAGE_LINES = 5
 def rule_pages(spark, sf):
     docs = inp.documents(spark, sf).select("doc_id", F.split(inp.replaced(F.col("text"), _RULED), "\n").alias("lines"))
     starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(_PAGE_LINES))
-    cut = docs.select("doc_id", F.posexplode(segments(F.col("lines"), starts)).alias("p", "page"))
+    cut = explode_column(docs.select("doc_id", segments(F.col("lines"), starts).alias("pages")), "pages", "p", "page")
     return cut.select("doc_id", (F.col("p") + 1).alias("page_no"), F.array_join("page", "\n").alias("text"))
 
 
