@@ -6,6 +6,7 @@ from tomeline.functions import links as lk
 from tomeline.operators import catalogue as cat
 from tomeline.operators import mentions as mn
 from tomeline.operators import rulebook as rb
+from tomeline.plans import search_index as si
 from tomeline.plans.import_pages import import_rule_pages
 from tomeline.queries import ingest_queries as iq
 from tomeline.queries.registry import table
@@ -85,3 +86,23 @@ def test_spots_are_read_once(spark):
     got = mn.context_entity(made, names)
     assert sorted((r["spot_id"], r["name"]) for r in got.collect()) == [(1, "red fox cub"), (2, "red fox")]
     assert "s it" not in optimized(got)
+
+
+def test_index_texts_are_made_behind_the_ranges(spark, tmp_path):
+    rows = "ord int, id string, title string, summary string, content string, source string, updated_at string"
+    docs = spark.createDataFrame([(1, "a b", "T", "s", "**x**\n[y](z)", "o", "d"), (2, "b", "", None, "<p>w</p>", "o", "d")], rows)
+    links = docs.selectExpr("*", "'page' AS kind", "'p' AS page_id", "'' AS url")
+    items = spark.createDataFrame([("n", "P-1", "S", ["t"], None, ["d"], ["g"], "r", "a-b")], "name string, public_code string, set string, card_types array<string>, super_types array<string>, domains array<string>, tags array<string>, rarity string, ability_text string")
+    args, text = (docs, docs, docs, links, items), []
+    for n, made in enumerate((si.search_docs, si.search_sources)):
+        si.build_search_index(made(*args), str(tmp_path / str(n)))
+        text.append(sorted((r["kind"], r["title"], r["href_path"], r["text"]) for r in spark.read.parquet(str(tmp_path / str(n))).collect()))
+    assert text[0] == text[1] and ("FAQ", "T", "faq/a%20b/", "T s x y") in text[1] and len(text[1]) == 9
+    assert "regexp_replace" not in optimized(si.search_sources(*args))
+
+
+def test_imported_bodies_are_made_once(spark):
+    made = optimized(import_rule_pages(iq.payload_pages(spark, SF), "2026-01-01").select("id", "summary", "content"))
+    assert made.count("from_json") == 1 and "body" in made
+    # One pass over the body's lines and one over the page's; the filter on the body adds none.
+    assert made.count("upper(") == 2
