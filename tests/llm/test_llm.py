@@ -615,3 +615,21 @@ def test_numeric_signs_are_no_letters(spark):
 @pytest.mark.parametrize("media_", [b"P5\n99999999999 99999999999\n255\n", b"P4\n99999999999 99999999999\n", b"P2\n1 1\n255\n99999999999999999999", b"P2\n1 1\n99999\n1", b"BM" + b"\x00" * 8 + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + ((1 << 31) - 1).to_bytes(4, "little") * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + b"\x00" * 30])
 def test_media_of_broken_sizes_has_no_features(media_):
     assert media.features_of(media_) == (None,) * 10
+
+
+def test_simhash_run_gives_fewer_links_than_fingerprints(spark):
+    # One key's run in which every fingerprint is near many pivots: links connect it without one a pair.
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 64, (400, 3))
+    fps = np.unique(np.array([int(sum({1 << int(b) for b in row})) for row in near], np.uint64))
+    found = simhash.connect_run(fps, 4)
+    pairs = [(int(a), int(b)) for x, y in found for a, b in zip(x, y, strict=True)]
+    assert len(pairs) < len(fps) and all(bin(a ^ b).count("1") <= 4 for a, b in pairs)
+    label = brute_components({int(x) for x in fps})
+    links = spark.createDataFrame([(simhash.signed(a), simhash.signed(b)) for a, b in pairs], "a long, b long")
+    fewer = simhash.starred(links.unionByName(links.selectExpr("b AS a", "a AS b")))
+    got = {r["node"]: r["label"] for r in simhash.components(fewer).collect()}
+    groups = {}
+    for x in fps.tolist():
+        groups.setdefault(label[x], set()).add(got.get(simhash.signed(x), simhash.signed(x)))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)

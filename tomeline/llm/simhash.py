@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeline.functions.arrays import explode_values
 from tomeline.llm.common import as_bytes, bound_batches, in_slices, pin, small_side
 from tomeline.llm.components import components
 
@@ -105,16 +106,17 @@ def linked(x: np.ndarray, start: np.ndarray, max_bits: int, segments: int) -> np
 
 
 def connect_run(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect distinct fingerprints as all their pairs within ``max_bits`` would.
+    """Links that connect distinct fingerprints as all their pairs within ``max_bits`` would, fewer than there are of these.
 
-    Fingerprints within half the distance of a pivot link to it; so do those within the whole.
-    Two balls whose pivots are further apart are compared only while they are unconnected.
+    Fingerprints within half the distance of a pivot link to it. Balls of which one holds a fingerprint within the whole
+    distance of the other's pivot are linked once; those whose pivots are further apart are compared only while they are unconnected.
     """
-    half, rest, balls, links = max_bits // 2, fps, [], []
+    half, rest, balls, links, near = max_bits // 2, fps, [], [], []
     while len(rest):
         d = np.bitwise_count(rest ^ rest[0])
-        close = rest[(d > 0) & (d <= max_bits)]
-        links.append((np.full(len(close), rest[0]), close))
+        own = rest[(d > 0) & (d <= half)]
+        links.append((np.full(len(own), rest[0]), own))
+        near.append(rest[(d > half) & (d <= max_bits)])
         balls.append(rest[d <= half])
         rest = rest[d > half]
     pivots = np.array([b[0] for b in balls])
@@ -127,9 +129,11 @@ def connect_run(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.nda
             i = root[i]
         return i
 
-    for a, b in links:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            root[find(home[y])] = find(home[x])
+    for i, close in enumerate(near):
+        for y in close.tolist():
+            if find(home[y]) != find(i):
+                links.append((pivots[i : i + 1], np.array([y], np.uint64)))
+                root[find(home[y])] = find(i)
     for i in range(len(balls)):
         d = np.bitwise_count(pivots[i + 1 :] ^ pivots[i])
         for j in (np.flatnonzero(d <= max_bits + 2 * half) + i + 1).tolist():
@@ -196,6 +200,17 @@ def near_links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SE
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(links_in_order(max_bits, segments), "a long, b long").distinct()
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes: each node to its smallest smaller neighbour, and this one to the others of them.
+
+    A fingerprint meets the same others under many keys, each with another pivot; what is left of these links are mostly one a fingerprint.
+    """
+    below = links.groupBy(F.greatest("a", "b").alias("b")).agg(F.collect_set(F.least("a", "b")).alias("lower"))
+    least = F.array_min("lower")
+    made = F.transform("lower", lambda x: F.struct(F.col("least").alias("a"), F.when(x == F.col("least"), F.col("b")).otherwise(x).alias("b")))
+    return explode_values(below.withColumn("least", least), made, "l").select("l.a", "l.b").distinct()
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, text_hash, fp`` per row; ``fp, best`` per distinct fingerprint).
 
@@ -204,7 +219,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     rows = pin(fingerprints(docs, text, doc_id, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = pin(rows.groupBy("fp").agg(F.min(order).alias("first")))
-    labels = components(near_links(distinct.select("fp"), max_bits, segments))
+    labels = components(starred(near_links(distinct.select("fp"), max_bits, segments)))
     own = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     best = own.groupBy("label").agg(F.min("first").alias("best"))
     return rows, pin(own.join(best, "label").select("fp", "best"))
