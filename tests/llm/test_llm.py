@@ -491,6 +491,25 @@ def test_near_stage_meets_by_simhash_and_decides_on_the_sets(spark, monkeypatch)
     assert len(asked) == 1 and asked[0].count() == 1  # the edited copy is met by its fingerprint
 
 
+@pytest.mark.parametrize("short,full", [(shingle_dedup.SHORT_RUN, shingle_dedup.FULL_RUN), (2, 2)])
+def test_near_stage_decides_all_pairs_of_a_simhash_group(spark, monkeypatch, short, full):
+    for name, value in (("SHORT_RUN", short), ("FULL_RUN", full)):
+        monkeypatch.setattr(shingle_dedup, name, value)
+    keys = shingle_dedup.band_keys
+    apart = lambda g: ((keys(g)[0] & 0) + g.sum().view("int64"), keys(g)[1])
+    monkeypatch.setattr(shingle_dedup, "band_keys", apart)  # no two sets meet by MinHash
+    rnd, rows = random.Random(7), [(90, ""), (91, "one two"), (92, None)]
+    for g in range(6):  # pairs of copies, each pair apart from the others
+        base = [f"w{g}x{rnd.randrange(4000)}" for _ in range(120)]
+        rows += [(10 * g, " ".join([f"a{g}", *base])), (10 * g + 1, " ".join([f"b{g}", *base, "x"])), (10 * g + 2, " ".join([f"c{g}", *base[:60]]))]
+    df = frame(spark, [(d, t, "en", "s") for d, t in rows])
+    one = F.struct(F.lit(False).alias("none"), F.lit(0).cast("long").alias("doc_id"), F.lit(1).cast("long").alias("text_hash"))
+    met = df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(5).cast("long").alias("fp"))
+    got = shingle_dedup.drop_near(df, others=(met, spark.range(1).select(F.lit(5).cast("long").alias("fp"), one.alias("best"))))
+    want = brute_near(rows)
+    assert len(set(want.values())) == 14 and sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
 # 9 --------------------------------------------------------------------------------------------------
 
 
