@@ -1,14 +1,22 @@
 """Costly steps are spread over all cores and worked out once."""
 
+import random
+import re
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tomeline.functions import links as lk
+from tomeline.functions import markup as mk
+from tomeline.functions import text as tx
 from tomeline.operators import catalogue as cat
 from tomeline.operators import mentions as mn
+from tomeline.operators import related as rl
 from tomeline.operators import rulebook as rb
 from tomeline.plans import search_index as si
 from tomeline.plans.import_pages import import_rule_pages
 from tomeline.queries import ingest_queries as iq
+from tomeline.queries import related_queries as rq
 from tomeline.queries.registry import table
 from tomeline.sources import ingest as ig
 
@@ -106,3 +114,48 @@ def test_imported_bodies_are_made_once(spark):
     assert made.count("from_json") == 1 and "body" in made
     # One pass over the body's lines and one over the page's; the filter on the body adds none.
     assert made.count("upper(") == 2
+
+
+def test_texts_are_the_same_as_without_a_look_for_marks(spark):
+    rnd = random.Random(11)
+    bits = ["[[a]](b)", "[a]", "](", "(c)", "<br/>", "</p>", "<li x>", "<", ">", "##", "\n# ", "*", "_", "`", "-", "’", "‘", "′", "´", "“", "”", "鈥檚", "鈥", "\u2003", "\u00a0", "\ufeff",
+            " ", "  ", "\t", "\n", "Σ", "İ", "aB", "(Revised Text) ", "Download CARD Errata ", "é", "\u2013"]
+    texts = [None, "", *bits, *("".join(rnd.choices(bits, k=rnd.randint(2, 9))) for _ in range(800)), "download card errata  x", "x download card errata"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = tx.text_or_empty(F.col("t"))
+    unlink = lambda c: tx.sub(tx.sub(c, tx.WIKI_LINK, "$1"), tx.INLINE_LINK, "$1")
+    untag = lambda c: tx.sub(tx.sub(tx.sub(tx.sub(c, tx.BREAK_TAG, "\n"), tx.BLOCK_END_TAG, "\n"), tx.LIST_TAG, "- "), tx.ANY_TAG, " ")
+    unmark = lambda c: tx.sub(tx.sub(c, tx.HEADING_MARK), tx.EMPHASIS_MARK)
+    repair = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), tx.MOJIBAKE.items(), c)
+    match = lambda c: repair(F.lower(tx._fold(c, tx.MATCH_QUOTES_FROM, tx.MATCH_QUOTES_TO)))
+    plain = tx.collapse_ws(unmark(untag(unlink(t))))
+    was = {
+        "index": plain, "client": tx.collapse_ws_web(tx.sub(unmark(unlink(untag(t))), tx.DOWNLOAD_PREFIX)), "match": match(t),
+        "web": F.lower(repair(tx._fold(t, tx.WEB_QUOTES_FROM, tx.WEB_QUOTES_TO))), "title": tx.strip(tx.sub(match(plain), tx.REVISED_SUFFIX)),
+    }
+    c = F.col("t")
+    now = {"index": tx.md_plain_index(c), "client": tx.plain_decoded(c), "match": tx.match_key(c), "web": tx.fold_web(c), "title": tx.title_key(c)}
+    got = rows.select(*[v.alias(f"{k}_{n}") for n, part in enumerate((was, now)) for k, v in part.items()]).collect()
+    for k in was:
+        assert [r[f"{k}_1"] for r in got] == [r[f"{k}_0"] for r in got], k
+    # Many replacements stand behind one test each, so that a text without marks is looked through a few times only.
+    assert all("CASE WHEN" in optimized(rows.select(f)) for f in (tx.match_key(c), tx.md_plain_index(c)))
+
+
+def test_characters_to_compose_are_looked_up_behind_ascii(spark):
+    pattern = re.compile(mk.NOT_COMPOSED)
+    chars = [chr(i) for i in (*range(0xD800), *range(0xE000, 0x10000), 0x1D400, 0x1F600)]
+    rows = spark.createDataFrame([(f"a{x}b",) for x in chars], "t string")
+    got = {r["t"][1] for r in rows.filter(F.col("t").rlike(mk.NOT_COMPOSED)).collect()}
+    assert got == {x for x in chars if pattern.search(x)} and "é" not in got and {"½", "\u0301", "\U0001d400"} <= got
+    assert mk.NOT_COMPOSED.startswith(r"[^\x00-\x7f](")
+
+
+def test_section_titles_and_pairs_are_worked_out_once(spark):
+    assert "(^|[^a-z0-9])" not in optimized(rq.section_snippet(spark, SF))  # pairs are checked in one place
+    docs = spark.createDataFrame([("d", "## Alpha One\n\nQ: Yes?\n\nBeta Two (revised text)\n\nno")], "doc_id string, content string")
+    names = rl.item_names(spark.createDataFrame([(1, "i", "Alpha One"), (2, "j", "Beta Two")], "ord int, id string, name string"))
+    pairs = spark.createDataFrame([("d", "Alpha One", "alpha one"), ("d", "Beta Two", "beta two")], "doc_id string, name string, target string")
+    got = rl.section_snippets(docs, pairs, names, "faq")
+    assert {(r["name"], r["body"], r["heading"]) for r in got.collect()} == {("Alpha One", "Q: Yes?", "Alpha One"), ("Beta Two", "no", "Beta Two (revised text)")}
+    assert "revised text" not in optimized(got)  # paragraphs stand with their title keys

@@ -41,24 +41,29 @@ def heading_text(line: Column, mark: str) -> Column:
 # Heading rules: (line, its stripped text, next line that is not blank) -> heading or "".
 
 
+def _is_marked(line: Column, mark: str) -> Column:
+    """A line that begins with a mark of two signs or more; most are told without the pattern."""
+    return line.startswith("##") & line.rlike(mark)
+
+
 def h2_rule(line: Column, trimmed: Column, following: Column) -> Column:
-    return F.when(line.rlike(H2), heading_text(line, H2)).otherwise("")
+    return F.when(_is_marked(line, H2), heading_text(line, H2)).otherwise("")
 
 
 def h2_h3_rule(line: Column, trimmed: Column, following: Column) -> Column:
-    h3 = F.when(line.rlike(H3), heading_text(line, H3)).otherwise("")
-    return F.when(line.rlike(H2), heading_text(line, H2)).otherwise(h3)
+    h3 = F.when(_is_marked(line, H3), heading_text(line, H3)).otherwise("")
+    return F.when(_is_marked(line, H2), heading_text(line, H2)).otherwise(h3)
 
 
 def faq_rule(is_title: Titles) -> Callable[[Column, Column, Column], Column]:
     """h2, h3 unless it is a question, or a plain title line that prose or a question follows."""
 
     def rule(line: Column, trimmed: Column, following: Column) -> Column:
-        prose = (following == "") | following.rlike(r"(?i)\A#{1,4}\s+q[:：]") | ~following.startswith("#")
+        prose = ~following.startswith("#") | following.rlike(r"(?i)\A#{1,4}\s+q[:：]")
         titled = ~trimmed.startswith("#") & prose & is_title(trimmed)
         return (
-            F.when(line.rlike(H2), heading_text(line, H2))
-            .when(line.rlike(H3) & ~line.rlike(H3_QUESTION), heading_text(line, H3))
+            F.when(_is_marked(line, H2), heading_text(line, H2))
+            .when(_is_marked(line, H3) & ~line.rlike(H3_QUESTION), heading_text(line, H3))
             .when(titled, trimmed)
             .otherwise("")
         )
@@ -72,17 +77,17 @@ def errata_rule(is_title: Titles) -> Callable[[Column, Column, Column], Column]:
     def rule(line: Column, trimmed: Column, following: Column) -> Column:
         revised = F.lower(trimmed).endswith("(revised text)")
         titled = ~trimmed.startswith("#") & (revised | is_title(trimmed))
-        return F.when(line.rlike(H2), heading_text(line, H2)).when(titled, trimmed).otherwise("")
+        return F.when(_is_marked(line, H2), heading_text(line, H2)).when(titled, trimmed).otherwise("")
 
     return rule
 
 
 def errata_client_rule(line: Column, trimmed: Column, following: Column) -> Column:
     """h2, h3 unless it is a question, or the plain line right before a new-text heading."""
-    before_new = ~trimmed.startswith("#") & following.rlike(NEW_TEXT_HEADING)
+    before_new = ~trimmed.startswith("#") & following.startswith("#") & following.rlike(NEW_TEXT_HEADING)
     return (
-        F.when(line.rlike(H2), heading_text(line, H2))
-        .when(line.rlike(H3) & ~line.rlike(H3_QUESTION), heading_text(line, H3))
+        F.when(_is_marked(line, H2), heading_text(line, H2))
+        .when(_is_marked(line, H3) & ~line.rlike(H3_QUESTION), heading_text(line, H3))
         .when(before_new, trimmed)
         .otherwise("")
     )
@@ -145,13 +150,14 @@ def paragraphs(body: Column, plain: Callable[[Column], Column] = tx.md_plain_ind
 
 
 def is_question(paragraph: Column) -> Column:
-    return paragraph.rlike(QUESTION_MARK) | paragraph.endswith("?")
+    return paragraph.endswith("?") | (F.lower(F.substring(paragraph, 1, 1)).eqNullSafe("q") & paragraph.rlike(QUESTION_MARK))
 
 
-def qa_blocks(parts: Column, is_title: Titles = no_titles) -> Column:
+def qa_blocks(parts: Column, is_title: Titles = no_titles, text: Titles = lambda p: p) -> Column:
     """Question blocks of plain paragraphs, as an array of arrays.
 
     A block starts at a title, and at a question unless the paragraph before is a title.
+    Paragraphs may be structs, of which ``text`` gives the text.
     """
 
     def starts(flags: Column) -> Column:
@@ -164,7 +170,7 @@ def qa_blocks(parts: Column, is_title: Titles = no_titles) -> Column:
 
     def cut(ps: Column) -> Column:
         flags = F.transform(
-            ps, lambda p: F.struct(is_title(p).alias("title"), is_question(p).alias("question"))
+            ps, lambda p: F.struct(is_title(p).alias("title"), is_question(text(p)).alias("question"))
         )
         return segments(ps, let(flags, starts))
 

@@ -14,7 +14,7 @@ from tomeline.queries import inputs as inp
 from tomeline.queries import mention_queries as mq
 from tomeline.queries import sql
 from tomeline.queries.registry import register, table
-from tomeline.sources.sinks import dataset_metadata
+from tomeline.sources.sinks import dataset_metadata, materialize
 
 
 def rule_documents(spark, sf):
@@ -277,6 +277,7 @@ _KNOWN = "(SELECT needle FROM names)"
 def section_snippet(spark, sf):
     docs = titled_documents(spark, sf).select(F.col("id").alias("doc_id"), "content")
     names = rl.item_names(inp.names(spark, sf))
-    texts = docs.select("doc_id", tx.match_key(tx.md_plain_index(F.col("content"))).alias("text"))
-    pairs = mention_join(texts, names, ["doc_id"]).join(names, "needle")
+    # Both are read more than once: texts are looked through and checked, pairs tell the sections and take their snippets.
+    texts = materialize(docs.select("doc_id", tx.match_key(tx.md_plain_index(F.col("content"))).alias("text")))
+    pairs = materialize(mention_join(texts, names, ["doc_id"]).join(names, "needle"))
     return rl.section_snippets(docs, pairs, names, "faq").select("doc_id", "name", "body", "heading")
