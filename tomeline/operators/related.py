@@ -53,7 +53,17 @@ def _with_known(docs: DataFrame, keys: Column, names: DataFrame) -> DataFrame:
 
 
 def _is_known(key: Callable[[Column], Column] = tx.title_key) -> ln.Titles:
-    return lambda t: F.array_contains(F.col("known"), key(t))
+    # Most documents have no title of an item, so that no line's key is worked out.
+    return lambda t: (F.size("known") > 0) & F.array_contains(F.col("known"), key(t))
+
+
+def _keyed(parts: Column) -> Column:
+    """Paragraphs as ``array<struct<text, key>>``: their title keys are worked out once."""
+    return F.transform(parts, lambda p: F.struct(p.alias("text"), tx.title_key(p).alias("key")))
+
+
+def _texts(rows: Column) -> Column:
+    return F.transform(rows, lambda r: r["text"])
 
 
 def _document_text() -> Column:
@@ -61,17 +71,16 @@ def _document_text() -> Column:
 
 
 def _until_other_title(target: Column) -> Column:
-    """Paragraphs of a section up to another item's title, the own title left out."""
-    keyed = F.transform("parts", lambda p: F.struct(p.alias("text"), tx.title_key(p).alias("key")))
+    """Paragraphs of a section (``_keyed``) up to another item's title, the own title left out."""
 
     def cut(rows: Column) -> Column:
         others = positions_where(
             rows, lambda r, i: (r["key"] != target) & F.array_contains(F.col("known"), r["key"])
         )
         ahead = F.slice(rows, F.lit(1), F.coalesce(F.get(others, F.lit(0)), F.size(rows)))
-        return F.transform(F.filter(ahead, lambda r: r["key"] != target), lambda r: r["text"])
+        return _texts(F.filter(ahead, lambda r: r["key"] != target))
 
-    return let(keyed, cut)
+    return cut(F.col("parts"))
 
 
 def _faq_parts(clean: Column) -> Column:
@@ -109,8 +118,8 @@ def section_snippets(docs: DataFrame, pairs: DataFrame, names: DataFrame, kind:
     first = keyed.join(wanted, ["doc_id", "target"]).groupBy("doc_id", "target").agg(
         F.min_by(F.struct("heading", "body"), "sec").alias("s")
     )
-    parts = materialize(first.select("doc_id", "target", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts")))
-    keys = parts.select(F.struct("doc_id", "target").alias("doc_id"), F.transform("parts", tx.title_key).alias("keys"))
+    parts = materialize(first.select("doc_id", "target", "s.heading", _keyed(ln.paragraphs(F.col("s.body"))).alias("parts")))
+    keys = parts.select(F.struct("doc_id", "target").alias("doc_id"), F.col("parts.key").alias("keys"))
     known = _known_titles(keys, names).select("doc_id.doc_id", "doc_id.target", "known")
     ready = parts.join(known, ["doc_id", "target"], "left").withColumn(
         "known", F.coalesce("known", F.array().cast("array<string>"))
@@ -124,12 +133,13 @@ def section_snippets(docs: DataFrame, pairs: DataFrame, names: DataFrame, kind:
 def block_matches(docs: DataFrame, names: DataFrame) -> DataFrame:
     """First question block that mentions each name: ``doc_id, needle, snippet, heading``."""
     cut = explode_column(docs.select("doc_id", "title", ln.sections(F.col("content"), ln.h2_h3_rule).alias("cut")), "cut", "sec", "s")
-    plain = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "title", "s.heading", ln.paragraphs(F.col("s.body")).alias("parts"))
+    plain = cut.select(F.struct("doc_id", "sec").alias("doc_id"), "title", "s.heading", _keyed(ln.paragraphs(F.col("s.body"))).alias("parts"))
     parts = materialize(plain).filter(F.size("parts") > 0)
-    titled = _with_known(parts, F.transform("parts", tx.title_key), names)
-    blocks = explode_column(titled.select("doc_id.*", "title", "heading", ln.qa_blocks(F.col("parts"), _is_known()).alias("blocks")), "blocks", "blk", "b")
+    titled = _with_known(parts, F.col("parts.key"), names)
+    cut = ln.qa_blocks(F.col("parts"), lambda p: F.array_contains(F.col("known"), p["key"]), lambda p: p["text"])
+    blocks = explode_column(titled.select("doc_id.*", "title", "heading", cut.alias("blocks")), "blocks", "blk", "b")
     # Blocks are written once: their texts are looked through, checked and shown.
-    units = materialize(blocks.select("doc_id", "sec", "blk", "b", F.coalesce(tx.blank_to_null(F.col("heading")), F.col("title")).alias("heading")))
+    units = materialize(blocks.select("doc_id", "sec", "blk", _texts(F.col("b")).alias("b"), F.coalesce(tx.blank_to_null(F.col("heading")), F.col("title")).alias("heading")))
     texts = units.select("doc_id", "sec", "blk", tx.match_key(F.array_join("b", "\n\n")).alias("text"))
     hits = mention_join(texts, names, ["doc_id", "sec", "blk"])
     found = hits.groupBy("doc_id", "needle").agg(F.min(F.struct("sec", "blk")).alias("at")).select("doc_id", "needle", "at.*")
