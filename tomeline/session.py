@@ -17,7 +17,7 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
         # Call sites are not recorded for every column expression: building a plan is faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Plans name their paths in full, however long these are.
-        .config("spark.sql.maxMetadataValueLength", "1000")
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
